@@ -1,0 +1,39 @@
+"""Size checks in front of every broadcast and every small driver-side list."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A broadcast side must have at most this many rows (checked, not assumed).
+BROADCAST_MAX_ROWS = 2_000_000
+# Label vocabularies fetched to build literal arrays (like StringIndexer does).
+MAX_CLASSES = 100_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      persist: bool = True) -> DataFrame:
+    """Broadcast ``small`` only if it has at most ``max_rows`` rows.
+
+    The side is persisted first, so the count and the join read one
+    materialisation.  Beyond the bound the plain DataFrame is returned and
+    the join falls back to a shuffle join (AQE may still convert it).
+    """
+    if persist:
+        small = small.persist(StorageLevel.MEMORY_AND_DISK)
+    n = small.count()
+    return F.broadcast(small) if n <= max_rows else small
+
+
+def class_list(df: DataFrame, col: str = "category", max_classes: int = MAX_CLASSES) -> list[str]:
+    """Sorted distinct labels (the class vocabulary), with a size check.
+
+    Distinct is computed on the executors; only the bounded vocabulary
+    reaches the driver.
+    """
+    d = df.select(col).where(F.col(col).isNotNull()).distinct()
+    rows = d.orderBy(col).limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {col!r}")
+    return [r[0] for r in rows]
