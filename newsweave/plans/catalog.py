@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ingest, labels, profile
+from ..functions.sizing import class_list
+from ..operators import ingest, labels, profile, split
 from ..sources.news import load_news
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +104,47 @@ def q_merged_categories(spark, sf_dir):
 @register("combined_text")
 def q_combined_text(spark, sf_dir):
     return ingest.select_features(merged(spark, sf_dir))
+
+
+# --- stage 5: split, batches, label encodings ---------------------------------
+
+def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified_split(merged(spark, sf_dir))
+
+
+@register("split_quotas")
+def q_split_quotas(spark, sf_dir):
+    return split.split_quotas(merged(spark, sf_dir))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return splits(spark, sf_dir).select("row_id", "category", "split")
+
+
+@register("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    return split.class_distribution(splits(spark, sf_dir))
+
+
+@register("shuffled_batches")
+def q_shuffled_batches(spark, sf_dir):
+    train = splits(spark, sf_dir).where(F.col("split") == "train").select("row_id")
+    return split.assign_batches(train).select("row_id", "position", "batch")
+
+
+@register("batch_plan")
+def q_batch_plan(spark, sf_dir):
+    return split.batch_plan(splits(spark, sf_dir).where(F.col("split") == "train"))
+
+
+@register("label_index")
+def q_label_index(spark, sf_dir):
+    return labels.class_table(splits(spark, sf_dir).where(F.col("split") == "train"))
+
+
+@register("one_hot")
+def q_one_hot(spark, sf_dir):
+    s = splits(spark, sf_dir)
+    classes = class_list(s.where(F.col("split") == "train"))
+    return labels.one_hot(s, classes).select("row_id", "split", "one_hot")

@@ -149,3 +149,61 @@ ORACLE["combined_text"] = with_(NEWS, CLEAN, MERGED) + """
 SELECT row_id, combined_text, category FROM merged"""
 
 STOPWORDS_SQL = sql_in(STOPWORDS_EN)
+
+# --- stage 5: split -----------------------------------------------------------
+
+QUOTAS = """
+cnt AS (SELECT category, count(*) AS n FROM merged GROUP BY category),
+t1 AS (SELECT *, NN - (NN * 3 + 9) // 10 AS T
+       FROM (SELECT *, sum(n) OVER () AS NN FROM cnt)),
+a1 AS (SELECT *, CASE WHEN NN = 0 THEN 0 ELSE n * T // NN END AS base,
+              CASE WHEN NN = 0 THEN 0 ELSE n * T % NN END AS rem FROM t1),
+q1 AS (SELECT category, n, base + CASE WHEN rk <= short THEN 1 ELSE 0 END AS train
+       FROM (SELECT *, T - sum(base) OVER () AS short,
+                    row_number() OVER (ORDER BY rem DESC, category) AS rk FROM a1)),
+m1 AS (SELECT *, n - train AS m FROM q1),
+m2 AS (SELECT *, sum(m) OVER () AS MM FROM m1),
+a2 AS (SELECT *, MM // 2 AS V,
+              CASE WHEN MM = 0 THEN 0 ELSE m * (MM // 2) // MM END AS base,
+              CASE WHEN MM = 0 THEN 0 ELSE m * (MM // 2) % MM END AS rem FROM m2),
+quota AS (SELECT category, n, train, base + CASE WHEN rk <= short THEN 1 ELSE 0 END AS validation, m
+          FROM (SELECT *, V - sum(base) OVER () AS short,
+                       row_number() OVER (ORDER BY rem DESC, category) AS rk FROM a2)),
+ranked AS (SELECT g.row_id, g.category, g.combined_text, g.raw_category,
+                  row_number() OVER (PARTITION BY g.category ORDER BY md5(concat('42:', cast(g.row_id AS VARCHAR))), g.row_id) AS rnk
+           FROM merged g),
+splits AS (SELECT r.*, CASE WHEN rnk <= q.train THEN 'train'
+                            WHEN rnk <= q.train + q.validation THEN 'validation'
+                            ELSE 'test' END AS split
+           FROM ranked r JOIN quota q USING (category))"""
+
+SPLIT = with_(NEWS, CLEAN, MERGED, QUOTAS)
+
+ORACLE["split_quotas"] = SPLIT + """
+SELECT category, n, train, validation, m - validation AS test FROM quota"""
+
+ORACLE["stratified_split"] = SPLIT + """
+SELECT row_id, category, split FROM splits"""
+
+ORACLE["class_distribution"] = SPLIT + """
+SELECT split, category, n, round(n / sum(n) OVER (PARTITION BY split), 9) AS share
+FROM (SELECT split, category, count(*) AS n FROM splits GROUP BY split, category)"""
+
+ORACLE["shuffled_batches"] = SPLIT + """
+SELECT row_id, position, position // 8 AS batch
+FROM (SELECT row_id, row_number() OVER (ORDER BY md5(concat('shuffle:42:', cast(row_id AS VARCHAR))), row_id) - 1 AS position
+      FROM splits WHERE split = 'train')"""
+
+ORACLE["batch_plan"] = SPLIT + """
+SELECT rows, batches_per_epoch, batches_per_epoch * 4 AS total_steps,
+       (batches_per_epoch * 4 * 10) // 100 AS warmup_steps
+FROM (SELECT count(*) AS rows, (count(*) + 7) // 8 AS batches_per_epoch FROM splits WHERE split = 'train')"""
+
+ORACLE["label_index"] = SPLIT + """
+SELECT row_number() OVER (ORDER BY category) - 1 AS idx, category
+FROM (SELECT DISTINCT category FROM splits WHERE split = 'train')"""
+
+ORACLE["one_hot"] = SPLIT + """,
+cls AS (SELECT list(category ORDER BY category) AS classes FROM (SELECT DISTINCT category FROM splits WHERE split = 'train'))
+SELECT s.row_id, s.split, list_transform(cls.classes, lambda k: CASE WHEN k = s.category THEN 1 ELSE 0 END) AS one_hot
+FROM splits s, cls"""
