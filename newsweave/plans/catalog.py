@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import class_list
-from ..operators import ingest, labels, profile, split
-from ..sources.news import load_news
+from ..functions import vectors as V
+from ..operators import evaluate, ingest, labels, profile, split
+from ..sources.news import load_news, load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,3 +149,86 @@ def q_one_hot(spark, sf_dir):
     s = splits(spark, sf_dir)
     classes = class_list(s.where(F.col("split") == "train"))
     return labels.one_hot(s, classes).select("row_id", "split", "one_hot")
+
+
+# --- stage 6: evaluation -------------------------------------------------------
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.language_predictions(load_table(spark, sf_dir, "documents"))
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion_matrix(predictions(spark, sf_dir))
+
+
+@register("rule_predictions")
+def q_rule_predictions(spark, sf_dir):
+    return predictions(spark, sf_dir)
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return confusion(spark, sf_dir)
+
+
+@register("confusion_dense")
+def q_confusion_dense(spark, sf_dir):
+    return evaluate.confusion_dense(confusion(spark, sf_dir))
+
+
+@register("confusion_wide")
+def q_confusion_wide(spark, sf_dir):
+    return evaluate.confusion_wide(confusion(spark, sf_dir))
+
+
+@register("class_report")
+def q_class_report(spark, sf_dir):
+    return evaluate.round_report(evaluate.class_report(confusion(spark, sf_dir)))
+
+
+@register("evaluation_metrics")
+def q_evaluation_metrics(spark, sf_dir):
+    return evaluate.evaluation_metrics(confusion(spark, sf_dir))
+
+
+# --- vectors over `embeddings` ---------------------------------------------------
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load_table(spark, sf_dir, "embeddings")
+    s = e.withColumn("scores", V.dense(F.col("embedding")))
+    return s.withColumn("probs", V.softmax(F.col("scores")))
+
+
+@register("dense_scores")
+def q_dense_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("vec_id", V.round_all(F.col("scores")).alias("scores"))
+
+
+@register("softmax_scores")
+def q_softmax_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("vec_id", V.round_all(F.col("probs")).alias("probs"))
+
+
+@register("sigmoid_scores")
+def q_sigmoid_scores(spark, sf_dir):
+    return scored(spark, sf_dir).select("vec_id", V.round_all(V.sigmoid(F.col("scores"))).alias("sigmoid"))
+
+
+@register("argmax_label")
+def q_argmax_label(spark, sf_dir):
+    return scored(spark, sf_dir).select("vec_id", "label", V.argmax(F.col("scores")).alias("predicted"))
+
+
+@register("cross_entropy")
+def q_cross_entropy(spark, sf_dir):
+    return evaluate.cross_entropy(scored(spark, sf_dir))
+
+
+@register("categorical_accuracy")
+def q_categorical_accuracy(spark, sf_dir):
+    return evaluate.categorical_accuracy(scored(spark, sf_dir))
+
+
+@register("max_pool")
+def q_max_pool(spark, sf_dir):
+    return V.max_pool(load_table(spark, sf_dir, "embeddings"), "label", "embedding")

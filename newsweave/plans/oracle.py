@@ -207,3 +207,89 @@ ORACLE["one_hot"] = SPLIT + """,
 cls AS (SELECT list(category ORDER BY category) AS classes FROM (SELECT DISTINCT category FROM splits WHERE split = 'train'))
 SELECT s.row_id, s.split, list_transform(cls.classes, lambda k: CASE WHEN k = s.category THEN 1 ELSE 0 END) AS one_hot
 FROM splits s, cls"""
+
+# --- stage 6: evaluation over the stand-in language predictor -------------------
+
+def _lang_counts() -> str:
+    from ..functions.fixed import LANGUAGE_WORDS
+    return "[" + ", ".join(f"len(list_filter(w, lambda x: x IN {sql_in(ws)}))" for _, ws in LANGUAGE_WORDS) + "]"
+
+
+def _lang_codes() -> str:
+    from ..functions.fixed import LANGUAGE_WORDS
+    return sql_list([c for c, _ in LANGUAGE_WORDS])
+
+
+PRED = f"""
+lw AS (SELECT doc_id, lang AS actual, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM documents),
+lc AS (SELECT doc_id, actual, {_lang_counts()} AS c FROM lw),
+pred AS (SELECT doc_id, actual, ({_lang_codes()})[list_position(c, list_max(c))] AS predicted FROM lc),
+conf AS (SELECT actual, predicted, count(*) AS n FROM pred GROUP BY actual, predicted),
+lab AS (SELECT DISTINCT label FROM (SELECT actual AS label FROM pred UNION ALL SELECT predicted FROM pred)),
+dense AS (SELECT a.label AS actual, b.label AS predicted, coalesce(conf.n, 0)::BIGINT AS n
+          FROM lab a CROSS JOIN lab b
+          LEFT JOIN conf ON conf.actual = a.label AND conf.predicted = b.label),
+rep AS (SELECT label, tp, support, predicted,
+               CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+               CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+               CASE WHEN support + predicted = 0 THEN 0.0 ELSE 2 * tp / (support + predicted) END AS f1
+        FROM (SELECT label,
+                     sum(CASE WHEN actual = label AND predicted = label THEN n ELSE 0 END)::BIGINT AS tp,
+                     sum(CASE WHEN actual = label THEN n ELSE 0 END)::BIGINT AS support,
+                     sum(CASE WHEN predicted = label THEN n ELSE 0 END)::BIGINT AS predicted
+              FROM lab JOIN conf ON conf.actual = lab.label OR conf.predicted = lab.label
+              GROUP BY label))"""
+
+EVAL = "WITH " + PRED + "\n"
+
+ORACLE["rule_predictions"] = EVAL + "SELECT doc_id, actual, predicted FROM pred"
+ORACLE["confusion_matrix"] = EVAL + "SELECT actual, predicted, n FROM conf"
+ORACLE["confusion_dense"] = EVAL + "SELECT actual, predicted, n FROM dense"
+ORACLE["confusion_wide"] = EVAL + """
+SELECT actual, list(n ORDER BY predicted) AS counts,
+       (SELECT list(label ORDER BY label) FROM lab) AS labels
+FROM dense GROUP BY actual"""
+ORACLE["class_report"] = EVAL + """
+SELECT label, tp, support, predicted, round(precision, 9) AS precision,
+       round(recall, 9) AS recall, round(f1, 9) AS f1 FROM rep"""
+ORACLE["evaluation_metrics"] = EVAL + """
+SELECT round(sum(tp) / sum(support), 9) AS accuracy,
+       round(sum(support * precision) / sum(support), 9) AS weighted_precision,
+       round(sum(support * recall) / sum(support), 9) AS weighted_recall,
+       round(sum(support * f1) / sum(support), 9) AS weighted_f1,
+       printf('%.5f', sum(tp) / sum(support)) AS accuracy_text,
+       printf('%.5f', sum(support * f1) / sum(support)) AS weighted_f1_text,
+       sum(support)::BIGINT AS rows
+FROM rep"""
+
+# --- vectors over `embeddings` ---------------------------------------------------
+
+VEC = """
+WITH sc AS (
+  SELECT vec_id, label, embedding,
+         list_transform(range(10), lambda c: list_sum(list_transform(range(64),
+             lambda j: embedding[j + 1]::DOUBLE * ((((c * 7 + j * 13) % 17) - 8) / 8.0::DOUBLE)))
+             + ((c % 3) - 1) / 10.0::DOUBLE) AS scores
+  FROM embeddings),
+ex AS (SELECT *, list_transform(scores, lambda x: exp(x - list_max(scores))) AS e FROM sc),
+pr AS (SELECT *, list_transform(e, lambda x: x / list_sum(e)) AS probs FROM ex)
+"""
+
+ORACLE["dense_scores"] = VEC + "SELECT vec_id, list_transform(scores, lambda x: round(x, 9)) AS scores FROM pr"
+ORACLE["softmax_scores"] = VEC + "SELECT vec_id, list_transform(probs, lambda x: round(x, 9)) AS probs FROM pr"
+ORACLE["sigmoid_scores"] = VEC + """
+SELECT vec_id, list_transform(scores, lambda x: round(1.0 / (1.0 + exp(-x)), 9)) AS sigmoid FROM pr"""
+ORACLE["argmax_label"] = VEC + """
+SELECT vec_id, label, (list_position(scores, list_max(scores)) - 1)::INTEGER AS predicted FROM pr"""
+ORACLE["cross_entropy"] = VEC + """
+SELECT round(avg(-ln(greatest(least(probs[label + 1], 1 - 1e-7), 1e-7))), 9) AS cross_entropy,
+       count(*) AS rows FROM pr"""
+ORACLE["categorical_accuracy"] = VEC + """
+SELECT round(avg(CASE WHEN list_position(probs, list_max(probs)) - 1 = label THEN 1 ELSE 0 END), 9)
+         AS categorical_accuracy, count(*) AS rows FROM pr"""
+ORACLE["max_pool"] = """
+SELECT label, list(m ORDER BY pos) AS pooled
+FROM (SELECT label, pos, max(x) AS m
+      FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+      GROUP BY label, pos)
+GROUP BY label"""
