@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import class_list
+from ..functions import tokenize as tk
 from ..functions import vectors as V
-from ..operators import evaluate, ingest, labels, profile, split
+from ..operators import encode, evaluate, ingest, labels, profile, split, text
 from ..sources.news import load_news, load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,3 +233,71 @@ def q_categorical_accuracy(spark, sf_dir):
 @register("max_pool")
 def q_max_pool(spark, sf_dir):
     return V.max_pool(load_table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+# --- stage 4: text -------------------------------------------------------------------
+
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    return merged(spark, sf_dir).select("row_id", tk.tokenize(F.col("combined_text")).alias("tokens"))
+
+
+@register("lemmatize")
+def q_lemmatize(spark, sf_dir):
+    toks = merged(spark, sf_dir).select(text.cleaned_tokens(F.col("combined_text")).alias("t"))
+    return text.lemma_table(text.vocabulary(toks, "t"))
+
+
+@register("normalize_text")
+def q_normalize_text(spark, sf_dir):
+    m = ingest.select_features(merged(spark, sf_dir))
+    return text.normalize_text(m).select("row_id", "combined_text", "category")
+
+
+@register("word_frequencies")
+def q_word_frequencies(spark, sf_dir):
+    return text.word_frequencies(clean(spark, sf_dir))
+
+
+@register("word_weights")
+def q_word_weights(spark, sf_dir):
+    return text.word_weights(clean(spark, sf_dir), 200).withColumnRenamed("rank", "rank_in_class")
+
+
+@register("top_bigrams")
+def q_top_bigrams(spark, sf_dir):
+    return text.top_ngrams(clean(spark, sf_dir), 2, 10).withColumnRenamed("rank", "rank_in_class")
+
+
+@register("top_trigrams")
+def q_top_trigrams(spark, sf_dir):
+    return text.top_ngrams(clean(spark, sf_dir), 3, 10).withColumnRenamed("rank", "rank_in_class")
+
+
+@register("bigrams_straddling")
+def q_bigrams_straddling(spark, sf_dir):
+    return text.ngram_counts_straddling(clean(spark, sf_dir), 2)
+
+
+@register("trigrams_straddling")
+def q_trigrams_straddling(spark, sf_dir):
+    return text.ngram_counts_straddling(clean(spark, sf_dir), 3)
+
+
+# --- stage 5b: vocabulary and encoding ----------------------------------------------
+
+def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits(spark, sf_dir).select("row_id", "split", tk.tokenize(F.col("combined_text")).alias("tokens"))
+
+
+@register("build_vocab")
+def q_build_vocab(spark, sf_dir):
+    t = split_tokens(spark, sf_dir)
+    return encode.build_vocab(t.where(F.col("split") == "train"))
+
+
+@register("encode_sequences")
+def q_encode_sequences(spark, sf_dir):
+    t = split_tokens(spark, sf_dir)
+    vocab = encode.build_vocab(t.where(F.col("split") == "train"))
+    return encode.encode_sequences(t, vocab)

@@ -293,3 +293,133 @@ FROM (SELECT label, pos, max(x) AS m
       FROM (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
       GROUP BY label, pos)
 GROUP BY label"""
+
+# --- stage 4: text ---------------------------------------------------------------
+
+def _repl(rep: str) -> str:
+    import re
+    return re.sub(r"\$(\d)", r"\\\1", rep)
+
+
+def tokenize_sql(col: str) -> str:
+    """The tokeniser of ``functions.tokenize`` as a DuckDB expression."""
+    from ..functions.fixed import ACRONYM_AT_BREAK, BLANKS, SENTENCE_END, TOKEN_RULES
+    x = f"trim(regexp_replace({col}, {q(BLANKS)}, ' ', 'g'))"
+    x = f"regexp_replace({x}, {q(SENTENCE_END)}, '\\1' || chr(10), 'g')"
+    x = f"regexp_replace({x}, {q(ACRONYM_AT_BREAK)}, '\\1\\2 ', 'g')"
+    t = "concat(' ', s, ' ')"
+    for pat, rep in TOKEN_RULES:
+        t = f"regexp_replace({t}, {q(pat)}, {q(_repl(rep))}, 'g')"
+    toks = f"flatten(list_transform(string_split({x}, chr(10)), lambda s: string_split_regex(trim({t}), ' +')))"
+    return f"list_filter({toks}, lambda t: t <> '')"
+
+
+def cleaned_tokens_sql(col: str) -> str:
+    from ..functions.fixed import NON_WORD
+    return (f"list_transform(list_filter({tokenize_sql(col)}, lambda t: t NOT IN {STOPWORDS_SQL}), "
+            f"lambda t: regexp_replace(t, {q(NON_WORD)}, '', 'g'))")
+
+
+def _lemma_candidates() -> str:
+    from ..functions.fixed import NOUN_SUFFIX_RULES
+    parts = []
+    for suf, rep in NOUN_SUFFIX_RULES:
+        cond = f"ends_with(word, {q(suf)})" + (" AND length(word) > 1" if suf == "s" else "")
+        parts.append(f"CASE WHEN {cond} THEN concat(substring(word, 1, length(word) - {len(suf)}), {q(rep)}) END")
+    return "[" + ", ".join(parts) + "]"
+
+
+WORD_SQL = "'[\\p{L}\\p{N}_]+'"
+
+TEXT = f"""
+tok AS (SELECT row_id, category, {cleaned_tokens_sql('combined_text')} AS t FROM merged),
+voc AS (SELECT DISTINCT w AS word FROM (SELECT unnest(t) AS w FROM tok) WHERE w <> ''),
+cand AS (SELECT word AS form, unnest({_lemma_candidates()}) AS lemma FROM voc),
+lem AS (SELECT form, lemma FROM (
+          SELECT form, lemma, row_number() OVER (PARTITION BY form ORDER BY length(lemma), lemma) AS rn
+          FROM cand WHERE lemma IS NOT NULL AND lemma <> form AND lemma IN (SELECT word FROM voc))
+        WHERE rn = 1),
+ex AS (SELECT row_id, unnest(t) AS form, unnest(range(len(t))) AS pos FROM tok),
+rl AS (SELECT row_id, list(coalesce(lem.lemma, ex.form) ORDER BY pos) AS t
+       FROM ex LEFT JOIN lem USING (form) GROUP BY row_id),
+norm AS (SELECT tok.row_id, tok.category, coalesce(rl.t, []::VARCHAR[]) AS t
+         FROM tok LEFT JOIN rl USING (row_id))"""
+
+TEXTQ = with_(NEWS, CLEAN, MERGED, TEXT)
+
+ORACLE["tokenize"] = with_(NEWS, CLEAN, MERGED) + f"""
+SELECT row_id, {tokenize_sql('combined_text')} AS tokens FROM merged"""
+
+ORACLE["lemmatize"] = TEXTQ + "SELECT form, lemma FROM lem"
+
+ORACLE["normalize_text"] = TEXTQ + """
+SELECT row_id,
+       array_to_string(list_transform(list_filter(t, lambda x: x <> ''),
+                                      lambda x: regexp_replace(x, '\\p{Nd}+', '', 'g')), ' ') AS combined_text,
+       category
+FROM norm"""
+
+HEADWORDS = f"""
+hw AS (SELECT category, row_id, regexp_extract_all(headline, {WORD_SQL}) AS w FROM clean)"""
+
+ORACLE["word_frequencies"] = with_(NEWS, CLEAN, HEADWORDS) + f"""
+SELECT category, word, count(*) AS n
+FROM (SELECT category, unnest(w) AS word FROM hw) WHERE word NOT IN {STOPWORDS_SQL}
+GROUP BY category, word"""
+
+ORACLE["word_weights"] = with_(NEWS, CLEAN, HEADWORDS) + f"""
+SELECT category, word, n, rank_in_class, round(n / max(n) OVER (PARTITION BY category), 9) AS weight
+FROM (SELECT category, word, count(*) AS n,
+             row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, word) AS rank_in_class
+      FROM (SELECT category, unnest(w) AS word FROM hw) WHERE word NOT IN {STOPWORDS_SQL}
+      GROUP BY category, word)
+WHERE rank_in_class <= 200"""
+
+
+def _top_ngrams_sql(n: int) -> str:
+    grams = f"list_transform(range(0, len(w) - {n} + 1), lambda i: array_to_string(w[i + 1 : i + {n}], ' '))"
+    return with_(NEWS, CLEAN, HEADWORDS) + f"""
+SELECT category, gram, n, rank_in_class
+FROM (SELECT category, gram, count(*) AS n,
+             row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, gram) AS rank_in_class
+      FROM (SELECT category, unnest({grams}) AS gram FROM hw)
+      GROUP BY category, gram)
+WHERE rank_in_class <= 10"""
+
+
+ORACLE["top_bigrams"] = _top_ngrams_sql(2)
+ORACLE["top_trigrams"] = _top_ngrams_sql(3)
+
+ORACLE["bigrams_straddling"] = with_(NEWS, CLEAN, HEADWORDS) + """,
+ws AS (SELECT category, row_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM hw),
+g AS (SELECT category, word || ' ' || lead(word) OVER (PARTITION BY category ORDER BY row_id, pos) AS gram FROM ws)
+SELECT category, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY category, gram"""
+
+ORACLE["trigrams_straddling"] = with_(NEWS, CLEAN, HEADWORDS) + """,
+ws AS (SELECT category, row_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM hw),
+g AS (SELECT category,
+             word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram
+      FROM ws WINDOW o AS (PARTITION BY category ORDER BY row_id, pos))
+SELECT category, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY category, gram"""
+
+# --- stage 5b: vocabulary and encoding ----------------------------------------------
+
+ENC = f""",
+tk AS (SELECT row_id, split, {tokenize_sql('combined_text')} AS t FROM splits),
+vcount AS (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM tk WHERE split = 'train')
+           WHERE word <> '' GROUP BY word),
+voc AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 + 4 AS id
+        FROM (SELECT * FROM vcount ORDER BY n DESC, word LIMIT 30000))"""
+
+ORACLE["build_vocab"] = SPLIT + ENC + "\nSELECT word, n, id FROM voc"
+
+ORACLE["encode_sequences"] = SPLIT + ENC + """,
+ex AS (SELECT row_id, unnest(t) AS word, unnest(range(len(t))) AS pos FROM tk),
+idl AS (SELECT row_id, list(coalesce(voc.id, 3)::INTEGER ORDER BY pos) AS ids
+        FROM ex LEFT JOIN voc USING (word) GROUP BY row_id),
+al AS (SELECT tk.row_id, coalesce(idl.ids, []::INTEGER[])[1:254] AS ids FROM tk LEFT JOIN idl USING (row_id))
+SELECT row_id,
+       list_concat([0], ids, [2], list_transform(range(256 - len(ids) - 2), lambda x: 1)) AS input_word_ids,
+       list_concat(list_transform(range(len(ids) + 2), lambda x: 1),
+                   list_transform(range(256 - len(ids) - 2), lambda x: 0)) AS input_mask
+FROM al"""
