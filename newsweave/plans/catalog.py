@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.sizing import class_list
 from ..functions import tokenize as tk
 from ..functions import vectors as V
-from ..operators import encode, evaluate, ingest, labels, profile, split, text
+from ..operators import encode, evaluate, ingest, labels, model, profile, split, text
+from ..session import scratch_path
 from ..sources.news import load_news, load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,3 +302,58 @@ def q_encode_sequences(spark, sf_dir):
     t = split_tokens(spark, sf_dir)
     vocab = encode.build_vocab(t.where(F.col("split") == "train"))
     return encode.encode_sequences(t, vocab)
+
+
+# --- stage 6b: model, batched scoring, sinks -------------------------------------------
+
+@register("batched_inference")
+def q_batched_inference(spark, sf_dir):
+    e = load_table(spark, sf_dir, "embeddings")
+    s = model.score_batches(e, model.make_dense_softmax, "embedding", V.DENSE_DIM)
+    return s.select("vec_id", "label", V.argmax(F.col("probs")).alias("predicted"),
+                    F.round(F.array_max("probs"), 6).alias("p_max"))
+
+
+def test_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    test = splits(spark, sf_dir).where(F.col("split") == "test").select("row_id", "combined_text", "category")
+    preds = predictions(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("predicted").alias("prediction"))
+    return model.attach_predictions(test, preds)
+
+
+@register("attach_predictions")
+def q_attach_predictions(spark, sf_dir):
+    return test_with_predictions(spark, sf_dir)
+
+
+@register("csv_round_trip")
+def q_csv_round_trip(spark, sf_dir):
+    path = scratch_path(spark, "predictions-csv")
+    model.write_csv(test_with_predictions(spark, sf_dir), path)
+    return model.read_csv(spark, path, "row_id bigint, combined_text string, category string, prediction string")
+
+
+def trained(spark: SparkSession, sf_dir: str):
+    s = text.normalize_text(ingest.select_features(merged(spark, sf_dir)))
+    s = split.stratified_split(s)
+    m = model.train_text_classifier(s.where(F.col("split") == "train"))
+    return s, m
+
+
+@register("train_and_score")
+def q_train_and_score(spark, sf_dir):
+    s, m = trained(spark, sf_dir)
+    return model.predict_labels(m, s.where(F.col("split") == "test")).select("row_id", "category", "prediction")
+
+
+@register("validation_report")
+def q_validation_report(spark, sf_dir):
+    s, m = trained(spark, sf_dir)
+    return model.validation_report(m, s.where(F.col("split") == "validation"))
+
+
+@register("model_evaluation")
+def q_model_evaluation(spark, sf_dir):
+    s, m = trained(spark, sf_dir)
+    p = model.predict_labels(m, s.where(F.col("split") == "test"))
+    return evaluate.evaluation_metrics(evaluate.confusion_matrix(p, "category", "prediction"),
+                                       "category", "prediction")

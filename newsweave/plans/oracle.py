@@ -423,3 +423,16 @@ SELECT row_id,
        list_concat(list_transform(range(len(ids) + 2), lambda x: 1),
                    list_transform(range(256 - len(ids) - 2), lambda x: 0)) AS input_mask
 FROM al"""
+
+# --- stage 6b: batched scoring and prediction attachment ----------------------------
+
+ORACLE["batched_inference"] = VEC + """
+SELECT vec_id, label, (list_position(probs, list_max(probs)) - 1)::INTEGER AS predicted,
+       round(list_max(probs), 6) AS p_max FROM pr"""
+
+ATTACH = SPLIT + "," + PRED + """
+SELECT s.row_id, s.combined_text, s.category, p.predicted AS prediction
+FROM splits s JOIN pred p ON p.doc_id = s.row_id WHERE s.split = 'test'"""
+
+ORACLE["attach_predictions"] = ATTACH
+ORACLE["csv_round_trip"] = ATTACH

@@ -26,6 +26,9 @@ def get_spark(app: str = "newsweave", master: str | None = None,
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", os.environ.get("NEWSWEAVE_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -66,3 +69,14 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate output under the shared checkpoint
+    folder (local runs without one fall back to a new temporary folder)."""
+    import tempfile
+    import uuid
+    base = ensure_checkpoint_dir(spark)
+    if base:
+        return base.rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"{name}-")
