@@ -45,13 +45,17 @@ def label_union(df: DataFrame, actual: str = "actual", predicted: str = "predict
             .union(df.select(F.col(predicted).alias("label"))).distinct())
 
 
-def confusion_dense(conf: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+def confusion_dense(conf: DataFrame, actual: str = "actual", predicted: str = "predicted",
+                    labels: list[str] | None = None) -> DataFrame:
     """Every (actual, predicted) cell over the sorted label union, zeros kept.
 
     The label vocabulary is bounded and fetched once (size-checked); the k^2
-    cells are generated from it and left-joined to the non-zero counts.
+    cells are generated from it and left-joined to the non-zero counts.  The
+    confusion table (at most k^2 rows) is persisted because it is read twice.
     """
-    labels = class_list(label_union(conf, actual, predicted), "label")
+    if labels is None:
+        conf = conf.persist()
+        labels = class_list(label_union(conf, actual, predicted), "label")
     lit = F.array(*[F.lit(x) for x in labels])
     cells = (conf.sparkSession.range(1).select(F.explode(lit).alias(actual))
              .select(actual, F.explode(lit).alias(predicted)))
@@ -61,8 +65,9 @@ def confusion_dense(conf: DataFrame, actual: str = "actual", predicted: str = "p
 
 def confusion_wide(conf: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """A10, wide form: one row per actual label, counts in sorted label order."""
+    conf = conf.persist()
     labels = class_list(label_union(conf, actual, predicted), "label")
-    return (confusion_dense(conf, actual, predicted)
+    return (confusion_dense(conf, actual, predicted, labels)
             .groupBy(actual)
             .agg(F.sort_array(F.collect_list(F.struct(predicted, "n"))).alias("__c"))
             .select(actual, F.transform("__c", lambda s: s["n"]).alias("counts"))

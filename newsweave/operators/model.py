@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions import tokenize as tk
 from ..functions.fixed import SCORE_BATCH
 from ..functions.vectors import argmax, clipped_log_loss
+from ..session import materialize
 
 # 2^16 hashed terms x k classes keeps the dense gradient small enough to be
 # aggregated in a tree across many executors.
@@ -30,27 +31,38 @@ def featurize(df: DataFrame, col: str = "combined_text") -> DataFrame:
     return df.withColumn("tokens", tk.tokenize(F.col(col)))
 
 
-def train_text_classifier(train: DataFrame, label: str = "category", max_iter: int = 50,
-                          reg: float = 0.0, num_features: int = NUM_FEATURES) -> PipelineModel:
-    """M6: fit tokens -> TF -> IDF -> softmax regression; labels indexed alphabetically."""
+def train_text_classifier(train: DataFrame, label: str = "category", max_iter: int = 30,
+                          reg: float = 1e-3, num_features: int = NUM_FEATURES) -> PipelineModel:
+    """M6: fit tokens -> TF -> IDF -> softmax regression; labels indexed alphabetically.
+
+    The featurised training set is checkpointed once in the shared folder:
+    the label index, IDF and every optimiser pass then read it instead of
+    re-running the upstream plan (and a lost executor does not either).
+    """
     pipe = Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg,
+        LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, tol=1e-4,
                            featuresCol="features", labelCol="label", aggregationDepth=3),
     ])
-    return pipe.fit(featurize(train))
+    return pipe.fit(materialize(featurize(train).select(label, "tokens")))
 
 
 def model_classes(model: PipelineModel) -> list[str]:
     return list(model.stages[0].labels)
 
 
+def _decode_array(model: PipelineModel):
+    # the label index keeps one extra slot for labels unseen in training;
+    # a row scored into it has no class name
+    return F.array(*[F.lit(c) for c in model_classes(model)], F.lit(None).cast("string"))
+
+
 def predict_labels(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
     """M8: arg-max class index -> class name (J3 through the fitted label list)."""
     scored = model.transform(featurize(df))
-    classes = F.array(*[F.lit(c) for c in model_classes(model)])
+    classes = _decode_array(model)
     probs = vector_to_array("probability")
     return (scored.withColumn("probs", probs)
             .withColumn(out, F.element_at(classes, argmax(F.col("probs")) + 1))

@@ -45,13 +45,13 @@ def _largest_remainder(df: DataFrame, label: str, n: str, target: str, total: st
               .drop("__base", "__rem", "__short", "__rk"))
 
 
-def split_quotas(df: DataFrame, label: str = "category", holdout_tenths: int = HOLDOUT_TENTHS) -> DataFrame:
-    """Per-class quotas (label, n, train, validation, test).
+def quotas_from_counts(counts: DataFrame, label: str = "category",
+                       holdout_tenths: int = HOLDOUT_TENTHS) -> DataFrame:
+    """Per-class quotas (label, n, train, validation, test) from (label, n).
 
     Totals are exact: held out = ceil(N * tenths / 10), the rest trains;
     the held-out part is halved, validation = floor(M / 2).
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()
     c = (counts.withColumn("__all", F.sum("n").over(everything))
                .withColumn("__keep", F.col("__all") - F.expr(f"(__all * {holdout_tenths} + 9) div 10")))
@@ -63,15 +63,26 @@ def split_quotas(df: DataFrame, label: str = "category", holdout_tenths: int = H
     return c.select(label, "n", "train", "validation", (F.col("__m") - F.col("validation")).alias("test"))
 
 
+def split_quotas(df: DataFrame, label: str = "category", holdout_tenths: int = HOLDOUT_TENTHS) -> DataFrame:
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return quotas_from_counts(counts, label, holdout_tenths)
+
+
 def stratified_split(df: DataFrame, label: str = "category", key: str = "row_id",
                      seed: int = SPLIT_SEED, holdout_tenths: int = HOLDOUT_TENTHS,
                      out: str = "split") -> DataFrame:
-    """M1: add ``split`` in {train, validation, test} with exact per-class quotas."""
+    """M1: add ``split`` in {train, validation, test} with exact per-class quotas.
+
+    One aggregate over the rows (counts per class and hash bucket) feeds both
+    the quotas and the bucket ranges; the rows are then read once more and
+    only the cut buckets are ranked.
+    """
     h = order_key(key, seed)
     rows = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, SPLIT_BUCKET_HEX))
-    quotas = split_quotas(df, label, holdout_tenths).select(
-        label, F.col("train").alias("__c1"), (F.col("train") + F.col("validation")).alias("__c2"))
     buckets = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    quotas = quotas_from_counts(buckets.groupBy(label).agg(F.sum("__cnt").alias("n")), label,
+                                holdout_tenths).select(
+        label, F.col("train").alias("__c1"), (F.col("train") + F.col("validation")).alias("__c2"))
     before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (buckets.withColumn("__lo", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
                .join(quotas, label)

@@ -315,8 +315,16 @@ def q_batched_inference(spark, sf_dir):
 
 
 def test_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows with the stand-in predictor's output attached by key.
+
+    The predictor reads whole documents, so it runs only on the documents of
+    the test split (a semi join in front of it), not on the whole table.
+    """
     test = splits(spark, sf_dir).where(F.col("split") == "test").select("row_id", "combined_text", "category")
-    preds = predictions(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("predicted").alias("prediction"))
+    docs = load_table(spark, sf_dir, "documents").join(
+        test.select(F.col("row_id").alias("doc_id")), "doc_id", "left_semi")
+    preds = evaluate.language_predictions(docs).select(
+        F.col("doc_id").alias("row_id"), F.col("predicted").alias("prediction"))
     return model.attach_predictions(test, preds)
 
 
