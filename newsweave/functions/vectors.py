@@ -84,3 +84,10 @@ def clipped_log_loss(probs: Column, label: Column, eps: float = PROB_CLIP) -> Co
     """Per-row -ln p(true), p clipped to [eps, 1 - eps] (A16's summand)."""
     p = F.element_at(probs, label + 1)
     return -F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
+
+
+def pool_sequence(vectors: Column) -> Column:
+    """One vector per row from a sequence of token vectors (element-wise max)."""
+    first = F.element_at(vectors, 1)
+    return F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors) - 1, F.lit(0))), first,
+                       lambda acc, v: F.zip_with(acc, v, lambda a, b: F.greatest(a, b)))

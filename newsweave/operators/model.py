@@ -131,3 +131,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_csv(spark, path: str, schema: str) -> DataFrame:
     return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .schema(schema).csv(path))
+
+
+def score_one(spark, fitted: PipelineModel, text: str) -> DataFrame:
+    """Smoke prediction for one text (a one-row DataFrame through the model)."""
+    one = spark.createDataFrame([(text,)], "combined_text string")
+    return predict_labels(fitted, one)

@@ -47,18 +47,24 @@ def lemma_table(vocab: DataFrame, dictionary: DataFrame | None = None) -> DataFr
 
     Candidates come from the noun suffix rules; a candidate counts only if
     it is in the dictionary (default: the vocabulary itself); the shortest
-    wins, ties by text.  Both sides are vocabulary-sized, not row-sized.
+    wins, ties by text.  Dictionary words and candidates are unioned and
+    grouped by the candidate text, so membership is one aggregate over
+    vocabulary-sized input (no self join); a text is the candidate of at
+    most one form per rule, so no group grows with the data.
     """
-    dictionary = vocab if dictionary is None else dictionary
     f = F.col("word")
     cands = F.array(*[
         F.when(f.endswith(suf) & (F.length(f) > len(suf)) if suf == "s" else f.endswith(suf),
                F.concat(f.substr(F.lit(1), F.length(f) - len(suf)), F.lit(rep)))
         for suf, rep in NOUN_SUFFIX_RULES])
-    c = (vocab.select(f.alias("form"), F.explode(cands).alias("lemma"))
+    c = (vocab.select(F.explode(cands).alias("lemma"), f.alias("form"))
          .where(F.col("lemma").isNotNull() & (F.col("lemma") != F.col("form"))))
-    known = dictionary.select(F.col("word").alias("lemma")).distinct()
-    hit = c.join(known, "lemma", "left_semi")
+    words = (vocab if dictionary is None else dictionary).select(
+        F.col("word").alias("lemma"), F.lit(None).cast("string").alias("form"))
+    by_text = (c.unionByName(words).groupBy("lemma")
+               .agg(F.max(F.col("form").isNull()).alias("known"),
+                    F.collect_set("form").alias("forms")))
+    hit = by_text.where("known").select("lemma", F.explode("forms").alias("form"))
     return (hit.groupBy("form")
             .agg(F.min(F.struct(F.length("lemma").alias("l"), F.col("lemma").alias("x"))).alias("m"))
             .select("form", F.col("m.x").alias("lemma")))

@@ -365,3 +365,11 @@ def q_model_evaluation(spark, sf_dir):
     p = model.predict_labels(m, s.where(F.col("split") == "test"))
     return evaluate.evaluation_metrics(evaluate.confusion_matrix(p, "category", "prediction"),
                                        "category", "prediction")
+
+
+@register("decode_class")
+def q_decode_class(spark, sf_dir):
+    s = splits(spark, sf_dir)
+    classes = labels.class_table(s.where(F.col("split") == "train"))
+    test = labels.index_labels(s.where(F.col("split") == "test"), classes)
+    return labels.decode_class(test, classes, idx_col="label", out="decoded").select("row_id", "label", "decoded")

@@ -436,3 +436,10 @@ FROM splits s JOIN pred p ON p.doc_id = s.row_id WHERE s.split = 'test'"""
 
 ORACLE["attach_predictions"] = ATTACH
 ORACLE["csv_round_trip"] = ATTACH
+
+ORACLE["decode_class"] = SPLIT + """,
+cls AS (SELECT row_number() OVER (ORDER BY category) - 1 AS idx, category
+        FROM (SELECT DISTINCT category FROM splits WHERE split = 'train'))
+SELECT s.row_id, c.idx AS label, d.category AS decoded
+FROM splits s LEFT JOIN cls c ON c.category = s.category LEFT JOIN cls d ON d.idx = c.idx
+WHERE s.split = 'test'"""

@@ -11,7 +11,7 @@ NAMES = sorted(entry.queries())
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    rows_only = {"train_and_score", "validation_report", "model_evaluation"}
+    rows_only = {"train_and_score", "validation_report", "model_evaluation"}  # trained model
     assert set(entry.queries()) - set(entry.oracle_sql()) == rows_only
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
