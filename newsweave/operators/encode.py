@@ -27,7 +27,7 @@ def build_vocab(tokens_df: DataFrame, tokens: str = "tokens", size: int = VOCAB_
               .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
     w = Window.orderBy(F.desc("n"), "word")
-    return top.select("word", "n", (F.row_number().over(w) - 1 + FIRST_WORD_ID).alias("id"))
+    return top.select("word", "n", (F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("long").alias("id"))
 
 
 def encode_sequences(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "row_id",

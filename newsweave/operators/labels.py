@@ -37,7 +37,7 @@ def class_table(df: DataFrame, col: str = "category") -> DataFrame:
     distinct classes only.
     """
     d = df.select(col).distinct()
-    return d.select((F.row_number().over(Window.orderBy(col)) - 1).alias("idx"), col)
+    return d.select((F.row_number().over(Window.orderBy(col)) - 1).cast("long").alias("idx"), col)
 
 
 def one_hot(df: DataFrame, classes: list[str], col: str = "category",

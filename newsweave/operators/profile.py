@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizing import bounded_broadcast
+
 ROUND = 9
 
 
@@ -19,7 +21,7 @@ def byline_authors(col: Column) -> Column:
     Strip one trailing ', ap', split on ', ' or ' and ' (left-most
     alternative wins), drop empty names.
     """
-    stripped =F.when(col.endswith(", ap"), col.substr(F.lit(1), F.length(col) - 4)).otherwise(col)
+    stripped = F.when(col.endswith(", ap"), col.substr(F.lit(1), F.length(col) - 4)).otherwise(col)
     return F.filter(F.split(stripped, ", | and "), lambda x: x != "")
 
 
@@ -75,7 +77,7 @@ def distinct_categories_first_seen(df: DataFrame, key: str = "row_id") -> DataFr
     """Distinct categories with their first-seen key and order."""
     first = df.groupBy("category").agg(F.min(key).alias("first_row_id"))
     return first.select("category", "first_row_id",
-                        F.row_number().over(Window.orderBy("first_row_id", "category")).alias("seen_order"))
+                        F.row_number().over(Window.orderBy("first_row_id", "category")).cast("long").alias("seen_order"))
 
 
 def length_summary(df: DataFrame, col: str = "headline") -> DataFrame:
@@ -83,8 +85,8 @@ def length_summary(df: DataFrame, col: str = "headline") -> DataFrame:
 
     Quartiles are exact (interpolated); whiskers are the extreme lengths
     within 1.5 IQR of the box, outliers the count outside.  Two passes: a
-    quartile aggregate (one row per category, broadcast: its size is the
-    number of categories) and a conditional aggregate over the rows.
+    quartile aggregate (one row per category, broadcast after a row-count
+    check) and a conditional aggregate over the rows.
     """
     lengths = df.select("category", F.length(col).alias("len"))
     q = (lengths.groupBy("category")
@@ -94,7 +96,7 @@ def length_summary(df: DataFrame, col: str = "headline") -> DataFrame:
                  F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3")))
     q = q.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = lengths.join(F.broadcast(q), "category")
+    j = lengths.join(bounded_broadcast(q), "category")
     inside = (F.col("len") >= F.col("lo")) & (F.col("len") <= F.col("hi"))
     return (j.groupBy("category", "n", "q1", "q2", "q3")
             .agg(F.min(F.when(inside, F.col("len"))).cast("long").alias("whisker_low"),

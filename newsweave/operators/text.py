@@ -127,7 +127,7 @@ def top_by_count(df: DataFrame, k: int, label: str = "category", item: str = "wo
     """O3 / top-k per class: the window runs on the aggregated table, whose
     size is bounded by the distinct items per class, not by rows."""
     w = Window.partitionBy(label).orderBy(F.desc("n"), F.col(item))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def word_weights(df: DataFrame, top: int = 200, col: str = "headline", label: str = "category") -> DataFrame:

@@ -180,7 +180,8 @@ splits AS (SELECT r.*, CASE WHEN rnk <= q.train THEN 'train'
 SPLIT = with_(NEWS, CLEAN, MERGED, QUOTAS)
 
 ORACLE["split_quotas"] = SPLIT + """
-SELECT category, n, train, validation, m - validation AS test FROM quota"""
+SELECT category, n, train::BIGINT AS train, validation::BIGINT AS validation,
+       (m - validation)::BIGINT AS test FROM quota"""
 
 ORACLE["stratified_split"] = SPLIT + """
 SELECT row_id, category, split FROM splits"""
