@@ -74,7 +74,9 @@ def apply_lemmas(df: DataFrame, tokens: str, lemmas: DataFrame, key: str = "row_
                  out: str | None = None) -> DataFrame:
     """Replace every token by its lemma, keeping order and empty arrays.
 
-    posexplode_outer keeps token-less rows; the lemma table is joined
+    Columns other than the key and the tokens are copied into every token
+    row, so callers pass only small ones.  posexplode_outer keeps token-less
+    rows; the lemma table is joined
     (broadcast under the bound, else a shuffle join that AQE can split when
     a form is hot); tokens are regrouped per key.  All tokens of a row sit in
     one partition, so collect_list's partial aggregate leaves one buffer per
@@ -102,7 +104,9 @@ def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id
     The result replaces ``col``.  ``squeeze=True`` also drops the empties
     left by the digit step (the reference keeps them as double blanks).
     """
-    toks = df.withColumn("__tok", cleaned_tokens(F.col(col), stopwords))
+    # the text itself is dropped before the explode: every token row would
+    # otherwise carry a copy of its whole document
+    toks = df.withColumn("__tok", cleaned_tokens(F.col(col), stopwords)).drop(col)
     vocab = vocabulary(toks, "__tok")
     lem = lemma_table(vocab, dictionary)
     withl = apply_lemmas(toks, "__tok", lem, key)

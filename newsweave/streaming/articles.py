@@ -41,7 +41,7 @@ def normalize_batch(lemmas: DataFrame, out_path: str):
     batch replayed after a failure overwrites its own output only.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        toks = batch.withColumn("__tok", text.cleaned_tokens(F.col("combined_text")))
+        toks = batch.withColumn("__tok", text.cleaned_tokens(F.col("combined_text"))).drop("combined_text")
         withl = text.apply_lemmas(toks, "__tok", lemmas, "row_id")
         from ..functions import tokenize as tk
         res = withl.withColumn("combined_text", tk.join_tokens(tk.strip_digits(tk.drop_empty(F.col("__tok"))))) \

@@ -37,3 +37,15 @@ def test_pool_sequence(spark):
                                "v array<array<double>>")
     got = [r.p for r in df.select(V.pool_sequence(F.col("v")).alias("p")).collect()]
     assert got == [[3.0, 9.0], [4.0, 4.0]]
+
+
+def test_load_lexicon(spark, tmp_out):
+    from newsweave.operators import text
+    assert text.load_lexicon(spark).count() == 179
+    p = tmp_out + "/dict.csv"
+    with open(p, "w") as f:
+        f.write("word\nmovie\ntop\n")
+    d = text.load_lexicon(spark, p, kind="dictionary")
+    assert sorted(r.word for r in d.collect()) == ["movie", "top"]
+    df = spark.createDataFrame([(1, "top movies")], "row_id long, combined_text string")
+    assert text.normalize_text(df, dictionary=d).collect()[0].combined_text == "top movie"
