@@ -1,7 +1,7 @@
 """Tokeniser and token-array helpers as Column expressions.
 
-The tokeniser is a fold of ``regexp_replace`` over the fixed rule table,
-applied per sentence with ``transform`` and flattened: whole texts, JVM only.
+The tokeniser is a fold of ``regexp_replace`` over the fixed rule table, run
+once over the whole text: whole texts, JVM only, inside generated code.
 """
 
 from __future__ import annotations
@@ -15,24 +15,22 @@ from .fixed import (ACRONYM_AT_BREAK, BLANKS, DIGITS, NON_WORD, SENTENCE_END,
                     STOPWORDS_EN, TOKEN_RULES, WORD)
 
 
-def sentences(text: Column) -> Column:
-    """Collapse blanks, break after ., ! or ? + blank (not after dotted acronyms)."""
+def tokenize(text: Column) -> Column:
+    """Text -> word tokens (contractions and punctuation split off).
+
+    Blanks are collapsed, sentences end after ., ! or ? + blank (not after
+    dotted acronyms) and are padded with a blank on both sides; the rules then
+    run once over the whole text in multi-line mode, so a rule anchored at
+    ``$`` sees each sentence end.  No rule can match across the padded
+    boundary, so this equals applying the rules sentence by sentence, and the
+    whole chain stays in generated code (no per-element lambdas).
+    """
     x = F.trim(F.regexp_replace(text, BLANKS, " "))
     x = F.regexp_replace(x, SENTENCE_END, "$1\n")
     x = F.regexp_replace(x, ACRONYM_AT_BREAK, "$1$2 ")
-    return F.split(x, "\n")
-
-
-def _word_rules(sentence: Column) -> Column:
-    padded = F.concat(F.lit(" "), sentence, F.lit(" "))
-    out = reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], rule[1]), TOKEN_RULES, padded)
-    return F.split(F.trim(out), " +")
-
-
-def tokenize(text: Column) -> Column:
-    """Text -> word tokens (contractions and punctuation split off)."""
-    toks = F.flatten(F.transform(sentences(text), _word_rules))
-    return F.filter(toks, lambda t: t != "")
+    x = F.concat(F.lit(" "), F.regexp_replace(x, "\n", " \n "), F.lit(" "))
+    x = reduce(lambda acc, rule: F.regexp_replace(acc, "(?m)" + rule[0], rule[1]), TOKEN_RULES, x)
+    return F.array_remove(F.split(F.trim(x), "[ \n]+"), "")
 
 
 def remove_stopwords(tokens: Column, words: list[str] | None = None) -> Column:
@@ -44,13 +42,19 @@ def remove_stopwords(tokens: Column, words: list[str] | None = None) -> Column:
 
 
 def strip_punctuation(tokens: Column) -> Column:
-    """Remove everything but letters, digits, underscore and blanks."""
-    return F.transform(tokens, lambda t: F.regexp_replace(t, NON_WORD, ""))
+    """Remove everything but letters, digits, underscore and blanks.
+
+    Tokens hold no blanks, so the stripping runs once on the blank-joined
+    tokens and the result is split back; punctuation tokens stay as empty
+    strings in place.  (An empty array comes back as [''], which the later
+    empty-token filter removes.)
+    """
+    return F.split(F.regexp_replace(F.array_join(tokens, " "), NON_WORD, ""), " ")
 
 
 def drop_empty(tokens: Column) -> Column:
     """T5 / F4."""
-    return F.filter(tokens, lambda t: t != "")
+    return F.array_remove(tokens, "")
 
 
 def strip_digits(tokens: Column) -> Column:
@@ -63,6 +67,14 @@ def join_tokens(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
+def strip_digits_joined(tokens: Column) -> Column:
+    """T6 + T7 in one string operation: join, then remove digit runs.
+
+    Equal to stripping every token and joining, since no digit run spans
+    the blank separator; an all-digit token leaves a double blank."""
+    return F.regexp_replace(F.array_join(tokens, " "), DIGITS, "")
+
+
 def word_tokens(text: Column) -> Column:
     """Runs of letters, digits and underscore."""
     return F.regexp_extract_all(text, F.lit(WORD), 0)

@@ -110,10 +110,11 @@ def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id
     vocab = vocabulary(toks, "__tok")
     lem = lemma_table(vocab, dictionary)
     withl = apply_lemmas(toks, "__tok", lem, key)
-    final = tk.strip_digits(tk.drop_empty(F.col("__tok")))
     if squeeze:
-        final = tk.drop_empty(final)
-    return withl.withColumn(col, tk.join_tokens(final)).drop("__tok")
+        final = tk.join_tokens(tk.drop_empty(tk.strip_digits(tk.drop_empty(F.col("__tok")))))
+    else:
+        final = tk.strip_digits_joined(tk.drop_empty(F.col("__tok")))
+    return withl.withColumn(col, final).drop("__tok")
 
 
 # --- word and n-gram tables (per raw category, over headlines) -------------------

@@ -44,7 +44,7 @@ def normalize_batch(lemmas: DataFrame, out_path: str):
         toks = batch.withColumn("__tok", text.cleaned_tokens(F.col("combined_text"))).drop("combined_text")
         withl = text.apply_lemmas(toks, "__tok", lemmas, "row_id")
         from ..functions import tokenize as tk
-        res = withl.withColumn("combined_text", tk.join_tokens(tk.strip_digits(tk.drop_empty(F.col("__tok"))))) \
+        res = withl.withColumn("combined_text", tk.strip_digits_joined(tk.drop_empty(F.col("__tok")))) \
                    .drop("__tok")
         res.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
     return run
