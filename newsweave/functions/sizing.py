@@ -37,3 +37,28 @@ def class_list(df: DataFrame, col: str = "category", max_classes: int = MAX_CLAS
     if len(rows) > max_classes:
         raise ValueError(f"more than {max_classes} classes in {col!r}")
     return [r[0] for r in rows]
+
+
+# Inputs below this many bytes per core are spread over the cores by key
+# before CPU-heavy row-local work (a single-row-group file is read by one task).
+SMALL_INPUT_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (for a file scan: the file sizes)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread_small(df: DataFrame, key: str, estimate_of: DataFrame | None = None) -> DataFrame:
+    """Hash-partition a *small* input over the cores by ``key``.
+
+    Large inputs already arrive in many splits and are returned unchanged,
+    so this never adds a shuffle of big data.  ``estimate_of`` is the scan
+    whose size decides (default: ``df`` itself).
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if cores > 1 and estimated_bytes(estimate_of if estimate_of is not None else df) \
+            <= SMALL_INPUT_BYTES_PER_CORE * cores:
+        return df.repartition(cores, key)
+    return df

@@ -7,6 +7,7 @@ ones over the real positions; both arrays are exactly ``max_len`` long.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +20,22 @@ VOCAB_SIZE = 30_000
 def build_vocab(tokens_df: DataFrame, tokens: str = "tokens", size: int = VOCAB_SIZE) -> DataFrame:
     """The ``size`` most frequent tokens -> ids (count desc, token asc).
 
-    The vocabulary size is the feature's own limit: a bounded top-k
-    (TakeOrdered), then a rank over at most ``size`` rows.
+    The vocabulary size is the feature's own limit: a bounded top-k, then a
+    rank over at most ``size`` rows.  Before the top-k, words whose count is
+    below the size-th largest count are dropped: that threshold comes from
+    the histogram of count values (one row per distinct count), so the final
+    merge of the top-k sees about ``size`` rows instead of size x partitions.
     """
     counts = (tokens_df.select(F.explode(tokens).alias("word"))
               .where(F.col("word") != "")
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+              .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+              .persist(StorageLevel.MEMORY_AND_DISK))  # vocabulary-sized, read twice
+    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    at_least = hist.withColumn(
+        "cum", F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
+    row = at_least.where(F.col("cum") >= size).agg(F.max("n").alias("t")).collect()[0]
+    if row.t is not None:
+        counts = counts.where(F.col("n") >= int(row.t))
     top = counts.orderBy(F.desc("n"), "word").limit(size)
     w = Window.orderBy(F.desc("n"), "word")
     return top.select("word", "n", (F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("long").alias("id"))

@@ -24,6 +24,9 @@ from ..session import materialize
 # 2^16 hashed terms x k classes keeps the dense gradient small enough to be
 # aggregated in a tree across many executors.
 NUM_FEATURES = 1 << 16
+# Every optimiser pass sends one dense gradient per partition, so training
+# partitions are sized by rows: many at scale, one for a small training set.
+ROWS_PER_TRAIN_PARTITION = 50_000
 
 
 def featurize(df: DataFrame, col: str = "combined_text") -> DataFrame:
@@ -46,7 +49,9 @@ def train_text_classifier(train: DataFrame, label: str = "category", max_iter: i
         LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, tol=1e-4,
                            featuresCol="features", labelCol="label", aggregationDepth=3),
     ])
-    return pipe.fit(materialize(featurize(train).select(label, "tokens")))
+    feats = materialize(featurize(train).select(label, "tokens"))
+    parts = max(1, -(-feats.count() // ROWS_PER_TRAIN_PARTITION))
+    return pipe.fit(feats.coalesce(parts))
 
 
 def model_classes(model: PipelineModel) -> list[str]:

@@ -34,21 +34,28 @@ def explode_authors(df: DataFrame, col: str = "authors") -> DataFrame:
     return df.select("*", F.posexplode(col).alias("author_pos", "author")).drop(col)
 
 
-def category_profile(df: DataFrame) -> DataFrame:
-    """A1-A5 + O1: per category articles, mean and exact median lengths.
-
-    One aggregate. ``median`` keeps a value->count map per group; lengths are
-    small integers, so the buffer stays small however many rows a group has.
+def category_profile(df: DataFrame, tie_break: str = "category", approx: bool = False,
+                     key: str = "row_id") -> DataFrame:
+    """A1-A5 + O1: per category articles, mean and median lengths.
+
+    One aggregate.  The exact ``median`` keeps a value->count map per group;
+    lengths are small integers, so the buffer stays small however many rows
+    a group has.  ``approx=True`` uses ``percentile_approx`` instead.
+    ``tie_break='first_seen'`` orders equal counts by first appearance (the
+    reference's stable sort), taking ``min(key)`` in the same aggregate.
     """
     hl = F.length("headline")
     dl = F.length("short_description")
-    return (df.groupBy("category")
-            .agg(F.count(F.lit(1)).alias("articles"),
-                 F.round(F.avg(hl), ROUND).alias("mean_headline_len"),
-                 F.median(hl).alias("median_headline_len"),
-                 F.round(F.avg(dl), ROUND).alias("mean_description_len"),
-                 F.median(dl).alias("median_description_len"))
-            .orderBy(F.desc("articles"), "category"))
+    med = (lambda c: F.percentile_approx(c, 0.5).cast("double")) if approx else F.median
+    aggs = [F.count(F.lit(1)).alias("articles"),
+            F.round(F.avg(hl), ROUND).alias("mean_headline_len"),
+            med(hl).alias("median_headline_len"),
+            F.round(F.avg(dl), ROUND).alias("mean_description_len"),
+            med(dl).alias("median_description_len")]
+    if tie_break == "first_seen":
+        aggs.append(F.min(key).alias("first_row_id"))
+        return df.groupBy("category").agg(*aggs).orderBy(F.desc("articles"), "first_row_id")
+    return df.groupBy("category").agg(*aggs).orderBy(F.desc("articles"), "category")
 
 
 def category_counts(df: DataFrame) -> DataFrame:

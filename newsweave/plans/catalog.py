@@ -15,8 +15,8 @@ from ..functions.sizing import class_list
 from ..functions import tokenize as tk
 from ..functions import vectors as V
 from ..operators import encode, evaluate, ingest, labels, model, profile, split, text
-from ..session import scratch_path
-from ..sources.news import load_news, load_table
+from ..session import materialize, scratch_path
+from ..sources.news import load_documents, load_news, load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,7 +156,7 @@ def q_one_hot(spark, sf_dir):
 # --- stage 6: evaluation -------------------------------------------------------
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.language_predictions(load_table(spark, sf_dir, "documents"))
+    return evaluate.language_predictions(load_documents(spark, sf_dir))
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +321,7 @@ def test_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     the test split (a semi join in front of it), not on the whole table.
     """
     test = splits(spark, sf_dir).where(F.col("split") == "test").select("row_id", "combined_text", "category")
-    docs = load_table(spark, sf_dir, "documents").join(
+    docs = load_documents(spark, sf_dir).join(
         test.select(F.col("row_id").alias("doc_id")), "doc_id", "left_semi")
     preds = evaluate.language_predictions(docs).select(
         F.col("doc_id").alias("row_id"), F.col("predicted").alias("prediction"))
@@ -341,28 +341,37 @@ def q_csv_round_trip(spark, sf_dir):
 
 
 def trained(spark: SparkSession, sf_dir: str):
-    s = text.normalize_text(ingest.select_features(merged(spark, sf_dir)))
-    s = split.stratified_split(s)
-    m = model.train_text_classifier(s.where(F.col("split") == "train"))
-    return s, m
+    """Normalise once, write the split (S7), train on the written train part.
+
+    The normalised corpus is checkpointed before the split reads it (size
+    check, counts, rows), and the split is written partitioned by `split`,
+    so training and scoring read their part with partition pruning instead
+    of re-running tokenisation and the lemma join.
+    """
+    norm = materialize(text.normalize_text(ingest.select_features(merged(spark, sf_dir))))
+    path = scratch_path(spark, "splits")
+    split.persist_splits(split.stratified_split(norm), path)
+    m = model.train_text_classifier(split.read_split(spark, path, "train"))
+    return path, m
 
 
 @register("train_and_score")
 def q_train_and_score(spark, sf_dir):
-    s, m = trained(spark, sf_dir)
-    return model.predict_labels(m, s.where(F.col("split") == "test")).select("row_id", "category", "prediction")
+    path, m = trained(spark, sf_dir)
+    test = split.read_split(spark, path, "test")
+    return model.predict_labels(m, test).select("row_id", "category", "prediction")
 
 
 @register("validation_report")
 def q_validation_report(spark, sf_dir):
-    s, m = trained(spark, sf_dir)
-    return model.validation_report(m, s.where(F.col("split") == "validation"))
+    path, m = trained(spark, sf_dir)
+    return model.validation_report(m, split.read_split(spark, path, "validation"))
 
 
 @register("model_evaluation")
 def q_model_evaluation(spark, sf_dir):
-    s, m = trained(spark, sf_dir)
-    p = model.predict_labels(m, s.where(F.col("split") == "test"))
+    path, m = trained(spark, sf_dir)
+    p = model.predict_labels(m, split.read_split(spark, path, "test"))
     return evaluate.evaluation_metrics(evaluate.confusion_matrix(p, "category", "prediction"),
                                        "category", "prediction")
 

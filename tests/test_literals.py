@@ -151,3 +151,13 @@ def test_batch_sizes(spark, n):
     for r in out[:5]:
         assert abs(sum(r.probs) - 1) < 1e-9
     assert all(np.isfinite(r.probs).all() for r in out)
+
+
+def test_profile_first_seen_ties_and_approx(spark):
+    rows = [(1, "b", "xx", "y"), (2, "a", "x", "y"), (3, "b", "xxxx", "y"), (4, "a", "xxx", "y"), (5, "c", "x", "y")]
+    df = spark.createDataFrame(rows, "row_id long, category string, headline string, short_description string")
+    got = [r.category for r in profile.category_profile(df, tie_break="first_seen").collect()]
+    assert got == ["b", "a", "c"]
+    assert [r.category for r in profile.category_profile(df).collect()] == ["a", "b", "c"]
+    approx = {r.category: r.median_headline_len for r in profile.category_profile(df, approx=True).collect()}
+    assert approx["c"] == 1.0 and approx["a"] in (1.0, 3.0)
