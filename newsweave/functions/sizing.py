@@ -44,9 +44,13 @@ def class_list(df: DataFrame, col: str = "category", max_classes: int = MAX_CLAS
 SMALL_INPUT_BYTES_PER_CORE = 64 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (for a file scan: the file sizes)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan (for a file scan: the file sizes);
+    None where the plan is not reachable (e.g. a Spark Connect session)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
 
 
 def spread_small(df: DataFrame, key: str, estimate_of: DataFrame | None = None) -> DataFrame:
@@ -57,8 +61,11 @@ def spread_small(df: DataFrame, key: str, estimate_of: DataFrame | None = None)
     whose size decides (default: ``df`` itself).
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if cores > 1 and estimated_bytes(estimate_of if estimate_of is not None else df) \
-            <= SMALL_INPUT_BYTES_PER_CORE * cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:
+        return df
+    size = estimated_bytes(estimate_of if estimate_of is not None else df)
+    if cores > 1 and size is not None and size <= SMALL_INPUT_BYTES_PER_CORE * cores:
         return df.repartition(cores, key)
     return df

@@ -42,8 +42,9 @@ def build_vocab(tokens_df: DataFrame, tokens: str = "tokens", size: int = VOCAB_
 
 
 def encode_sequences(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "row_id",
-                     max_len: int = MAX_LEN) -> DataFrame:
-    """M5: (key, input_word_ids, input_mask), both ``max_len`` long.
+                     max_len: int = MAX_LEN, type_ids: bool = False) -> DataFrame:
+    """M5: (key, input_word_ids, input_mask), both ``max_len`` long; with
+    ``type_ids=True`` also ``input_type_ids`` (all zeros: one segment).
 
     Tokens are exploded with their position, joined to the vocabulary
     (broadcast: its size is capped by ``build_vocab``) and regrouped per key;
@@ -58,8 +59,10 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", ke
                       F.struct("__pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))))).alias("__l"))
            .select(key, F.slice(F.transform("__l", lambda s: s["id"].cast("int")), 1, max_len - 2).alias("__ids")))
     real = F.size("__ids") + 2
+    extra = [F.array_repeat(F.lit(0), max_len).alias("input_type_ids")] if type_ids else []
     return ids.select(
         key,
         F.concat(F.array(F.lit(START_ID)), F.col("__ids"), F.array(F.lit(END_ID)),
                  F.array_repeat(F.lit(PAD_ID), max_len - real)).alias("input_word_ids"),
-        F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), max_len - real)).alias("input_mask"))
+        F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), max_len - real)).alias("input_mask"),
+        *extra)

@@ -288,7 +288,10 @@ def q_trigrams_straddling(spark, sf_dir):
 # --- stage 5b: vocabulary and encoding ----------------------------------------------
 
 def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits(spark, sf_dir).select("row_id", "split", tk.tokenize(F.col("combined_text")).alias("tokens"))
+    """Tokenised split rows, checkpointed: the vocabulary's count histogram,
+    its top-k and the encoding all read them."""
+    return materialize(splits(spark, sf_dir).select(
+        "row_id", "split", tk.tokenize(F.col("combined_text")).alias("tokens")))
 
 
 @register("build_vocab")
@@ -382,3 +385,9 @@ def q_decode_class(spark, sf_dir):
     classes = labels.class_table(s.where(F.col("split") == "train"))
     test = labels.index_labels(s.where(F.col("split") == "test"), classes)
     return labels.decode_class(test, classes, idx_col="label", out="decoded").select("row_id", "label", "decoded")
+
+
+@register("preview_normalized")
+def q_preview_normalized(spark, sf_dir):
+    m = ingest.select_features(merged(spark, sf_dir))
+    return ingest.preview(text.normalize_text(m).select("row_id", "combined_text", "category"), 5)

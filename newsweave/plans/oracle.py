@@ -444,3 +444,10 @@ cls AS (SELECT row_number() OVER (ORDER BY category) - 1 AS idx, category
 SELECT s.row_id, c.idx AS label, d.category AS decoded
 FROM splits s LEFT JOIN cls c ON c.category = s.category LEFT JOIN cls d ON d.idx = c.idx
 WHERE s.split = 'test'"""
+
+ORACLE["preview_normalized"] = TEXTQ + """
+SELECT row_id,
+       array_to_string(list_transform(list_filter(t, lambda x: x <> ''),
+                                      lambda x: regexp_replace(x, '\\p{Nd}+', '', 'g')), ' ') AS combined_text,
+       category
+FROM norm ORDER BY row_id LIMIT 5"""

@@ -49,3 +49,14 @@ def test_load_lexicon(spark, tmp_out):
     assert sorted(r.word for r in d.collect()) == ["movie", "top"]
     df = spark.createDataFrame([(1, "top movies")], "row_id long, combined_text string")
     assert text.normalize_text(df, dictionary=d).collect()[0].combined_text == "top movie"
+
+
+def test_encode_type_ids_option(spark):
+    from newsweave.operators import encode
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "row_id long, tokens array<string>")
+    vocab = encode.build_vocab(df)
+    rows = {r.row_id: r for r in encode.encode_sequences(df, vocab, max_len=8, type_ids=True).collect()}
+    assert rows[1].input_word_ids == [0, 4, 5, 4, 2, 1, 1, 1]
+    assert rows[1].input_mask == [1, 1, 1, 1, 1, 0, 0, 0]
+    assert rows[2].input_word_ids == [0, 2, 1, 1, 1, 1, 1, 1]
+    assert rows[2].input_type_ids == [0] * 8
