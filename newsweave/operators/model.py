@@ -107,18 +107,25 @@ def score_batches(df: DataFrame, make_predict_fn, input_col: str, width: int, ou
     return df.withColumn(out, udf(F.col(input_col)))
 
 
-def make_dense_softmax():
-    """Predict function for the stand-in dense layer (NumPy, per batch)."""
+def dense_softmax_model():
+    """``make_predict_fn`` for the stand-in dense layer (NumPy, per batch).
+
+    The weights are built here, on the driver, and travel inside the
+    closure; the Python workers need only NumPy, not this package.
+    """
     from ..functions.vectors import dense_weights_numpy
-    import numpy as np
     w, b = dense_weights_numpy()
 
-    def predict(x):
-        z = x.astype(np.float64) @ w.T + b
-        z = z - z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        return e / e.sum(axis=1, keepdims=True)
-    return predict
+    def make_predict_fn():
+        import numpy as np
+
+        def predict(x):
+            z = x.astype(np.float64) @ w.T + b
+            z = z - z.max(axis=1, keepdims=True)
+            e = np.exp(z)
+            return e / e.sum(axis=1, keepdims=True)
+        return predict
+    return make_predict_fn
 
 
 def attach_predictions(rows: DataFrame, preds: DataFrame, key: str = "row_id") -> DataFrame:

@@ -312,7 +312,7 @@ def q_encode_sequences(spark, sf_dir):
 @register("batched_inference")
 def q_batched_inference(spark, sf_dir):
     e = load_table(spark, sf_dir, "embeddings")
-    s = model.score_batches(e, model.make_dense_softmax, "embedding", V.DENSE_DIM)
+    s = model.score_batches(e, model.dense_softmax_model(), "embedding", V.DENSE_DIM)
     return s.select("vec_id", "label", V.argmax(F.col("probs")).alias("predicted"),
                     F.round(F.array_max("probs"), 6).alias("p_max"))
 

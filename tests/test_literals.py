@@ -146,7 +146,7 @@ def test_batch_sizes(spark, n):
     import numpy as np
     rows = [(i, [float((i * 7 + j) % 5) for j in range(V.DENSE_DIM)]) for i in range(n)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    out = model.score_batches(df, model.make_dense_softmax, "embedding", V.DENSE_DIM).collect()
+    out = model.score_batches(df, model.dense_softmax_model(), "embedding", V.DENSE_DIM).collect()
     assert len(out) == n
     for r in out[:5]:
         assert abs(sum(r.probs) - 1) < 1e-9
