@@ -1 +1,11 @@
-"""Training-data operators.  Nothing else in the library imports this subpackage."""
+"""Training-data operators.  Nothing else in the library imports this subpackage.
+
+Functions of this subpackage travel to Python workers by value, so executors
+need only the third-party libraries, not this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

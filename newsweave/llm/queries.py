@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import hosts, mixing
+from . import decontam, hosts, mixing, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op4_host_reputation": hosts.query,
+    "op9_benchmark_decontam": decontam.query,
+    "op10_secret_scan": secrets.query,
 }
 ORACLE = {
     "op1_mix_sources": mixing.ORACLE,
     "op4_host_reputation": hosts.ORACLE,
+    "op9_benchmark_decontam": decontam.ORACLE,
+    "op10_secret_scan": secrets.ORACLE,
 }
