@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, hosts, mixing, secrets
+from . import decontam, hosts, langid, mixing, packing, secrets
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_pack_tokens": packing.query,
     "op4_host_reputation": hosts.query,
+    "op7_compression_langid": langid.query,
     "op9_benchmark_decontam": decontam.query,
     "op10_secret_scan": secrets.query,
 }
