@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .components import components
-from .words import NOT_BLANK, shingles, word_hashes
+from .words import NOT_BLANK, mix, shingles, word_hashes
 
 WIDTH = 5               # words of a shingle
 SIMILARITY = (75, 100)  # linked if 100 * intersection >= 75 * union
@@ -38,7 +38,7 @@ SKETCH = 128            # bytes of the signature that pairs are tested on
 #: A pair is confirmed on full sets if this share of signature bytes agrees:
 #: five standard deviations below the threshold.
 AGREE = 0.55
-BLOCK = 256             # members of a bucket compared with each other in one block
+BLOCK = 1024            # members of a bucket compared with each other in one block
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -56,7 +56,6 @@ def minima(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    from .words import mix
     rows = signature.reshape(BANDS, ROWS).astype(np.uint64)
     return mix((rows * _MIX).sum(axis=1, dtype=np.uint64) + _SALT).astype(np.int64)
 
@@ -193,8 +192,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
     A document's set is its distinct 5-word shingles, the whole sequence if it
     has fewer words; a text that is null, empty or without words has an empty
-    set and is linked with nothing, so it is its own component.  Repeated rows
-    of one doc_id are one document.  A row with a null doc_id cannot be named:
+    set and is linked with nothing, so it is its own component.  A doc_id names
+    one text; repeated rows of it get equal results.  A row with a null doc_id cannot be named:
     it is linked with nothing, its component is null, and it is kept.  Further
     columns are ignored; an empty table gives no rows.
     """
@@ -214,7 +213,6 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     if not more.isEmpty():
         found = _confirmed(more, texts, sketches)
         comps = components(links.union(found))
-    # several classes may have one rep only if a doc_id is repeated with other texts
     return (rows.join(classes, "digest", "left")
             .join(comps.select(F.col("d").alias("rep"), "comp"), "rep", "left")
             .select(F.col("d").alias(id), F.col("n").alias("n_shingles"),
@@ -224,3 +222,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS u, a AS v FROM e UNION SELECT r.u, e.b FROM r JOIN e ON e.a = r.v),
+m AS (SELECT u, min(v) AS comp FROM r GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(comp, d.doc_id) AS component_id, coalesce(comp, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON u = d.doc_id
+"""

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontam, hosts, langid, mixing, packing, secrets
+from . import credentials, decontam, hosts, langid, mixing, neardup, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_pack_tokens": packing.query,
     "op4_host_reputation": hosts.query,
+    "op6_minhash_neardup": neardup.query,
     "op7_compression_langid": langid.query,
     "op9_benchmark_decontam": decontam.query,
-    "op10_secret_scan": secrets.query,
+    "op10_secret_scan": credentials.query,
 }
 ORACLE = {
     "op1_mix_sources": mixing.ORACLE,
     "op4_host_reputation": hosts.ORACLE,
+    "op6_minhash_neardup": neardup.ORACLE,
     "op9_benchmark_decontam": decontam.ORACLE,
-    "op10_secret_scan": secrets.ORACLE,
+    "op10_secret_scan": credentials.ORACLE,
 }
