@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import credentials, decontam, hosts, langid, mixing, neardup, packing
+from . import credentials, decontam, hosts, knn, langid, mixing, neardup, packing
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_pack_tokens": packing.query,
+    "op3_voronoi_topk": knn.query,
     "op4_host_reputation": hosts.query,
     "op6_minhash_neardup": neardup.query,
     "op7_compression_langid": langid.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_mix_sources": mixing.ORACLE,
+    "op3_voronoi_topk": knn.ORACLE,
     "op4_host_reputation": hosts.ORACLE,
     "op6_minhash_neardup": neardup.ORACLE,
     "op9_benchmark_decontam": decontam.ORACLE,
