@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import credentials, decontam, hosts, knn, langid, mixing, neardup, packing
+from . import credentials, decontam, hosts, knn, langid, mixing, neardup, packing, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_pack_tokens": packing.query,
     "op3_voronoi_topk": knn.query,
     "op4_host_reputation": hosts.query,
+    "op5_toxicity_chain": toxicity.query,
     "op6_minhash_neardup": neardup.query,
     "op7_compression_langid": langid.query,
     "op9_benchmark_decontam": decontam.query,
