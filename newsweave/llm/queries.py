@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import credentials, decontam, hosts, knn, langid, mixing, neardup, packing, toxicity
+from . import credentials, decontam, hosts, knn, langid, mixing, neardup, packing, revisit, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity_chain": toxicity.query,
     "op6_minhash_neardup": neardup.query,
     "op7_compression_langid": langid.query,
+    "op8_revisit_resolution": revisit.query,
     "op9_benchmark_decontam": decontam.query,
     "op10_secret_scan": credentials.query,
 }
@@ -20,6 +21,7 @@ ORACLE = {
     "op3_voronoi_topk": knn.ORACLE,
     "op4_host_reputation": hosts.ORACLE,
     "op6_minhash_neardup": neardup.ORACLE,
+    "op8_revisit_resolution": revisit.ORACLE,
     "op9_benchmark_decontam": decontam.ORACLE,
     "op10_secret_scan": credentials.ORACLE,
 }
