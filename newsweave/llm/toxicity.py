@@ -7,13 +7,15 @@ row, as at prediction they come from models that did not see the text.  Equal
 texts are in one fold.
 
 Features are the distinct words of the whole text, and beginnings of words for
-inflected and compound forms, whose share of wanted rows stands out in the training rows (a chi-square test per fold), so a very long
-clean text does not add up noise; L1 regularisation leaves those that tell.
+inflected and compound forms, whose share of wanted rows stands out in the
+training rows (a chi-square test on those rows alone), so a very long clean
+text does not add up noise; L1 regularisation leaves those that tell.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows, in hash order: a bounded,
-documented sample, so vocabulary, coefficients and everything else that is
-collected or broadcast are bounded too.  Scoring reads every whole text once,
-in the JVM, without a shuffle.
+documented sample.  Spark counts its words and picks the features; the rows'
+features, a few small lists, are fitted in NumPy.  Scoring reads every whole
+text once, in the JVM, without a shuffle: the words that have a weight are
+looked up in a literal of at most ``VOCABULARY`` entries.
 """
 
 from __future__ import annotations
@@ -21,9 +23,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +33,10 @@ CATEGORIES = ("low_quality", "toxic")  # in the order of the chain
 TRAIN_ROWS = 20_000
 FOLDS = 3
 MIN_DOCS = 5           # of the training rows must have a word for it to count
-VOCABULARY = 4096      # words of a model at most, the most telling ones
+VOCABULARY = 4096      # features at most, the most telling ones
 STANDS_OUT = 20.0      # chi-square of a word that may be a feature
-TRAIN_PARTITIONS = 6   # the sample is small: few, larger partitions for many passes
 L1 = 0.00003
-ITERATIONS = 60
+ITERATIONS = 200
 POSITIVE_WEIGHT = 3.0  # of a labelled row of the rarer, wanted class
 WORD = r"[\p{L}\p{M}]+"
 STEMS = (4, 6)         # lengths of the beginnings of words that may be features
@@ -45,11 +44,11 @@ STEMS = (4, 6)         # lengths of the beginnings of words that may be features
 
 @dataclass
 class Model:
-    """One category's words and coefficients, or a constant probability where
-    its training rows have not both classes."""
-    share: float
-    words: CountVectorizerModel | None = None
-    linear: LogisticRegressionModel | None = None
+    """log odds = bias + weights of the words present + chain weights times
+    earlier probabilities."""
+    bias: float
+    words: dict[str, float] = field(default_factory=dict)
+    chain: list[float] = field(default_factory=list)
 
 
 @dataclass
@@ -70,50 +69,58 @@ def _p(category: str) -> str:
     return f"_p_{category}"
 
 
-def _apply(df: DataFrame, model: Model, category: str, earlier: Sequence[str]) -> DataFrame:
-    """Adds the category's probability."""
-    if model.linear is None:
-        return df.withColumn(_p(category), F.lit(model.share))
-    out = VectorAssembler(inputCols=["_words", *map(_p, earlier)], outputCol="_x").transform(model.words.transform(df))
-    out = model.linear.transform(out)
-    return out.withColumn(_p(category), vector_to_array("_probability")[1]).drop("_words", "_x", "_raw", "_probability", "_prediction")
+def _features(rows: DataFrame, categories: Sequence[str], folds: int, min_docs: int) -> list:
+    """The telling words with, per category and fold, whether they stand out
+    in the rows outside that fold (the last entry: in all rows)."""
+    each = rows.select("_fold", *categories, F.explode("_tokens").alias("word"))
 
+    def sums(c: str) -> list[Column]:
+        here = [F.when(F.col("_fold") == k, F.col(c).cast("long")) for k in range(folds)]
+        return [F.array(*[F.count(x) for x in here]).alias(f"n_{c}"), F.array(*[F.coalesce(F.sum(x), F.lit(0)) for x in here]).alias(f"bad_{c}")]
 
-def _statistics(rows: DataFrame, categories: Sequence[str], folds: int) -> DataFrame:
-    """(word, n_<category>_<fold>, bad_<category>_<fold>): labelled and wanted
-    rows that have the word."""
-    each = rows.select("_fold", *categories, F.explode("_tokens").alias("word"))
-    sums = []
+    columns = [x for c in categories for x in sums(c)]
+    total = rows.agg(*columns).first()
+    counts = each.groupBy("word").agg(*columns)
+    tests = []
     for c in categories:
-        for k in range(folds):
-            here = F.when(F.col("_fold") == k, F.col(c))
-            sums += [F.count(here).alias(f"n_{c}_{k}"), F.sum(here.cast("long")).alias(f"bad_{c}_{k}")]
-    return each.groupBy("word").agg(*sums).na.fill(0)
-
-
-def _telling(statistics: DataFrame, category: str, folds: Sequence[int], n: int, bad: float, min_docs: int) -> list[str]:
-    """The words whose share of wanted rows differs most from the whole's."""
-    has, wanted = (sum((F.col(f"{x}_{category}_{k}") for k in folds), F.lit(0)) for x in ("n", "bad"))
-    p = bad / n
-    chi = (F.col("wanted") - F.col("has") * p) ** 2 / (F.col("has") * (p * (1 - p)))
-    return [r.word for r in statistics.select("word", has.alias("has"), wanted.alias("wanted")).where(F.col("has") >= min_docs)
-            .select("word", chi.alias("chi")).where(F.col("chi") >= STANDS_OUT).orderBy(F.desc("chi"), "word").limit(VOCABULARY).collect()]
-
-
-def _fit(rows: DataFrame, statistics: DataFrame, category: str, earlier: Sequence[str], folds: Sequence[int], min_docs: int) -> Model:
-    rows = rows.where(F.col(category).isNotNull() & F.col("_fold").isin(list(folds)))
-    n, bad = rows.agg(F.count(F.lit(1)), F.sum(F.col(category).cast("double"))).first()
-    if not n or bad in (0.0, float(n)):
-        return Model(float(bad) / n if n else 0.0)
-    # a word that no text can have keeps an empty choice valid
-    chosen = _telling(statistics, category, folds, n, bad, min_docs) or [" "]
-    counter = CountVectorizerModel.from_vocabulary(chosen, inputCol="_tokens", outputCol="_words").setBinary(True)
-    x = VectorAssembler(inputCols=["_words", *map(_p, earlier)], outputCol="_x").transform(counter.transform(rows))
-    x = x.select("_x", F.col(category).cast("double").alias("_y"), F.when(F.col(category) == 1, POSITIVE_WEIGHT).otherwise(1.0).alias("_w"))
-    linear = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", elasticNetParam=1.0, regParam=L1, maxIter=ITERATIONS,
-                                tol=1e-4, standardization=False, family="binomial", rawPredictionCol="_raw",
-                                probabilityCol="_probability", predictionCol="_prediction").fit(x)
-    return Model(bad / n, counter, linear)
+        for k in range(folds + 1):
+            inside = [f for f in range(folds) if f != k]
+            n, bad = (sum(total[f"{x}_{c}"][f] for f in inside) for x in ("n", "bad"))
+            has, wanted = (sum((F.col(f"{x}_{c}")[f] for f in inside), F.lit(0)) for x in ("n", "bad"))
+            p = bad / n if n else 0.0
+            chi = (wanted - has * p) ** 2 / (has * (p * (1 - p))) if 0 < p < 1 else F.lit(0.0)
+            tests.append(F.when(has >= min_docs, chi).otherwise(0.0))
+    strongest = F.greatest(*tests)
+    return (counts.select("word", F.array(*tests).alias("chi"), strongest.alias("best")).where(F.col("best") >= STANDS_OUT)
+            .orderBy(F.desc("best"), "word").limit(VOCABULARY).collect())
+
+
+def fit_linear(rows: np.ndarray, features: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray,
+               l1: float = L1, iterations: int = ITERATIONS) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted logistic regression with L1 on the words: (bias, words, chain).
+
+    Row rows[i] has the feature features[i].  Accelerated proximal steps, each
+    coordinate's length from a bound on its curvature.
+    """
+    n, e = len(y), extra.shape[1]
+    w = np.where(y == 1, POSITIVE_WEIGHT, 1.0)
+    w /= w.sum()
+    per_row = np.bincount(rows, minlength=n) + 1.0 + e
+    curve = 0.25 * w * per_row
+    step_w = 1 / np.maximum(np.bincount(features, curve[rows], minlength=n_features), 1e-12)
+    step_b = 1 / curve.sum()
+    step_e = 1 / np.maximum(curve @ extra ** 2, 1e-12)
+    at = prev = (0.0, np.zeros(n_features), np.zeros(e))
+    t = 1.0
+    for _ in range(iterations):
+        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        b, v, g = (a + (t - 1) / after * (a - o) for a, o in zip(at, prev))
+        t = after
+        z = b + np.bincount(rows, v[features], minlength=n) + extra @ g
+        rest = w * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        moved = v - step_w * np.bincount(features, rest[rows], minlength=n_features)
+        prev, at = at, (b - step_b * rest.sum(), np.sign(moved) * np.maximum(np.abs(moved) - l1 * step_w, 0), g - step_e * (rest @ extra))
+    return at
 
 
 def _threshold(scored: list[tuple[float, float]]) -> float:
@@ -143,24 +150,44 @@ def train(labelled: DataFrame, categories: Sequence[str] = CATEGORIES, text: str
           folds: int = FOLDS, min_docs: int = MIN_DOCS) -> Chain:
     """Labelled rows (text, one 0/1/null column per category) -> a chain.  The
     caller bounds the rows (``sample``).  Without rows, or where a category has
-    one class only, its probability is the class's share, and no text passes
-    its threshold."""
+    one class only, its probability is constant (0 without rows), and no text
+    passes its threshold."""
     rows = cut(labelled.select(words(F.col(text)).alias("_tokens"), F.coalesce(F.pmod(F.xxhash64(text), folds), F.lit(0)).alias("_fold"),
-                               *categories)).coalesce(TRAIN_PARTITIONS)
-    statistics = cut(_statistics(rows, categories, folds))
+                               *[F.col(c).cast("int").alias(c) for c in categories]))
+    chosen = _features(rows, categories, folds, min_docs)
+    number = {r.word: i for i, r in enumerate(chosen)}
+    known = F.array_intersect("_tokens", F.array(*[F.lit(w) for w in number])) if number else F.array().cast("array<string>")
+    held = rows.select("_fold", known.alias("words"), *categories).collect()
+    fold = np.array([r["_fold"] for r in held], int)
+    where = np.repeat(np.arange(len(held)), [len(r.words) for r in held]) if held else np.zeros(0, int)
+    which = np.array([number[w] for r in held for w in r.words], int)
+    chi = np.array([r.chi for r in chosen], float).reshape(len(chosen), len(categories) * (folds + 1))
+    earlier = np.zeros((len(held), 0))
     chain = Chain()
-    everything = range(folds)
     for i, category in enumerate(categories):
-        earlier = categories[:i]
-        out = None
-        for k in everything:  # each part is scored by a model of the others
-            others = [f for f in everything if f != k]
-            part = _apply(rows.where(F.col("_fold") == k), _fit(rows, statistics, category, earlier, others, min_docs), category, earlier)
-            out = part if out is None else out.union(part)
-        chain.models[category] = _fit(rows, statistics, category, earlier, everything, min_docs)
-        rows = cut(out).coalesce(TRAIN_PARTITIONS)
-        scored = rows.where(F.col(category).isNotNull()).select(_p(category), F.col(category).cast("double")).collect()
-        chain.thresholds[category] = _threshold([(p, y) for p, y in scored])
+        y = np.array([np.nan if r[category] is None else r[category] for r in held], float)
+
+        def fit(k: int) -> tuple[float, np.ndarray, np.ndarray]:
+            """On the rows outside of fold k, with the words that stand out there."""
+            use = ~np.isnan(y) & (fold != k)
+            share = y[use].mean() if use.any() else 0.0
+            if share in (0.0, 1.0):
+                return (20.0 if share else -20.0), np.zeros(len(chosen)), np.zeros(i)
+            cells = use[where] & (chi[which, i * (folds + 1) + k] >= STANDS_OUT)
+            place = np.cumsum(use) - 1
+            return fit_linear(place[where[cells]], which[cells], len(chosen), earlier[use], y[use])
+
+        def probability(model: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
+            z = model[0] + np.bincount(where, model[1][which], minlength=len(held)) + earlier @ model[2]
+            return 1 / (1 + np.exp(-z))
+
+        out_of_fold = np.zeros(len(held))
+        for k in range(folds):
+            out_of_fold[fold == k] = probability(fit(k))[fold == k]
+        bias, weights, on_earlier = fit(folds)
+        chain.models[category] = Model(float(bias), {w: float(weights[j]) for w, j in number.items() if weights[j]}, [float(x) for x in on_earlier])
+        chain.thresholds[category] = _threshold([(p, v) for p, v in zip(out_of_fold, y) if not np.isnan(v)])
+        earlier = np.column_stack([earlier, out_of_fold])
     return chain
 
 
@@ -170,10 +197,18 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     A null or empty text has no words and gets each model's base rate.
     Repeated rows are scored each; an empty table gives no rows.
     """
-    out = docs.withColumn("_tokens", words(F.col(f"`{text}`")))
-    for i, (category, model) in enumerate(chain.models.items()):
-        out = _apply(out, model, category, list(chain.models)[:i])
-    return out.drop("_tokens")
+    telling = sorted({w for m in chain.models.values() for w in m.words})
+    found = F.array_intersect(words(F.col(f"`{text}`")), F.array(*[F.lit(w) for w in telling])) if telling else F.array().cast("array<string>")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), found.alias("_found"))
+    for i, (category, m) in enumerate(chain.models.items()):
+        z = F.lit(m.bias)
+        if m.words:
+            weights = F.create_map(*[x for w, v in m.words.items() for x in (F.lit(w), F.lit(v))])
+            z = z + F.aggregate("_found", F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
+        for name, v in zip(list(chain.models)[:i], m.chain):
+            z = z + F.col(_p(name)) * v
+        out = out.withColumn(_p(category), 1 / (1 + F.exp(-z)))
+    return out.select("_row.*", *map(_p, chain.models))
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,6 +225,12 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, chain).withColumn("_toxic", F.col("_p_toxic") >= chain.thresholds["toxic"])
 
 
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not toxic, with their columns as they were."""
+    out = judged(docs, labels).where(~F.col("_toxic"))
+    return out.drop(*out.columns[len(docs.columns):])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.round("_p_low_quality", 6).alias("p_low_quality"), F.round("_p_toxic", 6).alias("p_toxic"), F.col("_toxic").alias("toxic"))
