@@ -130,13 +130,14 @@ def _pairs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": a, "end": b} for a, b in spans]
 
 
-def _scanner(part: Broadcast, last: bool):
-    """Columns k0.., t and, after the first part, _hits and _items -> the same
-    with this part's hits, or k0.. and the findings after the last part."""
+def _scanner(part: Broadcast, text_column: str, last: bool):
+    """Columns k0.., perhaps t and, after the first part, _hits and _items ->
+    the same with this part's hits, or k0.. and the findings after the last
+    part.  The text is one of k0.. if it is kept, else t."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(part.value)
         for batch in batches:
-            texts = batch.column("t")
+            texts = batch.column(text_column)
             keys = [n for n in batch.schema.names if n not in ("t", "_hits", "_items")]
             before = batch.column("_hits").to_pylist() if "_hits" in batch.schema.names else None
             names = batch.column("_items").to_pylist() if before is not None else None
@@ -155,7 +156,7 @@ def _scanner(part: Broadcast, last: bool):
                     rows.append((_pairs(spans), items))
             schema = _FOUND if last else _SO_FAR
             new = [pa.array([r[k] for r in rows], type=t) for k, (_, t) in enumerate(schema)]
-            held = keys if last else [*keys, "t"]
+            held = keys if last or text_column != "t" else [*keys, "t"]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in held] + new, names=held + [n for n, _ in schema])
     return run
 
@@ -171,14 +172,17 @@ def scan(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",), t
     is not named or counted.  Documents' columns beyond ``keep`` are ignored.
     """
     spark = docs.sparkSession
-    df = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
+    text_column = f"k{list(keep).index(text)}" if text in keep else "t"
+    apart = [F.col(f"`{text}`").alias("t")] if text_column == "t" else []
+    df = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], *apart)
     keys = ", ".join(f"k{i} {df.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
+    carried = f"{keys}, t string" if apart else keys
     parts = parts_of(items, part_words)
     part = next(parts)
     while part is not None:
         after = next(parts, None)
-        run = _scanner(spark.sparkContext.broadcast(part), after is None)
-        schema = f"{keys}, {_DDL['_found']}" if after is None else f"{keys}, t string, _hits {_DDL['_hits']}, _items {_DDL['_items']}"
+        run = _scanner(spark.sparkContext.broadcast(part), text_column, after is None)
+        schema = f"{keys}, {_DDL['_found']}" if after is None else f"{carried}, _hits {_DDL['_hits']}, _items {_DDL['_items']}"
         df = df.mapInArrow(run, schema)
         if after is not None:
             df = cut(df)
@@ -187,6 +191,15 @@ def scan(docs: DataFrame, items: DataFrame, keep: Sequence[str] = ("doc_id",), t
     return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *found)
 
 
+def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that no window of an item occurs in."""
+    out = scan(docs, items, docs.columns, text)
+    n = len(docs.columns)
+    named = out.toDF(*[f"c{i}" for i in range(n)], *[f"f{i}" for i in range(len(out.columns) - n)])
+    at = [name for name, _ in _FOUND].index("contaminated")
+    return named.where(~F.col(f"f{at}")).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return (scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
             .select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))

@@ -109,10 +109,11 @@ def emit(docs: DataFrame, **options) -> DataFrame:
             .where("_copies > 0"))
     k = F.row_number().over(Window.partitionBy(*keys).orderBy("_copies"))
     times = F.floor(k * F.col("_copies") / F.col("_rows")) - F.floor((k - 1) * F.col("_copies") / F.col("_rows"))
-    return (docs.withColumns(keys).join(plan, list(keys)).withColumn("_times", times)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for n, c in keys.items()])
+    return (rows.join(plan, list(keys)).withColumn("_times", times)
             .where("_times > 0")
             .withColumn("_copy", F.explode(F.expr("sequence(1L, _times)")))
-            .select(*docs.columns))
+            .select("_row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -220,6 +220,20 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             .withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))))
 
 
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates: the one that names the
+    component, once if its row is repeated.  Rows with a null id, and texts
+    without words, stay."""
+    found = cut(near_duplicates(docs, id, text).select(F.col(id).alias("_id"), "kept"))
+    dropped = found.where(~F.col("kept")).select("_id").distinct()
+    rest = docs.join(dropped, docs[id] == F.col("_id"), "left_anti")
+    repeated = found.where(F.col("kept") & F.col("_id").isNotNull()).groupBy("_id").count().where("count > 1").select("_id")
+    if repeated.isEmpty():
+        return rest
+    several = rest[id] == F.col("_id")
+    return rest.join(repeated, several, "left_anti").union(rest.join(repeated, several, "left_semi").dropDuplicates([id]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
