@@ -2,8 +2,8 @@
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and
 suffix.  Each level's rate is shrunk towards the level above it through a
-beta-binomial prior whose strength is estimated from the spread of that
-level's own rates (method of moments); a host is blocked when the lower bound
+beta-binomial prior whose strength is estimated from the spread of the level's
+rates around it (method of moments); a host is blocked when the lower bound
 of its posterior bad rate passes a threshold.  A host without labels gets the
 posterior of its domain, a domain without labels that of its suffix.
 
@@ -61,24 +61,21 @@ def domain(h: Column) -> Column:
 
 
 def _strength(level: DataFrame) -> float:
-    """A beta-binomial prior's strength from the spread of a level's rates:
-    with intra-group correlation r, it is 1 / r - 1."""
-    x = level.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("k"),
-                  F.sum(F.col("n") * F.col("n")).alias("nn"),
-                  F.sum(F.round(F.col("bad") * F.col("bad") / F.col("n"), 6).cast("decimal(38,6)")).alias("bb")).first()
+    """A beta-binomial prior's strength from the spread of a level's rates
+    around the level above (``prior``): with k groups, Pearson's statistic is
+    k + r * sum(n - 1) on average, and the strength is 1 / r - 1."""
+    rate = F.col("bad") / F.col("n")
+    square = F.col("n") * (rate - F.col("prior")) ** 2 / (F.col("prior") * (1 - F.col("prior")))
+    x = level.agg(F.count(F.lit(1)).alias("k"), F.sum(F.col("n") - 1).alias("free"),
+                  F.sum(F.round(square, 6).cast("decimal(38,6)")).alias("q")).first()
     low, high = STRENGTH
-    if not x.n or x.bad in (0, x.n) or x.k < 2:
-        return high
-    p = x.bad / x.n
-    spread = float(x.bb) - x.n * p * p
-    free = x.n - x.nn / x.n - (x.k - 1)
-    r = (spread - (x.k - 1) * p * (1 - p)) / (p * (1 - p) * free) if free > 0 else 0.0
+    r = (float(x.q) - x.k) / x.free if x.free else 0.0
     return min(high, max(low, 1 / r - 1)) if r > 0 else high
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
-    """Outcomes (host, bad 0/1) -> posteriors (key, a, b, bound) of hosts,
-    domains and suffixes, and the bound of an unknown suffix."""
+def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcomes (host, bad 0/1) -> lower bounds (key, bound) of hosts, domains and
+    suffixes."""
     hosts = cut(outcomes.where("bad IS NOT NULL AND host <> ''").groupBy("host")
                 .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
     hosts = hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
@@ -88,17 +85,17 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, fl
     total = suffixes.agg(*sums).first()
     rate = (total.bad + 0.5) / (total.n + 1.0) if total.n else 0.0
 
-    def posterior(level: DataFrame, strength: float, prior: Column) -> DataFrame:
-        a = F.col("bad") + F.lit(strength) * prior
-        b = F.col("n") - F.col("bad") + F.lit(strength) * (1 - prior)
-        return level.withColumns({"a": a, "b": b}).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
+    def posterior(level: DataFrame) -> DataFrame:
+        """Rows (n, bad, prior) with the posterior's a, b, mean and bound."""
+        strength = F.lit(_strength(level))
+        a = F.col("bad") + strength * F.col("prior")
+        b = F.col("n") - F.col("bad") + strength * (1 - F.col("prior"))
+        return level.withColumns({"a": a, "b": b}).withColumn("mean", F.col("a") / (F.col("a") + F.col("b"))).withColumn("bound", lower_bound())
 
-    s = posterior(suffixes, _strength(suffixes), F.lit(rate)).withColumn("bound", lower_bound())
-    d = posterior(domains.join(s.select("suffix", F.col("mean").alias("prior")), "suffix"), _strength(domains), F.col("prior"))
-    d = d.withColumn("bound", lower_bound())
-    h = posterior(hosts.join(d.select("domain", F.col("mean").alias("prior")), "domain"), _strength(hosts), F.col("prior"))
-    h = h.withColumn("bound", lower_bound())
-    return (h.select("host", "bound"), d.select("domain", "bound"), s.select("suffix", "bound"), rate)
+    s = posterior(suffixes.withColumn("prior", F.lit(rate)))
+    d = posterior(domains.join(s.select("suffix", F.col("mean").alias("prior")), "suffix"))
+    h = posterior(hosts.join(d.select("domain", F.col("mean").alias("prior")), "domain"))
+    return h.select("host", "bound"), d.select("domain", "bound"), s.select("suffix", "bound")
 
 
 def lower_bound() -> Column:
@@ -120,7 +117,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     host are left out.  Without outcomes nothing is blocked but by rules.
     Repeated pages are judged each; further columns are ignored.
     """
-    by_host, by_domain, by_suffix, rate = reputation(outcomes)
+    by_host, by_domain, by_suffix = reputation(outcomes)
     p = (pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
          .withColumn("_domain", domain(F.col("host"))).withColumn("_suffix", suffix(F.col("host"))))
     # posteriors of every host that occurs, known or not: one row per host
@@ -146,15 +143,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(pages, outcomes)
 
 
-def _strength_sql(level: str) -> str:
-    return f"""(SELECT CASE WHEN n IS NULL OR n = 0 OR bad = 0 OR bad = n OR k < 2 OR r IS NULL OR r <= 0 THEN 1e4
-   ELSE least(1e4, greatest(1.0, 1 / r - 1)) END FROM (SELECT *, CASE WHEN free > 0 THEN (bb - n * p * p - (k - 1) * p * (1 - p)) / (p * (1 - p) * free) END AS r
-   FROM (SELECT *, n - nn / n - (k - 1) AS free FROM (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS k, sum(n * n)::DOUBLE AS nn,
-   sum(round(bad * bad / n, 6)) AS bb, sum(bad)::DOUBLE / sum(n) AS p FROM {level}))))"""
-
-
-def _post_sql(n: str, bad: str, strength: str, prior: str) -> str:
-    return f"{bad} + {strength} * ({prior}) AS a, {n} - {bad} + {strength} * (1 - ({prior})) AS b"
+def _posterior_sql(name: str, key: str, level: str) -> str:
+    """Posterior a, b of a level's rows (key, n, bad, prior)."""
+    return f"""{name}_in AS MATERIALIZED ({level}),
+{name}_r AS (SELECT CASE WHEN sum(n - 1) > 0 THEN (sum(round(n * (bad / n - prior) ** 2 / (prior * (1 - prior)), 6)) - count(*)) / sum(n - 1) ELSE 0 END AS r FROM {name}_in),
+{name} AS MATERIALIZED (SELECT {key}, bad + m * prior AS a, n - bad + m * (1 - prior) AS b FROM {name}_in,
+  (SELECT CASE WHEN r > 0 THEN least(1e4, greatest(1.0, 1 / r - 1)) ELSE 1e4 END AS m FROM {name}_r))"""
 
 
 _LONG = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
@@ -170,9 +164,9 @@ o AS (SELECT q.*, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT
 h AS MATERIALIZED (SELECT host, domain, suffix, count(*) AS n, sum(bad)::BIGINT AS bad FROM o WHERE bad IS NOT NULL GROUP BY ALL),
 d AS MATERIALIZED (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
 s AS MATERIALIZED (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY ALL),
-sp AS (SELECT suffix, {_post_sql('n', 'bad', _strength_sql('s'), '(SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM s)')} FROM s),
-dp AS (SELECT domain, {_post_sql('n', 'bad', _strength_sql('d'), 'sp.a / (sp.a + sp.b)')} FROM d JOIN sp USING (suffix)),
-hp AS (SELECT host, {_post_sql('n', 'bad', _strength_sql('h'), 'dp.a / (dp.a + dp.b)')} FROM h JOIN dp USING (domain)),
+{_posterior_sql('sp', 'suffix', 'SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM s) AS prior FROM s')},
+{_posterior_sql('dp', 'domain', 'SELECT d.*, sp.a / (sp.a + sp.b) AS prior FROM d JOIN sp USING (suffix)')},
+{_posterior_sql('hp', 'host', 'SELECT h.*, dp.a / (dp.a + dp.b) AS prior FROM h JOIN dp USING (domain)')},
 z AS (SELECT q.*, coalesce((SELECT {_BOUND} FROM hp WHERE hp.host = q.host), (SELECT {_BOUND} FROM dp WHERE dp.domain = q.domain),
     (SELECT {_BOUND} FROM sp WHERE sp.suffix = q.suffix), 0.0) AS bound FROM q),
 r AS (SELECT *, CASE

@@ -38,6 +38,7 @@ STANDS_OUT = 20.0      # chi-square of a word that may be a feature
 L1 = 0.00003
 ITERATIONS = 200
 POSITIVE_WEIGHT = 3.0  # of a labelled row of the rarer, wanted class
+PRECISION = 0.9        # share of rejected rows that must be wanted, out of fold
 WORD = r"[\p{L}\p{M}]+"
 STEMS = (4, 6)         # lengths of the beginnings of words that may be features
 
@@ -124,18 +125,16 @@ def fit_linear(rows: np.ndarray, features: np.ndarray, n_features: int, extra: n
 
 
 def _threshold(scored: list[tuple[float, float]]) -> float:
-    """The cut between two probabilities with the best F1 on rows out of fold;
-    the highest probability is above it.  One class only: nothing is above."""
+    """The cut between two probabilities with the best F1 on rows out of fold
+    among those of ``PRECISION``; without one nothing is above the threshold."""
     scored = sorted(scored, reverse=True)
     total = sum(y for _, y in scored)
-    if not total or total == len(scored):
-        return 1.0 + 1e-9
-    best, at, hits = -1.0, 0.5, 0.0
+    best, at, hits = 0.0, 1.0 + 1e-9, 0.0
     for i, (p, y) in enumerate(scored):
         hits += y
         after = scored[i + 1][0] if i + 1 < len(scored) else 0.0
         f1 = 2 * hits / (i + 1 + total)
-        if after < p and f1 > best:
+        if after < p and hits >= PRECISION * (i + 1) and total < len(scored) and f1 > best:
             best, at = f1, (p + after) / 2
     return at
 
@@ -191,12 +190,8 @@ def train(labelled: DataFrame, categories: Sequence[str] = CATEGORIES, text: str
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """docs -> all its columns, then ``_p_<category>`` per category.
-
-    A null or empty text has no words and gets each model's base rate.
-    Repeated rows are scored each; an empty table gives no rows.
-    """
+def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
+    """(_row, the whole row, and _p_<category> per category)."""
     telling = sorted({w for m in chain.models.values() for w in m.words})
     found = F.array_intersect(words(F.col(f"`{text}`")), F.array(*[F.lit(w) for w in telling])) if telling else F.array().cast("array<string>")
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), found.alias("_found"))
@@ -208,7 +203,20 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
         for name, v in zip(list(chain.models)[:i], m.chain):
             z = z + F.col(_p(name)) * v
         out = out.withColumn(_p(category), 1 / (1 + F.exp(-z)))
-    return out.select("_row.*", *map(_p, chain.models))
+    return out.drop("_found")
+
+
+def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs (doc_id, text) -> doc_id, p_<category> per category and
+    <category>, whether the probability reaches the threshold.
+
+    A null or empty text has no words and gets each model's base rate.
+    Repeated rows are scored each; a null doc_id is kept; further columns are
+    ignored; an empty table gives no rows.
+    """
+    return _scored(docs, chain, text).select(
+        F.col("_row")[id].alias(id), *[F.col(_p(c)).alias(f"p_{c}") for c in chain.models],
+        *[(F.col(_p(c)) >= t).alias(c) for c, t in chain.thresholds.items()])
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,17 +228,16 @@ def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with ``_p_low_quality``, ``_p_toxic`` and ``_toxic``."""
-    chain = train(labelled_documents(docs, labels))
-    return score(docs, chain).withColumn("_toxic", F.col("_p_toxic") >= chain.thresholds["toxic"])
+    """doc_id, p_low_quality, p_toxic, low_quality and toxic of every document."""
+    return score(docs, train(labelled_documents(docs, labels)))
 
 
-def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not toxic, with their columns as they were."""
-    out = judged(docs, labels).where(~F.col("_toxic"))
-    return out.drop(*out.columns[len(docs.columns):])
+    chain = train(labelled_documents(docs, labels))
+    return _scored(docs, chain, text).where(F.col("_p_toxic") < chain.thresholds["toxic"]).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", F.round("_p_low_quality", 6).alias("p_low_quality"), F.round("_p_toxic", 6).alias("p_toxic"), F.col("_toxic").alias("toxic"))
+    return out.select("doc_id", F.round("p_low_quality", 6).alias("p_low_quality"), F.round("p_toxic", 6).alias("p_toxic"), "toxic")
