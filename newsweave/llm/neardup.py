@@ -9,10 +9,11 @@ confirmation on full shingle sets, and connected components.
    each member is paired with the smallest only: a star, not all pairs.
 3. Pairs pass the signature test and are then confirmed on full sets.
 4. Components of the confirmed links join most buckets' members.  Only buckets
-   that still hold several components are compared further: members of
-   different components, in blocks of bounded size, signatures first, full
-   sets after.  So every pair that shares a bucket is in one component or has
-   been compared, and no bucket is gathered in one task.
+   that still hold several components are compared further, block by block of
+   bounded size: members of different components, signatures first, full sets
+   after, and a block gives only links that join what it held apart.  So every
+   pair that shares a bucket is in one component or has been compared, no
+   bucket is gathered in one task, and no task emits all pairs.
 
 Universal hashing is a * x + b mod 2^32 over mixed 64-bit shingle hashes.
 """
@@ -38,7 +39,8 @@ SKETCH = 128            # bytes of the signature that pairs are tested on
 #: A pair is confirmed on full sets if this share of signature bytes agrees:
 #: five standard deviations below the threshold.
 AGREE = 0.55
-BLOCK = 1024            # members of a bucket compared with each other in one block
+BLOCK = 1024            # members of a bucket in one block, and their shingles
+BLOCK_SHINGLES = 2_000_000
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _C = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -84,30 +86,42 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, t) -> (d, members): the sorted full set, 64 bits a member."""
+    """(d, t) -> (d, members): the sorted full set, 48 bits a member."""
     for batch in batches:
         out = []
         for _, words, bounds in word_hashes(batch.column("t"), NOT_BLANK):
-            out += [shingles(words[a:b], WIDTH).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            out += [_packed(shingles(words[a:b], WIDTH)) for a, b in zip(bounds[:-1], bounds[1:])]
         yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, pa.binary())], names=["d", "members"])
 
 
+def _packed(x: np.ndarray) -> bytes:
+    x = np.unique(x >> np.uint64(16))
+    return x.astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    n = len(b) // 6
+    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    over, under = SIMILARITY
+    if len(x) > len(y):
+        x, y = y, x
+    if under * len(x) < over * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    common = int((y[at] == x).sum())
+    return under * common >= over * (len(x) + len(y) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, x, y) -> (a, b) where the full sets x and y are similar enough."""
-    over, under = SIMILARITY
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
         xs, ys = batch.column("x"), batch.column("y")
-        for i in range(batch.num_rows):
-            x, y = np.frombuffer(xs[i].as_py(), np.uint64), np.frombuffer(ys[i].as_py(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            if under * len(x) >= over * len(y):
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                keep[i] = under * common >= over * (len(x) + len(y) - common)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        keep = [_similar(_unpacked(xs[i].as_py()), _unpacked(ys[i].as_py())) for i in range(batch.num_rows)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +134,9 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (unit, side, d, comp, sketch) sorted by unit -> pairs (a, b) of one
-    unit whose components differ and whose signatures agree.  A unit is one
-    block of a bucket with itself (side 0) or with another (sides 1 and 2)."""
+    """Rows (unit, side, d, comp, sketch, members) sorted by unit -> links
+    (a, b) that join components of one unit.  A unit is one block of a bucket
+    with itself (side 0) or with another (sides 1 and 2)."""
     rest: pd.DataFrame | None = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
@@ -137,29 +151,36 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     a, b = [], []
     if len(rows):
         unit, side = rows["unit"].to_numpy(), rows["side"].to_numpy()
-        d, comp = rows["d"].to_numpy(), rows["comp"].to_numpy()
+        d, comp, members = rows["d"].to_numpy(), rows["comp"].to_numpy().copy(), rows["members"].to_list()
         sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH)
         edges = np.flatnonzero(np.diff(unit)) + 1
         for lo, hi in zip(np.concatenate(([0], edges)), np.concatenate((edges, [len(rows)]))):
             here = np.arange(lo, hi)
-            left = here[side[lo:hi] != 2]
             right = here[side[lo:hi] != 1]
-            for i in left:
+            sets = {}
+            for i in here[side[lo:hi] != 2]:
                 others = right[comp[right] != comp[i]]
-                if len(others):
-                    close = others[(sketch[others] == sketch[i]).sum(axis=1) >= AGREE * SKETCH]
-                    a += [min(d[i], d[j]) for j in close]
-                    b += [max(d[i], d[j]) for j in close]
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}).drop_duplicates()
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+                agree = (sketch[others] == sketch[i]).sum(axis=1)
+                close = agree >= AGREE * SKETCH
+                for j in others[close][np.argsort(-agree[close], kind="stable")]:
+                    if comp[j] == comp[i]:
+                        continue  # joined meanwhile
+                    for k in (i, j):
+                        if k not in sets:
+                            sets[k] = _unpacked(members[k])
+                    if _similar(sets[i], sets[j]):
+                        a.append(d[i])
+                        b.append(d[j])
+                        same = here[comp[lo:hi] == comp[j]]
+                        comp[same] = comp[i]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) -> those whose full sets are similar."""
     p = sketches.select(F.col("d").alias("a"), F.col("sketch").alias("p"))
     q = sketches.select(F.col("d").alias("b"), F.col("sketch").alias("q"))
     close = cut(pairs.join(p, "a").join(q, "b").select("a", "b", "p", "q").mapInArrow(_agreeing, "a long, b long"))
-    needed = close.select(F.col("a").alias("d")).union(close.select(F.col("b").alias("d"))).distinct()
-    sets = cut(docs.join(needed, "d", "left_semi").mapInArrow(_sets, "d long, members binary"))
     both = (close.join(sets.select(F.col("d").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("d").alias("b"), F.col("members").alias("y")), "b"))
     return cut(both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct())
@@ -171,18 +192,24 @@ def _star_pairs(members: DataFrame) -> DataFrame:
             .select(F.col("first").alias("a"), F.col("d").alias("b")).distinct())
 
 
-def _block_pairs(members: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree."""
+def _block_links(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components that share a bucket."""
     labelled = members.join(comps, "d", "left").withColumn("comp", F.coalesce("comp", "d"))
-    mixed = (labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
-             .where("low <> high").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = labelled.join(mixed, "band").join(sketches, "d")
+    # bands often hold the same members: one bucket of each kind is enough
+    mixed = (labelled.join(reps.select("d", "n"), "d").groupBy("band")
+             .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"),
+                  F.sum(F.xxhash64("d").cast("decimal(38,0)")).alias("who"))
+             .where("low <> high").groupBy("m", "who").agg(F.min("band").alias("band"), F.min("n").alias("n")))
+    mixed = mixed.select("band", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = labelled.join(mixed, "band")
     mine = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
     # block k meets itself and every other block: unit (low, high) of the bucket
     rows = (rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("unit", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")))
-            .withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)))
-    units = rows.select("unit", "side", "d", "comp", "sketch").repartition("unit").sortWithinPartitions("unit")
+            .withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2))
+            .select("unit", "side", "d", "comp"))
+    rows = rows.join(reps.select("d", "sketch"), "d").join(sets, "d")
+    units = rows.select("unit", "side", "d", "comp", "sketch", "members").repartition("unit").sortWithinPartitions("unit")
     return units.mapInPandas(_blocks, "a long, b long").distinct()
 
 
@@ -201,18 +228,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     rows = cut(narrow.mapInArrow(_summaries, "d long, n long, digest binary, bands array<long>, sketch binary"))
     named = rows.where("d IS NOT NULL AND n > 0")
     classes = cut(named.groupBy("digest").agg(F.min("d").alias("rep")))
-    reps = named.join(classes, F.col("d") == F.col("rep"), "left_semi").select("d", "bands", "sketch").distinct()
-    sketches = reps.select("d", "sketch")
+    reps = named.join(classes, F.col("d") == F.col("rep"), "left_semi").select("d", "n", "bands", "sketch").distinct()
     bands = reps.select("d", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("band")
     members = cut(bands.join(shared, "band"))
-    texts = narrow.where("d IS NOT NULL")
-    links = _confirmed(_star_pairs(members), texts, sketches)
+    reps = cut(reps.drop("bands").join(members.select("d").distinct(), "d", "left_semi"))
+    sets = cut(narrow.join(reps.select("d"), "d", "left_semi").mapInArrow(_sets, "d long, members binary").distinct())
+    links = _confirmed(_star_pairs(members), sets, reps)
     comps = components(links)
-    more = cut(_block_pairs(members, comps, sketches).join(links, ["a", "b"], "left_anti"))
+    more = cut(_block_links(members, comps, reps, sets))
     if not more.isEmpty():
-        found = _confirmed(more, texts, sketches)
-        comps = components(links.union(found))
+        comps = components(links.union(more))
     return (rows.join(classes, "digest", "left")
             .join(comps.select(F.col("d").alias("rep"), "comp"), "rep", "left")
             .select(F.col("d").alias(id), F.col("n").alias("n_shingles"),
