@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ CATEGORIES = ("low_quality", "toxic")  # in the order of the chain
 TRAIN_ROWS = 20_000
 FOLDS = 3
 MIN_DOCS = 5           # of the training rows must have a word for it to count
-VOCABULARY = 4096      # features at most, the most telling ones
+VOCABULARY = 1024      # features at most, the most telling ones
 STANDS_OUT = 20.0      # chi-square of a word that may be a feature
 L1 = 0.00003
 ITERATIONS = 200
@@ -156,15 +158,16 @@ def train(labelled: DataFrame, categories: Sequence[str] = CATEGORIES, text: str
     chosen = _features(rows, categories, folds, min_docs)
     number = {r.word: i for i, r in enumerate(chosen)}
     known = F.array_intersect("_tokens", F.array(*[F.lit(w) for w in number])) if number else F.array().cast("array<string>")
-    held = rows.select("_fold", known.alias("words"), *categories).collect()
-    fold = np.array([r["_fold"] for r in held], int)
-    where = np.repeat(np.arange(len(held)), [len(r.words) for r in held]) if held else np.zeros(0, int)
-    which = np.array([number[w] for r in held for w in r.words], int)
+    held = rows.select("_fold", known.alias("words"), *categories).toArrow().combine_chunks()
+    fold = held.column("_fold").to_numpy()
+    lists = held.column("words").combine_chunks() if len(held) else pa.array([], pa.list_(pa.string()))
+    where = np.repeat(np.arange(len(held), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int))
+    which = pc.index_in(lists.flatten(), pa.array(list(number), pa.string())).to_numpy(zero_copy_only=False).astype(np.int32)
     chi = np.array([r.chi for r in chosen], float).reshape(len(chosen), len(categories) * (folds + 1))
     earlier = np.zeros((len(held), 0))
     chain = Chain()
     for i, category in enumerate(categories):
-        y = np.array([np.nan if r[category] is None else r[category] for r in held], float)
+        y = held.column(category).cast(pa.float64()).to_numpy()
 
         def fit(k: int) -> tuple[float, np.ndarray, np.ndarray]:
             """On the rows outside of fold k, with the words that stand out there."""
