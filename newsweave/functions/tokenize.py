@@ -81,8 +81,13 @@ def word_tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """In-document n-grams joined by a blank (empty when fewer than n words)."""
-    k = F.size(words) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))),
-                        lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(k >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """In-document n-grams joined by a blank (empty when fewer than n words).
+
+    ``words`` must be a column of the frame, not an expression: it is read n
+    times.  Shifted slices are zipped, so the work is linear in the words.
+    """
+    k = F.greatest(F.size(words) - n + 1, F.lit(0))
+    out = F.slice(words, F.lit(1), k)
+    for i in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(i + 1), k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out

@@ -1,11 +1,13 @@
 """Array functions over score and embedding vectors.
 
 All are built-in higher-order expressions (transform / aggregate / zip_with),
-evaluated inside the JVM stage; no Python crosses the boundary.
+evaluated inside the JVM; no Python crosses the boundary.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,14 +20,6 @@ DENSE_CLASSES = 10
 DENSE_DIM = 64
 
 
-def dense_weight_expr(c: Column, j: Column) -> Column:
-    return (((c * 7 + j * 13) % 17) - 8) / 8.0
-
-
-def dense_bias_expr(c: Column) -> Column:
-    return ((c % 3) - 1) / 10.0
-
-
 def dense_weights_numpy(k: int = DENSE_CLASSES, d: int = DENSE_DIM):
     import numpy as np
     c = np.arange(k)[:, None]
@@ -35,21 +29,26 @@ def dense_weights_numpy(k: int = DENSE_CLASSES, d: int = DENSE_DIM):
     return w, b
 
 
-def dense(vec: Column, k: int = DENSE_CLASSES, d: int = DENSE_DIM) -> Column:
-    """W x + b, one output per class, as nested higher-order functions."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), F.lit(0.0),
-                              lambda acc, j: acc + vec[j].cast("double") * dense_weight_expr(c, j))
-        + dense_bias_expr(c))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def dense(vec: Column, weights: Sequence[Sequence[float]] | None = None, bias: Sequence[float] | None = None) -> Column:
+    """W x + b, one output per row of ``weights`` (default: the stand-in
+    matrix).  The weights are one literal, folded once per plan."""
+    if weights is None:
+        weights, bias = (a.tolist() for a in dense_weights_numpy())
+    bias = [0.0] * len(weights) if bias is None else bias
+    rows = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in w]).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, bias)])
+    return F.transform(rows, lambda r: F.aggregate(F.zip_with(vec, r["w"], lambda x, w: x.cast("double") * w), F.lit(0.0),
+                                                   lambda acc, x: acc + x) + r["b"])
 
 
 def softmax(scores: Column) -> Column:
     """exp(x - max) / sum(exp(x - max))."""
-    m = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    powers = let(F.array_max(scores), lambda m: F.transform(scores, lambda x: F.exp(x - m)))
+    return let(powers, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def sigmoid(scores: Column) -> Column:
@@ -82,7 +81,8 @@ def max_pool(df: DataFrame, group: str, vec: str, out: str = "pooled") -> DataFr
 
 def clipped_log_loss(probs: Column, label: Column, eps: float = PROB_CLIP) -> Column:
     """Per-row -ln p(true), p clipped to [eps, 1 - eps] (A16's summand)."""
-    p = F.element_at(probs, label + 1)
+    # a label without a class has probability 0, clipped like any other
+    p = F.when((label >= 0) & (label < F.size(probs)), F.get(probs, label)).otherwise(0.0)
     return -F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
 
 

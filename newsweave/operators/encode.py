@@ -7,38 +7,25 @@ ones over the real positions; both arrays are exactly ``max_len`` long.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import END_ID, FIRST_WORD_ID, MAX_LEN, PAD_ID, START_ID, UNKNOWN_ID
-from ..functions.sizing import bounded_broadcast
+from ..functions.ranking import positions
 
-VOCAB_SIZE = 30_000
+def build_vocab(tokens_df: DataFrame, tokens: str = "tokens", size: int | None = None) -> DataFrame:
+    """Tokens -> ids (count desc, token asc).
 
-
-def build_vocab(tokens_df: DataFrame, tokens: str = "tokens", size: int = VOCAB_SIZE) -> DataFrame:
-    """The ``size`` most frequent tokens -> ids (count desc, token asc).
-
-    The vocabulary size is the feature's own limit: a bounded top-k, then a
-    rank over at most ``size`` rows.  Before the top-k, words whose count is
-    below the size-th largest count are dropped: that threshold comes from
-    the histogram of count values (one row per distinct count), so the final
-    merge of the top-k sees about ``size`` rows instead of size x partitions.
+    All tokens by default; ``size`` keeps the most frequent ones.  Ids come
+    from exact global positions, so no task sorts the whole vocabulary.
     """
     counts = (tokens_df.select(F.explode(tokens).alias("word"))
               .where(F.col("word") != "")
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-              .persist(StorageLevel.MEMORY_AND_DISK))  # vocabulary-sized, read twice
-    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
-    at_least = hist.withColumn(
-        "cum", F.sum("words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)))
-    row = at_least.where(F.col("cum") >= size).agg(F.max("n").alias("t")).collect()[0]
-    if row.t is not None:
-        counts = counts.where(F.col("n") >= int(row.t))
-    top = counts.orderBy(F.desc("n"), "word").limit(size)
-    w = Window.orderBy(F.desc("n"), "word")
-    return top.select("word", "n", (F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("long").alias("id"))
+              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    placed = positions(counts, [F.desc("n"), F.col("word")], "__place")
+    if size is not None:
+        placed = placed.where(F.col("__place") < size)
+    return placed.select("word", "n", (F.col("__place") + FIRST_WORD_ID).cast("long").alias("id"))
 
 
 def encode_sequences(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", key: str = "row_id",
@@ -46,18 +33,17 @@ def encode_sequences(df: DataFrame, vocab: DataFrame, tokens: str = "tokens", ke
     """M5: (key, input_word_ids, input_mask), both ``max_len`` long; with
     ``type_ids=True`` also ``input_type_ids`` (all zeros: one segment).
 
-    Tokens are exploded with their position, joined to the vocabulary
-    (broadcast: its size is capped by ``build_vocab``) and regrouped per key;
-    token-less rows survive through ``posexplode_outer``.
+    A row's first ``max_len - 2`` tokens are exploded with their position,
+    joined to the vocabulary and regrouped per key, so the feature's own limit
+    bounds the shuffle; token-less rows survive through ``posexplode_outer``.
     """
-    ex = df.select(key, F.posexplode_outer(tokens).alias("__pos", "word"))
-    v = bounded_broadcast(vocab.select("word", "id"))
-    j = ex.join(v, "word", "left")
+    ex = df.select(key, F.posexplode_outer(F.slice(tokens, 1, max_len - 2)).alias("__pos", "word"))
+    j = ex.join(vocab.select("word", "id"), "word", "left")
     ids = (j.groupBy(key)
            .agg(F.sort_array(F.collect_list(
                F.when(F.col("__pos").isNotNull(),
                       F.struct("__pos", F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id"))))).alias("__l"))
-           .select(key, F.slice(F.transform("__l", lambda s: s["id"].cast("int")), 1, max_len - 2).alias("__ids")))
+           .select(key, F.transform("__l", lambda s: s["id"].cast("int")).alias("__ids")))
     real = F.size("__ids") + 2
     extra = [F.array_repeat(F.lit(0), max_len).alias("input_type_ids")] if type_ids else []
     return ids.select(

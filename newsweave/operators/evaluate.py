@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LANGUAGE_WORDS, PROB_CLIP
-from ..functions.sizing import class_list
 from ..functions.vectors import argmax, clipped_log_loss
+from .labels import sorted_labels
 
 ROUND = 9
 
@@ -45,33 +45,23 @@ def label_union(df: DataFrame, actual: str = "actual", predicted: str = "predict
             .union(df.select(F.col(predicted).alias("label"))).distinct())
 
 
-def confusion_dense(conf: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                    labels: list[str] | None = None) -> DataFrame:
+def confusion_dense(conf: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Every (actual, predicted) cell over the sorted label union, zeros kept.
 
-    The label vocabulary is bounded and fetched once (size-checked); the k^2
-    cells are generated from it and left-joined to the non-zero counts.  The
-    confusion table (at most k^2 rows) is persisted because it is read twice.
+    Each label row is widened by the array of all labels, so the k^2 cells are
+    made where the labels lie, and left-joined to the non-zero counts.
     """
-    if labels is None:
-        conf = conf.persist()
-        labels = class_list(label_union(conf, actual, predicted), "label")
-    lit = F.array(*[F.lit(x) for x in labels])
-    cells = (conf.sparkSession.range(1).select(F.explode(lit).alias(actual))
-             .select(actual, F.explode(lit).alias(predicted)))
+    labels = label_union(conf, actual, predicted)
+    cells = labels.select(F.col("label").alias(actual), F.explode(sorted_labels(labels, "label")).alias(predicted))
     return (cells.join(conf, [actual, predicted], "left")
             .select(actual, predicted, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
 def confusion_wide(conf: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """A10, wide form: one row per actual label, counts in sorted label order."""
-    conf = conf.persist()
-    labels = class_list(label_union(conf, actual, predicted), "label")
-    return (confusion_dense(conf, actual, predicted, labels)
-            .groupBy(actual)
-            .agg(F.sort_array(F.collect_list(F.struct(predicted, "n"))).alias("__c"))
-            .select(actual, F.transform("__c", lambda s: s["n"]).alias("counts"))
-            .withColumn("labels", F.array(*[F.lit(x) for x in labels])))
+    row = F.sort_array(F.collect_list(F.struct(predicted, "n")))
+    return (confusion_dense(conf, actual, predicted).groupBy(actual).agg(row.alias("__c"))
+            .select(actual, F.transform("__c", lambda s: s["n"]).alias("counts"), F.transform("__c", lambda s: s[predicted]).alias("labels")))
 
 
 def class_report(conf: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:

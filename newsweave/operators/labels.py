@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CATEGORY_MERGE
-from ..functions.sizing import bounded_broadcast
 
 
 def merge_categories(df: DataFrame, mapping: dict[str, str] | DataFrame | None = None,
@@ -16,8 +15,8 @@ def merge_categories(df: DataFrame, mapping: dict[str, str] | DataFrame | None =
     """Simultaneous relabelling; unmatched labels are kept.
 
     A literal dict becomes a map literal looked up in the projection (no
-    join at all).  A mapping table `(raw, merged)` is joined, broadcast only
-    when its row count is under the bound.
+    join at all).  A mapping table `(raw, merged)` is joined; the optimiser
+    broadcasts it if its measured bytes allow.
     """
     mapping = CATEGORY_MERGE if mapping is None else mapping
     if keep_raw:
@@ -25,7 +24,7 @@ def merge_categories(df: DataFrame, mapping: dict[str, str] | DataFrame | None =
     if isinstance(mapping, dict):
         m = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
         return df.withColumn(col, F.coalesce(F.element_at(m, F.col(col)), F.col(col)))
-    table = bounded_broadcast(mapping.select(F.col("raw").alias("__raw"), F.col("merged").alias("__merged")))
+    table = mapping.select(F.col("raw").alias("__raw"), F.col("merged").alias("__merged"))
     return (df.join(table, F.col(col) == F.col("__raw"), "left")
             .withColumn(col, F.coalesce("__merged", col)).drop("__raw", "__merged"))
 
@@ -40,23 +39,28 @@ def class_table(df: DataFrame, col: str = "category") -> DataFrame:
     return d.select((F.row_number().over(Window.orderBy(col)) - 1).cast("long").alias("idx"), col)
 
 
-def one_hot(df: DataFrame, classes: list[str], col: str = "category",
+def sorted_labels(df: DataFrame, col: str = "category") -> Column:
+    """The sorted distinct non-null labels as one array, a scalar subquery."""
+    return df.select(col).where(F.col(col).isNotNull()).distinct().agg(F.sort_array(F.collect_list(col))).scalar()
+
+
+def one_hot(df: DataFrame, classes: DataFrame, col: str = "category",
             out: str = "one_hot") -> DataFrame:
-    """M2: 0/1 vector over ``classes`` (the sorted train classes, see
-    ``sizing.class_list``); a label outside the list gives all zeros."""
-    lits = F.array(*[F.lit(c) for c in classes])
-    return df.withColumn(out, F.transform(lits, lambda k: (k == F.col(col)).cast("int")))
+    """M2: 0/1 vector over the sorted labels of ``classes``; a label outside
+    of them gives all zeros."""
+    return (df.withColumn("__labels", sorted_labels(classes, col))
+            .withColumn(out, F.transform("__labels", lambda k: (k == F.col(col)).cast("int"))).drop("__labels"))
 
 
 def index_labels(df: DataFrame, classes: DataFrame, col: str = "category",
                  out: str = "label") -> DataFrame:
-    """M3: attach the class index (broadcast join on the class table)."""
-    t = bounded_broadcast(classes.select(F.col(col).alias("__c"), F.col("idx").alias(out)))
+    """M3: attach the class index (join on the class table)."""
+    t = classes.select(F.col(col).alias("__c"), F.col("idx").alias(out))
     return df.join(t, F.col(col) == F.col("__c"), "left").drop("__c")
 
 
 def decode_class(df: DataFrame, classes: DataFrame, idx_col: str = "pred_idx",
                  out: str = "prediction", col: str = "category") -> DataFrame:
     """Class index -> class name."""
-    t = bounded_broadcast(classes.select(F.col("idx").alias("__i"), F.col(col).alias(out)))
+    t = classes.select(F.col("idx").alias("__i"), F.col(col).alias(out))
     return df.join(t, F.col(idx_col) == F.col("__i"), "left").drop("__i")

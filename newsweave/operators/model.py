@@ -24,9 +24,8 @@ from ..session import materialize
 # 2^16 hashed terms x k classes keeps the dense gradient small enough to be
 # aggregated in a tree across many executors.
 NUM_FEATURES = 1 << 16
-# Every optimiser pass sends one dense gradient per partition, so training
-# partitions are sized by rows: many at scale, one for a small training set.
-ROWS_PER_TRAIN_PARTITION = 50_000
+CSV_ROWS = 20_000  # rows of one CSV file
+CSV_NULL = "\\N"    # so that an empty text stays one
 
 
 def featurize(df: DataFrame, col: str = "combined_text") -> DataFrame:
@@ -43,15 +42,13 @@ def train_text_classifier(train: DataFrame, label: str = "category", max_iter: i
     re-running the upstream plan (and a lost executor does not either).
     """
     pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
+        StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, tol=1e-4,
                            featuresCol="features", labelCol="label", aggregationDepth=3),
     ])
-    feats = materialize(featurize(train).select(label, "tokens"))
-    parts = max(1, -(-feats.count() // ROWS_PER_TRAIN_PARTITION))
-    return pipe.fit(feats.coalesce(parts))
+    return pipe.fit(materialize(featurize(train).select(label, "tokens")))
 
 
 def model_classes(model: PipelineModel) -> list[str]:
@@ -59,19 +56,18 @@ def model_classes(model: PipelineModel) -> list[str]:
 
 
 def _decode_array(model: PipelineModel):
-    # the label index keeps one extra slot for labels unseen in training;
-    # a row scored into it has no class name
-    return F.array(*[F.lit(c) for c in model_classes(model)], F.lit(None).cast("string"))
+    return F.array(*[F.lit(c) for c in model_classes(model)])
 
 
 def predict_labels(model: PipelineModel, df: DataFrame, out: str = "prediction") -> DataFrame:
     """M8: arg-max class index -> class name (J3 through the fitted label list)."""
-    scored = model.transform(featurize(df))
+    # the label index is for training only: rows may have labels it never saw
+    scored = PipelineModel(model.stages[1:]).transform(featurize(df))
     classes = _decode_array(model)
     probs = vector_to_array("probability")
     return (scored.withColumn("probs", probs)
             .withColumn(out, F.element_at(classes, argmax(F.col("probs")) + 1))
-            .drop("tokens", "tf", "features", "rawPrediction", "probability", "label"))
+            .drop("tokens", "tf", "features", "rawPrediction", "probability"))
 
 
 def validation_report(model: PipelineModel, df: DataFrame, label: str = "category") -> DataFrame:
@@ -129,19 +125,24 @@ def dense_softmax_model():
 
 
 def attach_predictions(rows: DataFrame, preds: DataFrame, key: str = "row_id") -> DataFrame:
-    """Predictions joined to their rows by key (never by position)."""
-    return rows.join(preds, key, "inner")
+    """Predictions joined to their rows by key (never by position); a row
+    without one keeps a null."""
+    return rows.join(preds, key, "left")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header, quotes doubled, empty strings unquoted (pandas-compatible)."""
+    """Header, quotes doubled, empty strings quoted, nulls marked; files
+    of bounded size, since a file with line breaks is read by one task."""
     (df.write.mode("overwrite").option("header", True).option("escape", '"')
-     .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(path))
+     .option("nullValue", CSV_NULL)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+     .option("maxRecordsPerFile", CSV_ROWS).csv(path))
 
 
 def read_csv(spark, path: str, schema: str) -> DataFrame:
     return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+            .option("nullValue", CSV_NULL)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .schema(schema).csv(path))
 
 

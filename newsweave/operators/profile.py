@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizing import bounded_broadcast
 
 ROUND = 9
 
@@ -91,29 +90,39 @@ def length_summary(df: DataFrame, col: str = "headline") -> DataFrame:
     """Box-plot numbers of ``length(col)`` per category.
 
     Quartiles are exact (interpolated); whiskers are the extreme lengths
-    within 1.5 IQR of the box, outliers the count outside.  Two passes: a
-    quartile aggregate (one row per category, broadcast after a row-count
-    check) and a conditional aggregate over the rows.
+    within 1.5 IQR of the box, outliers the count outside.  The rows are read
+    once, into a (category, length) histogram that both steps use.
     """
-    lengths = df.select("category", F.length(col).alias("len"))
+    lengths = df.groupBy("category", F.length(col).alias("len")).agg(F.count(F.lit(1)).alias("times"))
     q = (lengths.groupBy("category")
-         .agg(F.percentile("len", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-              F.count(F.lit(1)).alias("n"))
+         .agg(F.percentile("len", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("times")).alias("q"),
+              F.sum("times").alias("n"))
          .select("category", "n",
                  F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3")))
     q = q.withColumn("lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = lengths.join(bounded_broadcast(q), "category")
+    j = lengths.join(q, "category")
     inside = (F.col("len") >= F.col("lo")) & (F.col("len") <= F.col("hi"))
     return (j.groupBy("category", "n", "q1", "q2", "q3")
             .agg(F.min(F.when(inside, F.col("len"))).cast("long").alias("whisker_low"),
                  F.max(F.when(inside, F.col("len"))).cast("long").alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(1)).cast("long").alias("outliers"))
+                 F.sum(F.when(inside, 0).otherwise(F.col("times"))).cast("long").alias("outliers"))
             .select("category", F.col("n").alias("articles"),
                     F.round("q1", ROUND).alias("q1"), F.round("q2", ROUND).alias("median"),
                     F.round("q3", ROUND).alias("q3"), "whisker_low", "whisker_high", "outliers"))
 
 
+LENGTH_STATISTICS = ("articles", "mean_headline_len", "median_headline_len", "mean_description_len", "median_description_len")
+
+
+def category_orders(df: DataFrame) -> DataFrame:
+    """O1: every category's place under each of the five statistics, largest
+    first, ties by category (windows over one row per category)."""
+    p = category_profile(df)
+    return p.select("category", *[F.row_number().over(Window.orderBy(F.desc(s), "category")).cast("long").alias(f"by_{s}")
+                                  for s in LENGTH_STATISTICS])
+
+
 def author_counts(df: DataFrame) -> DataFrame:
     """A6 + O2: articles per author (a name twice in a byline counts twice)."""
     return (explode_authors(parse_byline(df)).groupBy("author")

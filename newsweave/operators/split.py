@@ -5,10 +5,8 @@ function of the key alone, so the split is the same in every process, under
 any partitioning, and before or after text normalisation.
 
 Skew: a class may hold a third of all rows, so no window is partitioned by
-class over the rows.  Rows are counted per (class, hash-prefix bucket); the
-small bucket table gives every bucket its rank range, buckets that lie wholly
-on one side of a cut are assigned without ranking, and ``row_number`` runs
-only inside the (at most two per class) buckets that straddle a cut.
+class over the rows: ranks are taken inside (class, hash prefix) buckets of
+keys, and rows are then compared with two thresholds per class.
 """
 
 from __future__ import annotations
@@ -18,10 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import (EPOCHS, HOLDOUT_TENTHS, SPLIT_SEED, TRAIN_BATCH,
                                WARMUP_FRACTION_PERCENT)
-from ..functions.sizing import bounded_broadcast
+from ..functions.ranking import positions
 
-SPLIT_BUCKET_HEX = 3     # 4,096 buckets per class
-ORDER_BUCKET_HEX = 4     # 65,536 buckets for a global order
+SPLIT_BUCKET_HEX = 4     # 65,536 buckets per class
 SPLITS = ("train", "validation", "test")
 
 
@@ -68,40 +65,53 @@ def split_quotas(df: DataFrame, label: str = "category", holdout_tenths: int = H
     return quotas_from_counts(counts, label, holdout_tenths)
 
 
-def stratified_split(df: DataFrame, label: str = "category", key: str = "row_id",
-                     seed: int = SPLIT_SEED, holdout_tenths: int = HOLDOUT_TENTHS,
-                     out: str = "split") -> DataFrame:
-    """M1: add ``split`` in {train, validation, test} with exact per-class quotas.
+def split_thresholds(df: DataFrame, label: str = "category", key: str = "row_id",
+                     seed: int = SPLIT_SEED, holdout_tenths: int = HOLDOUT_TENTHS) -> DataFrame:
+    """(label, t1, t2): the order key (hash, key) of the last train row and of
+    the last validation row of each class; null where there is none.
 
-    One aggregate over the rows (counts per class and hash bucket) feeds both
-    the quotas and the bucket ranges; the rows are then read once more and
-    only the cut buckets are ranked.
+    Only (label, hash, key) is shuffled, once: ranks inside (class, hash
+    prefix) buckets give both the bucket counts and, in the at most two buckets
+    per class that a cut falls into, the rows at the cuts.
     """
-    h = order_key(key, seed)
-    rows = df.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, SPLIT_BUCKET_HEX))
-    buckets = rows.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    rows = df.select(label, F.struct(order_key(key, seed).alias("h"), F.col(key).alias("k")).alias("__at"))
+    # the null tests that the joins below imply, stated here so that both sides share one exchange
+    rows = (rows.withColumn("__b", F.substring("__at.h", 1, SPLIT_BUCKET_HEX))
+            .where(F.col(label).isNotNull() & F.col("__b").isNotNull()))
+    bucket = Window.partitionBy(label, "__b")
+    ranked = (rows.withColumn("__rank", F.row_number().over(bucket.orderBy("__at")))
+              .withColumn("__cnt", F.count(F.lit(1)).over(bucket)))
+    buckets = ranked.where("__rank = 1").select(label, "__b", "__cnt")
     quotas = quotas_from_counts(buckets.groupBy(label).agg(F.sum("__cnt").alias("n")), label,
                                 holdout_tenths).select(
         label, F.col("train").alias("__c1"), (F.col("train") + F.col("validation")).alias("__c2"))
     before = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (buckets.withColumn("__lo", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
-               .join(quotas, label)
-               .withColumn("__hi", F.col("__lo") + F.col("__cnt"))
-               .withColumn("__whole",
-                           F.when(F.col("__hi") <= F.col("__c1"), "train")
-                            .when((F.col("__lo") >= F.col("__c1")) & (F.col("__hi") <= F.col("__c2")), "validation")
-                            .when(F.col("__lo") >= F.col("__c2"), "test"))
-               .select(label, "__b", "__lo", "__c1", "__c2", "__whole"))
-    j = rows.join(bounded_broadcast(buckets), [label, "__b"])
-    whole = j.where(F.col("__whole").isNotNull()).withColumn(out, F.col("__whole"))
-    in_cut = Window.partitionBy(label, "__b").orderBy("__h", key)
-    cut = (j.where(F.col("__whole").isNull())
-           .withColumn("__rank", F.col("__lo") + F.row_number().over(in_cut))
-           .withColumn(out, F.when(F.col("__rank") <= F.col("__c1"), "train")
-                            .when(F.col("__rank") <= F.col("__c2"), "validation")
-                            .otherwise("test")))
-    keep = df.columns + [out]
-    return whole.select(*keep).unionByName(cut.select(*keep))
+    inside = lambda c: (F.col("__lo") < F.col(c)) & (F.col(c) <= F.col("__lo") + F.col("__cnt"))
+    cut = (buckets.withColumn("__lo", F.coalesce(F.sum("__cnt").over(before), F.lit(0)))
+           .join(quotas, label).where(inside("__c1") | inside("__c2")).drop("__cnt"))
+    place = F.col("__lo") + F.col("__rank")
+    return (ranked.drop("__cnt").join(cut, [label, "__b"]).groupBy(label)
+            .agg(F.max(F.when(place == F.col("__c1"), F.col("__at"))).alias("t1"),
+                 F.max(F.when(place == F.col("__c2"), F.col("__at"))).alias("t2")))
+
+
+def stratified_split(df: DataFrame, label: str = "category", key: str = "row_id",
+                     seed: int = SPLIT_SEED, holdout_tenths: int = HOLDOUT_TENTHS,
+                     out: str = "split") -> DataFrame:
+    """M1: add ``split`` in {train, validation, test} with exact per-class quotas.
+
+    The wide rows are read once and compared with their class's two
+    thresholds, a map with one entry per class from a scalar subquery; they are
+    neither sorted, joined nor shuffled for it.
+    """
+    cuts = split_thresholds(df, label, key, seed, holdout_tenths)
+    of_class = cuts.agg(F.map_from_entries(F.collect_list(F.struct(label, F.struct("t1", "t2"))))).scalar()
+    at = F.struct(order_key(key, seed).alias("h"), F.col(key).alias("k"))
+    # a class without any threshold has no row in train or validation
+    return (df.withColumn("__t", F.element_at(of_class, F.col(label))).withColumn("__at", at)
+            .withColumn(out, F.when(F.col("__at") <= F.col("__t.t1"), "train")
+                        .when(F.col("__at") <= F.col("__t.t2"), "validation").otherwise("test"))
+            .select(*df.columns, out))
 
 
 def class_distribution(split_df: DataFrame, label: str = "category", split: str = "split") -> DataFrame:
@@ -112,19 +122,8 @@ def class_distribution(split_df: DataFrame, label: str = "category", split: str
 
 def global_rank(df: DataFrame, key: str = "row_id", seed: int | str = SPLIT_SEED,
                 out: str = "position") -> DataFrame:
-    """Exact 0-based position in the seeded order, without a single-partition window.
-
-    Counts per 16-bit hash prefix give each bucket its offset (a running sum
-    over at most 65,536 bucket rows); rows are ranked inside their bucket.
-    """
-    rows = df.withColumn("__h", order_key(key, seed)).withColumn("__b", F.substring("__h", 1, ORDER_BUCKET_HEX))
-    counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    running = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__b", F.coalesce(F.sum("__cnt").over(running), F.lit(0)).alias("__off"))
-    j = rows.join(bounded_broadcast(offsets), "__b")
-    in_bucket = Window.partitionBy("__b").orderBy("__h", key)
-    return (j.withColumn(out, F.col("__off") + F.row_number().over(in_bucket) - 1)
-            .drop("__h", "__b", "__off"))
+    """Exact 0-based position in the seeded order, without a single-partition window."""
+    return positions(df.withColumn("__h", order_key(key, seed)), [F.col("__h"), F.col(key)], out).drop("__h")
 
 
 def assign_batches(df: DataFrame, batch_size: int = TRAIN_BATCH, key: str = "row_id",

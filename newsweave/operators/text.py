@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenize as tk
 from ..functions.fixed import NOUN_SUFFIX_RULES, STOPWORDS_EN
-from ..functions.sizing import bounded_broadcast
+from ..session import materialize
 
 
 def load_lexicon(spark, path: str | None = None, kind: str = "stopwords", fmt: str = "csv"):
@@ -85,7 +85,7 @@ def apply_lemmas(df: DataFrame, tokens: str, lemmas: DataFrame, key: str = "row_
     out = out or tokens
     others = [c for c in df.columns if c not in (key, tokens)]
     ex = df.select(key, *others, F.posexplode_outer(tokens).alias("__pos", "form"))
-    j = ex.join(bounded_broadcast(lemmas), "form", "left")
+    j = ex.join(lemmas, "form", "left")
     # The other columns depend on the key alone; first() carries them
     # through the regroup instead of joining the rows back.
     return (j.groupBy(key)
@@ -117,9 +117,9 @@ def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id
     return withl.withColumn(col, final).drop("__tok")
 
 
-# --- word and n-gram tables (per raw category, over headlines) -------------------
+# --- word and n-gram tables (per raw category, over whole texts) -----------------
 
-def word_frequencies(df: DataFrame, col: str = "headline", label: str = "category",
+def word_frequencies(df: DataFrame, col: str = "combined_text", label: str = "category",
                      stopwords: list[str] | None = None) -> DataFrame:
     """Word counts per class minus stopwords (partial aggregate)."""
     stop = STOPWORDS_EN if stopwords is None else stopwords
@@ -135,59 +135,58 @@ def top_by_count(df: DataFrame, k: int, label: str = "category", item: str = "wo
     return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def word_weights(df: DataFrame, top: int = 200, col: str = "headline", label: str = "category") -> DataFrame:
+def word_weights(df: DataFrame, top: int = 200, col: str = "combined_text", label: str = "category") -> DataFrame:
     """Top words per class with weight = count / max count in the class."""
     t = top_by_count(word_frequencies(df, col, label), top, label, "word")
     return t.withColumn("weight", F.round(F.col("n") / F.max("n").over(Window.partitionBy(label)), 9))
 
 
-def ngram_counts(df: DataFrame, n: int, col: str = "headline", label: str = "category") -> DataFrame:
+def ngram_counts(df: DataFrame, n: int, col: str = "combined_text", label: str = "category") -> DataFrame:
     """In-document n-gram counts per class (stopwords kept)."""
-    g = df.select(label, F.explode(tk.ngrams(tk.word_tokens(F.col(col)), n)).alias("gram"))
+    words = df.select(label, tk.word_tokens(F.col(col)).alias("__w"))
+    g = words.select(label, F.explode(tk.ngrams(F.col("__w"), n)).alias("gram"))
     return g.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_ngrams(df: DataFrame, n: int, k: int = 10, col: str = "headline", label: str = "category") -> DataFrame:
+def top_ngrams(df: DataFrame, n: int, k: int = 10, col: str = "combined_text", label: str = "category") -> DataFrame:
     """O3: the k most common n-grams per class, ties by text."""
     return top_by_count(ngram_counts(df, n, col, label), k, label, "gram")
 
 
-STRADDLE_BLOCK = 1 << 20
-
-
-def ngram_counts_straddling(df: DataFrame, n: int = 2, col: str = "headline", label: str = "category",
-                            key: str = "row_id", block: int = STRADDLE_BLOCK) -> DataFrame:
+def ngram_counts_straddling(df: DataFrame, n: int = 2, col: str = "combined_text", label: str = "category",
+                            key: str = "row_id") -> DataFrame:
     """N-gram counts over the concatenation of a class's texts in key order.
 
-    In-document n-grams are counted per row.  The n-grams that cross a
-    document boundary start in the last n-1 words of a document and continue
-    into the heads (first n-1 words) of the next n-1 non-empty documents of
-    the class.  Those heads are found without partitioning by class over all
-    rows: a window per (class, key block) covers successors inside the block,
-    and a window over the one-row-per-block table covers the next blocks.
+    In-document n-grams are counted where the rows lie.  The n-grams that cross
+    a document boundary start in the last n-1 words of a document and continue
+    into the heads (first n-1 words) of the next n-1 non-empty documents of the
+    class; only (label, key, head, tail) is shuffled for them, range-partitioned
+    so that a large class is spread over many parts.  A window inside each part
+    finds the successors there, a window over one row per (class, part) those
+    in later parts.
     """
     m = n - 1
-    words = (df.select(label, key, tk.word_tokens(F.col(col)).alias("w"))
-             .where(F.size("w") > 0)
-             .withColumn("__blk", F.floor(F.col(key) / block))
-             .withColumn("head", F.slice("w", 1, m))
-             .withColumn("tail", F.slice("w", -F.least(F.size("w"), F.lit(m)), m)))
-    inside = Window.partitionBy(label, "__blk").orderBy(key)
-    nxt = inside.rowsBetween(1, m)
-    docs = (words.withColumn("__next", F.collect_list("head").over(nxt))
+    ends = (df.select(label, key, tk.word_tokens(F.col(col)).alias("__w"))
+            .select(label, key, F.slice("__w", 1, m).alias("head"),
+                    F.slice("__w", F.greatest(F.size("__w") - m, F.lit(0)) + 1, F.lit(m)).alias("tail"))
+            .where(F.size("head") > 0))
+    ends = materialize(ends.repartitionByRange(label, key).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(label, "__part").orderBy(key)
+    docs = (ends.withColumn("__next", F.collect_list("head").over(inside.rowsBetween(1, m)))
             .withColumn("__rn", F.row_number().over(inside)))
     heads = (docs.where(F.col("__rn") <= m)
-             .groupBy(label, "__blk")
+             .groupBy(label, "__part")
              .agg(F.sort_array(F.collect_list(F.struct("__rn", "head"))).alias("__h"))
-             .select(label, "__blk", F.transform("__h", lambda s: s["head"]).alias("__bh")))
-    later = Window.partitionBy(label).orderBy("__blk").rowsBetween(1, m)
-    blocks = heads.select(label, "__blk", F.flatten(F.collect_list("__bh").over(later)).alias("__after"))
-    j = docs.join(bounded_broadcast(blocks), [label, "__blk"], "left")
-    follow = F.slice(F.flatten(F.concat(F.col("__next"), F.coalesce("__after", F.array().cast("array<array<string>>")))), 1, m)
-    stream = F.concat(F.col("tail"), follow)
-    starts = F.sequence(F.lit(1), F.size("tail"))
-    cross = F.filter(F.transform(starts, lambda i: F.when(i + n - 1 <= F.size(stream),
-                                                          F.array_join(F.slice(stream, i, n), " "))),
-                     lambda g: g.isNotNull())
-    grams = j.select(label, F.explode(F.concat(tk.ngrams(F.col("w"), n), cross)).alias("gram"))
-    return grams.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
+             .select(label, "__part", F.transform("__h", lambda s: s["head"]).alias("__bh")))
+    later = Window.partitionBy(label).orderBy("__part").rowsBetween(1, m)
+    parts = heads.select(label, "__part", F.flatten(F.collect_list("__bh").over(later)).alias("__after"))
+    # only a part's last n-1 documents look into later parts
+    last = F.col("__next")
+    j = docs.join(parts, [label, "__part"], "left")
+    follow = F.slice(F.flatten(F.concat(last, F.coalesce("__after", F.array().cast("array<array<string>>")))), 1, m)
+    stream = j.select(label, F.size("tail").alias("__t"), F.concat(F.col("tail"), follow).alias("__s"))
+    # grams of the stream that start in the tail; a tail has at most m words, so all of them cross
+    grams = stream.select(label, F.explode(F.slice(tk.ngrams(F.col("__s"), n), F.lit(1), F.col("__t"))).alias("gram"))
+    cross = grams.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return (ngram_counts(df, n, col, label).unionByName(cross)
+            .groupBy(label, "gram").agg(F.sum("n").alias("n")))

@@ -11,12 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sizing import class_list
 from ..functions import tokenize as tk
 from ..functions import vectors as V
 from ..operators import encode, evaluate, ingest, labels, model, profile, split, text
 from ..session import materialize, scratch_path
-from ..sources.news import load_documents, load_news, load_table
+from ..sources.news import load_documents, load_news, load_table, read_news
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +37,11 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.combine_text(labels.merge_categories(clean(spark, sf_dir)))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned articles under their raw labels with the whole text."""
+    return ingest.combine_text(clean(spark, sf_dir))
+
+
 # --- stage 1-2: ingest and profile -------------------------------------------
 
 @register("clean_news")
@@ -71,6 +75,24 @@ def q_length_summary(spark, sf_dir):
     return profile.length_summary(clean(spark, sf_dir), "headline")
 
 
+@register("description_length_summary")
+def q_description_length_summary(spark, sf_dir):
+    return profile.length_summary(clean(spark, sf_dir), "short_description")
+
+
+@register("category_orders")
+def q_category_orders(spark, sf_dir):
+    return profile.category_orders(clean(spark, sf_dir))
+
+
+@register("read_news_json")
+def q_read_news_json(spark, sf_dir):
+    """The stand-in as JSON lines of the six article columns, read back."""
+    path = scratch_path(spark, "news-json")
+    load_news(spark, sf_dir).drop("row_id").write.json(path)
+    return ingest.clean_news(read_news(spark, path)).drop("row_id", "date")
+
+
 @register("byline_authors")
 def q_byline_authors(spark, sf_dir):
     return profile.parse_byline(clean(spark, sf_dir)).select("row_id", "authors")
@@ -125,6 +147,35 @@ def q_stratified_split(spark, sf_dir):
     return splits(spark, sf_dir).select("row_id", "category", "split")
 
 
+@register("split_check")
+def q_split_check(spark, sf_dir):
+    """U4: rows in several splits, rows in none, rows in all (0, 0, n)."""
+    s = splits(spark, sf_dir).select("row_id", F.lit(1).alias("given"))
+    rows = merged(spark, sf_dir).select("row_id", F.lit(0).alias("given"))
+    each = rows.union(s).groupBy("row_id").agg(F.sum("given").alias("times"))
+    return each.agg(F.count(F.when(F.col("times") > 1, 1)).alias("in_several"), F.count(F.when(F.col("times") == 0, 1)).alias("in_none"),
+                    F.count(F.lit(1)).alias("rows"))
+
+
+@register("persisted_split")
+def q_persisted_split(spark, sf_dir):
+    """The split written by part, the test part read back alone."""
+    path = scratch_path(spark, "splits")
+    split.persist_splits(splits(spark, sf_dir), path)
+    return split.read_split(spark, path, "test").select("row_id", "category", "combined_text")
+
+
+@register("training_frame")
+def q_training_frame(spark, sf_dir):
+    """Ids, mask and one-hot label of the train rows in one row each."""
+    t = split_tokens(spark, sf_dir)
+    train = t.where(F.col("split") == "train")
+    ids = encode.encode_sequences(train, encode.build_vocab(train))
+    classes = split.split_quotas(merged(spark, sf_dir)).where("train > 0")
+    hot = labels.one_hot(train.select("row_id", "category"), classes).select("row_id", "one_hot")
+    return ids.join(hot, "row_id")
+
+
 @register("class_distribution")
 def q_class_distribution(spark, sf_dir):
     return split.class_distribution(splits(spark, sf_dir))
@@ -143,13 +194,14 @@ def q_batch_plan(spark, sf_dir):
 
 @register("label_index")
 def q_label_index(spark, sf_dir):
-    return labels.class_table(splits(spark, sf_dir).where(F.col("split") == "train"))
+    return labels.class_table(split.split_quotas(merged(spark, sf_dir)).where("train > 0"))
 
 
 @register("one_hot")
 def q_one_hot(spark, sf_dir):
     s = splits(spark, sf_dir)
-    classes = class_list(s.where(F.col("split") == "train"))
+    # a class is in train if its quota there is not 0
+    classes = split.split_quotas(merged(spark, sf_dir)).where("train > 0")
     return labels.one_hot(s, classes).select("row_id", "split", "one_hot")
 
 
@@ -257,32 +309,32 @@ def q_normalize_text(spark, sf_dir):
 
 @register("word_frequencies")
 def q_word_frequencies(spark, sf_dir):
-    return text.word_frequencies(clean(spark, sf_dir))
+    return text.word_frequencies(texts(spark, sf_dir))
 
 
 @register("word_weights")
 def q_word_weights(spark, sf_dir):
-    return text.word_weights(clean(spark, sf_dir), 200).withColumnRenamed("rank", "rank_in_class")
+    return text.word_weights(texts(spark, sf_dir), 200).withColumnRenamed("rank", "rank_in_class")
 
 
 @register("top_bigrams")
 def q_top_bigrams(spark, sf_dir):
-    return text.top_ngrams(clean(spark, sf_dir), 2, 10).withColumnRenamed("rank", "rank_in_class")
+    return text.top_ngrams(texts(spark, sf_dir), 2, 10).withColumnRenamed("rank", "rank_in_class")
 
 
 @register("top_trigrams")
 def q_top_trigrams(spark, sf_dir):
-    return text.top_ngrams(clean(spark, sf_dir), 3, 10).withColumnRenamed("rank", "rank_in_class")
+    return text.top_ngrams(texts(spark, sf_dir), 3, 10).withColumnRenamed("rank", "rank_in_class")
 
 
 @register("bigrams_straddling")
 def q_bigrams_straddling(spark, sf_dir):
-    return text.ngram_counts_straddling(clean(spark, sf_dir), 2)
+    return text.ngram_counts_straddling(texts(spark, sf_dir), 2)
 
 
 @register("trigrams_straddling")
 def q_trigrams_straddling(spark, sf_dir):
-    return text.ngram_counts_straddling(clean(spark, sf_dir), 3)
+    return text.ngram_counts_straddling(texts(spark, sf_dir), 3)
 
 
 # --- stage 5b: vocabulary and encoding ----------------------------------------------
@@ -291,7 +343,7 @@ def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenised split rows, checkpointed: the vocabulary's count histogram,
     its top-k and the encoding all read them."""
     return materialize(splits(spark, sf_dir).select(
-        "row_id", "split", tk.tokenize(F.col("combined_text")).alias("tokens")))
+        "row_id", "split", "category", tk.tokenize(F.col("combined_text")).alias("tokens")))
 
 
 @register("build_vocab")
@@ -320,14 +372,9 @@ def q_batched_inference(spark, sf_dir):
 def test_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the stand-in predictor's output attached by key.
 
-    The predictor reads whole documents, so it runs only on the documents of
-    the test split (a semi join in front of it), not on the whole table.
     """
     test = splits(spark, sf_dir).where(F.col("split") == "test").select("row_id", "combined_text", "category")
-    docs = load_documents(spark, sf_dir).join(
-        test.select(F.col("row_id").alias("doc_id")), "doc_id", "left_semi")
-    preds = evaluate.language_predictions(docs).select(
-        F.col("doc_id").alias("row_id"), F.col("predicted").alias("prediction"))
+    preds = predictions(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.col("predicted").alias("prediction"))
     return model.attach_predictions(test, preds)
 
 
@@ -382,7 +429,7 @@ def q_model_evaluation(spark, sf_dir):
 @register("decode_class")
 def q_decode_class(spark, sf_dir):
     s = splits(spark, sf_dir)
-    classes = labels.class_table(s.where(F.col("split") == "train"))
+    classes = labels.class_table(split.split_quotas(merged(spark, sf_dir)).where("train > 0"))
     test = labels.index_labels(s.where(F.col("split") == "test"), classes)
     return labels.decode_class(test, classes, idx_col="label", out="decoded").select("row_id", "label", "decoded")
 

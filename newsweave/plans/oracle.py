@@ -29,15 +29,15 @@ def _w(x: str) -> str:
 
 
 NEWS = f"""
+headlines AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN text ELSE regexp_extract(text, '^[^.!?\\n]*[.!?]*', 0) END AS headline FROM documents),
 news AS (
   SELECT doc_id AS row_id,
          CASE WHEN doc_id % 97 = 5 THEN NULL
               ELSE concat('HTTPS://news.example.org/', cast(doc_id AS VARCHAR)) END AS link,
-         substring(text, 1, 20 + cast(doc_id % 41 AS INTEGER)) AS headline,
+         headline,
          ({sql_list([c.upper() for c in FIXTURE_CATEGORIES])})[cast(floor(sqrt(doc_id % 1024)) AS INTEGER) + 1] AS category,
          CASE WHEN doc_id % 101 = 7 THEN NULL
-              WHEN doc_id % 13 = 0 THEN ''
-              ELSE substring(text, 61, 40 + cast(doc_id * 7 % 161 AS INTEGER)) END AS short_description,
+              ELSE substring(text, length(headline) + 1) END AS short_description,
          CASE doc_id % 7
               WHEN 0 THEN ''
               WHEN 1 THEN {_w('doc_id')}
@@ -47,14 +47,14 @@ news AS (
               WHEN 5 THEN concat({_w('doc_id')}, ', AP')
               ELSE concat({_w('doc_id')}, ', and ', {_w('doc_id * 5 + 3')}) END AS authors,
          DATE '2020-01-01' + cast(doc_id % 700 AS INTEGER) AS date
-  FROM documents)"""
+  FROM headlines)"""
 
 CLEAN = """
 clean AS (
   SELECT row_id, lower(link) AS link, lower(headline) AS headline, lower(category) AS category,
          lower(short_description) AS short_description, lower(authors) AS authors, date
   FROM news
-  WHERE row_id IS NOT NULL AND link IS NOT NULL AND headline IS NOT NULL AND category IS NOT NULL
+  WHERE link IS NOT NULL AND headline IS NOT NULL AND category IS NOT NULL
     AND short_description IS NOT NULL AND authors IS NOT NULL AND date IS NOT NULL)"""
 
 BYLINE = """
@@ -123,6 +123,18 @@ SELECT b.category, b.n AS articles, round(q1, 9) AS q1, round(q2, 9) AS median,
 FROM l JOIN b USING (category)
 GROUP BY b.category, b.n, q1, q2, q3"""
 
+ORACLE["description_length_summary"] = ORACLE["length_summary"].replace("length(headline) AS len", "length(short_description) AS len")
+
+ORACLE["category_orders"] = BASE + """
+SELECT category, row_number() OVER (ORDER BY articles DESC, category) AS by_articles,
+  row_number() OVER (ORDER BY mh DESC, category) AS by_mean_headline_len, row_number() OVER (ORDER BY dh DESC, category) AS by_median_headline_len,
+  row_number() OVER (ORDER BY md DESC, category) AS by_mean_description_len, row_number() OVER (ORDER BY dd DESC, category) AS by_median_description_len
+FROM (SELECT category, count(*) AS articles, round(avg(length(headline)), 9) AS mh, median(length(headline)) AS dh,
+        round(avg(length(short_description)), 9) AS md, median(length(short_description)) AS dd FROM clean GROUP BY category)"""
+
+ORACLE["read_news_json"] = BASE + """
+SELECT link, headline, category, short_description, authors FROM clean"""
+
 ORACLE["byline_authors"] = with_(NEWS, CLEAN, BYLINE) + """
 SELECT row_id, authors FROM byline"""
 
@@ -186,6 +198,12 @@ SELECT category, n, train::BIGINT AS train, validation::BIGINT AS validation,
 ORACLE["stratified_split"] = SPLIT + """
 SELECT row_id, category, split FROM splits"""
 
+ORACLE["split_check"] = SPLIT + """
+SELECT 0::BIGINT AS in_several, 0::BIGINT AS in_none, count(*) AS rows FROM merged"""
+
+ORACLE["persisted_split"] = SPLIT + """
+SELECT row_id, category, combined_text FROM splits WHERE split = 'test'"""
+
 ORACLE["class_distribution"] = SPLIT + """
 SELECT split, category, n, round(n / sum(n) OVER (PARTITION BY split), 9) AS share
 FROM (SELECT split, category, count(*) AS n FROM splits GROUP BY split, category)"""
@@ -361,7 +379,7 @@ SELECT row_id,
 FROM norm"""
 
 HEADWORDS = f"""
-hw AS (SELECT category, row_id, regexp_extract_all(headline, {WORD_SQL}) AS w FROM clean)"""
+hw AS (SELECT category, row_id, regexp_extract_all(concat(headline, ' ', short_description), {WORD_SQL}) AS w FROM clean)"""
 
 ORACLE["word_frequencies"] = with_(NEWS, CLEAN, HEADWORDS) + f"""
 SELECT category, word, count(*) AS n
@@ -410,7 +428,7 @@ tk AS (SELECT row_id, split, {tokenize_sql('combined_text')} AS t FROM splits),
 vcount AS (SELECT word, count(*) AS n FROM (SELECT unnest(t) AS word FROM tk WHERE split = 'train')
            WHERE word <> '' GROUP BY word),
 voc AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) - 1 + 4 AS id
-        FROM (SELECT * FROM vcount ORDER BY n DESC, word LIMIT 30000))"""
+        FROM vcount)"""
 
 ORACLE["build_vocab"] = SPLIT + ENC + "\nSELECT word, n, id FROM voc"
 
@@ -425,6 +443,10 @@ SELECT row_id,
                    list_transform(range(256 - len(ids) - 2), lambda x: 0)) AS input_mask
 FROM al"""
 
+ORACLE["training_frame"] = ORACLE["encode_sequences"].replace("SELECT row_id,\n       list_concat([0]", """, cls AS (SELECT list(category ORDER BY category) AS classes FROM (SELECT DISTINCT category FROM splits WHERE split = 'train'))
+SELECT al.row_id, list_transform(cls.classes, lambda k: CASE WHEN k = s.category THEN 1 ELSE 0 END) AS one_hot,
+       list_concat([0]""").replace("\nFROM al", "\nFROM al JOIN splits s USING (row_id), cls WHERE s.split = 'train'")
+
 # --- stage 6b: batched scoring and prediction attachment ----------------------------
 
 ORACLE["batched_inference"] = VEC + """

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,47 +38,40 @@ def get_spark(app: str = "newsweave", master: str | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins; ``fallback`` is used only when the
-    session has none (local runs and tests).
+    session has none.  Without either, a plain local run (one JVM) gets a
+    temporary folder, and a cluster run raises: its executors share no local
+    disk.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback:
-        spark.conf.set(CHECKPOINT_CONF, fallback)
-        spark.sparkContext.setCheckpointDir(fallback)
-        return fallback
-    return None
-
-
-def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    named = spark.conf.get(CHECKPOINT_CONF, None) or fallback
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="newsweave-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
-    Used where one result feeds several actions (a sink and the metrics) or
-    where recomputation after a lost executor would repeat a long plan.
-    Without a configured folder the plan is returned unchanged.
+    Used where one result feeds several actions, or where recomputation after
+    a lost executor would repeat a long plan or deal rows out differently.
     """
-    spark = df.sparkSession
-    if not ensure_checkpoint_dir(spark):
-        return df
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def table_path(sf_dir: str, name: str) -> str:
-    return os.path.join(sf_dir, f"{name}.parquet")
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate output under the shared checkpoint
-    folder (local runs without one fall back to a new temporary folder)."""
-    import tempfile
-    import uuid
-    base = ensure_checkpoint_dir(spark)
-    if base:
-        return base.rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    """A fresh folder for intermediate output under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import FIXTURE_CATEGORIES
-from ..functions.sizing import spread_small
 from ..session import table_path
 
-# Declared, never inferred: `date` must be a DateType and `row_id` is the
-# explicit row key that replaces the reference's positional index.
+# Declared, never inferred: `date` must be a DateType.
 NEWS_SCHEMA = T.StructType([
-    T.StructField("row_id", T.LongType(), True),
     T.StructField("link", T.StringType(), True),
     T.StructField("headline", T.StringType(), True),
     T.StructField("category", T.StringType(), True),
@@ -21,18 +18,31 @@ NEWS_SCHEMA = T.StructType([
     T.StructField("authors", T.StringType(), True),
     T.StructField("date", T.DateType(), True),
 ])
+#: Articles that carry their own key.
+KEYED_NEWS_SCHEMA = T.StructType([T.StructField("row_id", T.LongType(), True), *NEWS_SCHEMA.fields])
 
 
-def read_news(spark: SparkSession, path: str, schema: T.StructType = NEWS_SCHEMA) -> DataFrame:
+def read_news(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
     """Newline-delimited JSON articles.
 
-    FAILFAST: a malformed line raises instead of becoming an all-null row
-    that the null filter would silently drop.
+    FAILFAST: a malformed line raises instead of becoming an all-null row that
+    the null filter would silently drop.  A declared column that no line has
+    raises too.  Lines without a key of their own get one from their content:
+    the hash of all columns and, for repeated lines, the occurrence.
     """
-    return (spark.read.schema(schema)
-            .option("mode", "FAILFAST")
-            .option("dateFormat", "yyyy-MM-dd")
-            .json(path))
+    schema = KEYED_NEWS_SCHEMA if keyed else NEWS_SCHEMA
+    df = (spark.read.schema(schema).option("mode", "FAILFAST").option("dateFormat", "yyyy-MM-dd").json(path))
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in df.columns]).first()
+    absent = [c for c in df.columns if seen["rows"] and not seen[c]]
+    if absent:
+        raise ValueError(f"no article in {path} has {', '.join(absent)}")
+    if keyed:
+        return df
+    columns = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns]
+    content = F.sha2(F.concat_ws("\x1f", *columns), 256)
+    nth = F.row_number().over(Window.partitionBy("__content").orderBy("__content"))
+    return (df.withColumn("__content", content).withColumn("__nth", nth)
+            .select(F.xxhash64("__content", "__nth").alias("row_id"), *df.columns))
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +53,19 @@ def _writer(x: Column) -> Column:
     return F.concat(F.lit("Writer "), (x % 37).cast("string"))
 
 
+# Fixed value: a headline is the text's first sentence or line.
+HEADLINE = r"^[^.!?\n]*[.!?]*"
+
+
 def news_from_documents(documents: DataFrame) -> DataFrame:
     """The `news` stand-in (FIXTURES.md §2): one article per document.
 
-    Pure projection of `documents`, so it is a narrow, pipelined stage and
-    its work grows with the table.
+    The headline is the text up to its first sentence or line end, the
+    description all the rest, so that the two together hold every character;
+    every 13th article is all headline.  Pure projection of `documents`, so it
+    is a narrow, pipelined stage and its work grows with the table.
     """
     i = F.col("doc_id")
-    text = F.col("text")
     cats = F.array(*[F.lit(c.upper()) for c in FIXTURE_CATEGORIES])
     w1, w2, w3 = _writer(i), _writer(i * 5 + 3), _writer(i * 3 + 1)
     r7 = i % 7
@@ -61,33 +76,25 @@ def news_from_documents(documents: DataFrame) -> DataFrame:
                .when(r7 == 4, F.concat(w1, F.lit(", "), w2, F.lit(" and "), w3))
                .when(r7 == 5, F.concat(w1, F.lit(", AP")))
                .otherwise(F.concat(w1, F.lit(", and "), w2)))
+    headline = F.when(i % 13 == 0, F.col("text")).otherwise(F.regexp_extract("text", HEADLINE, 0))
     desc = (F.when(i % 101 == 7, F.lit(None).cast("string"))
-            .when(i % 13 == 0, F.lit(""))
-            .otherwise(F.expr("substring(text, 61, 40 + cast(doc_id * 7 % 161 as int))")))
-    return documents.select(
+            .otherwise(F.expr("substring(text, length(headline) + 1)")))
+    return (documents.withColumn("headline", headline).select(
         i.alias("row_id"),
         F.when(i % 97 == 5, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("HTTPS://news.example.org/"), i.cast("string"))).alias("link"),
-        F.expr("substring(text, 1, 20 + cast(doc_id % 41 as int))").alias("headline"),
+        "headline",
         F.element_at(cats, F.floor(F.sqrt(i % 1024)).cast("int") + 1).alias("category"),
         desc.alias("short_description"),
         authors.alias("authors"),
         F.date_add(F.lit("2020-01-01").cast("date"), (i % 700).cast("int")).alias("date"),
-    )
+    ))
 
 
 def load_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in articles for a scale-factor folder (reads `documents`).
-
-    A small `documents` file is spread over the cores after the projection
-    (a few bytes per article move, not the documents); at scale the scan
-    already has many splits and nothing is added.
-    """
-    docs = load_table(spark, sf_dir, "documents")
-    return spread_small(news_from_documents(docs), "row_id", estimate_of=docs)
+    """Stand-in articles for a scale-factor folder (reads `documents`)."""
+    return news_from_documents(load_table(spark, sf_dir, "documents"))
 
 
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`documents`, spread over the cores when the file is small (whole-text work follows)."""
-    docs = load_table(spark, sf_dir, "documents")
-    return spread_small(docs, "doc_id")
+    return load_table(spark, sf_dir, "documents")

@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest, labels, model, text
-from ..sources.news import NEWS_SCHEMA
+from ..sources.news import KEYED_NEWS_SCHEMA
 
 
 def read_news_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = spark.readStream.schema(NEWS_SCHEMA).option("mode", "FAILFAST")
+    r = spark.readStream.schema(KEYED_NEWS_SCHEMA).option("mode", "FAILFAST")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.json(path)

@@ -93,26 +93,16 @@ def test_merge_table_join_equals_literal(spark, merged):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_author_counts_equal_loop(spark):
-    c = ingest.clean_news(load_news(spark, SF01)).orderBy("row_id").collect()
-    seen_ctg, seen_cnt = {}, Counter()
-    for r in c:
-        value = r.authors
-        if value[-4:] == ", ap":
-            value = value[:-4]
-        for a in [x for x in re.split(r", | and ", value) if x]:
-            if a in seen_ctg:
-                seen_cnt[a] += 1
-                seen_ctg[a][r.category] = seen_ctg[a].get(r.category, 0) + 1
-            else:
-                seen_ctg[a], seen_cnt[a] = {}, 1
+def test_author_counts_equal_sorted_rows(spark):
+    """All (author, place, category) rows, sorted; an author's first row does
+    not count in the compatible table."""
     df = ingest.clean_news(load_news(spark, SF01))
-    got_cnt = {r.author: r.articles for r in profile.author_counts(df).collect()}
-    assert got_cnt == dict(seen_cnt)
-    compat = defaultdict(dict)
-    for r in profile.author_category_counts(df, True).collect():
-        compat[r.author][r.category] = r.n
-    assert {a: m for a, m in compat.items()} == {a: m for a, m in seen_ctg.items() if m}
+    names = lambda line: filter(None, re.split(", | and ", re.sub(", ap$", "", line)))
+    rows = sorted((name, r.row_id, place, r.category) for r in df.collect() for place, name in enumerate(names(r.authors)))
+    assert {r.author: r.articles for r in profile.author_counts(df).collect()} == dict(Counter(r[0] for r in rows))
+    later = [r for before, r in zip([(None,)] + rows, rows) if before[0] == r[0]]
+    got = {(r.author, r.category): r.n for r in profile.author_category_counts(df, True).collect()}
+    assert got == dict(Counter((r[0], r[3]) for r in later))
 
 
 def _loop_straddle(rows, n):
@@ -127,12 +117,20 @@ def _loop_straddle(rows, n):
     return out
 
 
-@pytest.mark.parametrize("n,block", [(2, 1 << 20), (2, 5), (3, 3), (3, 1)])
-def test_straddling_ngrams_equal_loop(spark, n, block):
-    df = ingest.clean_news(load_news(spark, SF01))
-    rows = [(r.category, r.row_id, r.headline) for r in df.collect()]
-    want = _loop_straddle(rows, n)
-    got = {(r.category, r.gram): r.n for r in text.ngram_counts_straddling(df, n, block=block).collect()}
+@pytest.mark.parametrize("n,parts", [(2, "1"), (2, "40"), (3, "40"), (3, "400")])
+def test_straddling_ngrams_equal_loop(spark, n, parts):
+    """Headlines cut to a few words, so that a gram may span several articles."""
+    df = ingest.clean_news(load_news(spark, SF01)).withColumn("few", F.substring_index("headline", " ", 2))
+    df = df.withColumn("few", F.when(F.col("row_id") % 3 == 0, "").when(F.col("row_id") % 3 == 1, F.substring_index("few", " ", 1)).otherwise(F.col("few")))
+    want = _loop_straddle([(r.category, r.row_id, r.few) for r in df.collect()], n)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.category, r.gram): r.n for r in text.ngram_counts_straddling(df, n, "few").collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
     assert got == dict(want)
 
 

@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from newsweave.operators import ingest, labels, text
-from newsweave.sources.news import NEWS_SCHEMA, load_news
+from newsweave.sources.news import KEYED_NEWS_SCHEMA, load_news
 from newsweave.streaming import articles
 
 
 def _write_json(spark, tmp_out):
     news = load_news(spark, SF001)
     src = tmp_out + "/in"
-    news.select([f.name for f in NEWS_SCHEMA]).repartition(3).write.json(src)
+    news.select([f.name for f in KEYED_NEWS_SCHEMA]).repartition(3).write.json(src)
     return news, src
 
 
