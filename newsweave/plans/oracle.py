@@ -473,3 +473,28 @@ SELECT row_id,
                                       lambda x: regexp_replace(x, '\\p{Nd}+', '', 'g')), ' ') AS combined_text,
        category
 FROM norm ORDER BY row_id LIMIT 5"""
+
+# --- naive Bayes over document languages -------------------------------------------
+
+BAYES = with_("""
+merged AS (SELECT doc_id AS row_id, lang AS category, lang AS raw_category, text AS combined_text FROM documents
+           WHERE lang IS NOT NULL AND text IS NOT NULL)""", QUOTAS) + f""",
+bw AS (SELECT row_id, category, split, unnest(regexp_extract_all(lower(combined_text), {WORD_SQL})) AS word FROM splits),
+cw AS (SELECT category, word, count(*) AS n FROM bw WHERE split = 'train' GROUP BY category, word)"""
+
+BAYES_SCORES = BAYES + """,
+cl AS (SELECT category, count(*) AS rows, (SELECT coalesce(sum(n), 0) FROM cw WHERE cw.category = s.category) AS words,
+              (SELECT count(DISTINCT word) FROM cw) AS vocabulary FROM splits s WHERE split = 'train' GROUP BY category),
+tw AS (SELECT row_id, word, count(*) AS times FROM bw WHERE split = 'test' GROUP BY row_id, word),
+ln AS (SELECT row_id, sum(times) AS length FROM tw GROUP BY row_id),
+gain AS (SELECT row_id, cw.category AS class, sum(times * ln(n + 1)) AS gain FROM tw JOIN cw USING (word) GROUP BY row_id, cw.category),
+sc AS (SELECT t.row_id, cl.category AS class,
+              round(ln(cl.rows) - coalesce(length, 0) * ln(words + vocabulary) + coalesce(gain, 0), 6) AS score
+       FROM (SELECT row_id FROM splits WHERE split = 'test') t CROSS JOIN cl
+       LEFT JOIN ln ON ln.row_id = t.row_id LEFT JOIN gain ON gain.row_id = t.row_id AND gain.class = cl.category),
+pb AS (SELECT row_id, class AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, class) AS rn FROM sc) WHERE rn = 1),
+pred AS (SELECT s.row_id AS doc_id, s.category AS actual, pb.prediction AS predicted FROM splits s JOIN pb USING (row_id))"""
+
+ORACLE["bayes_words"] = BAYES + "\nSELECT category, word, n FROM cw"
+ORACLE["bayes_predictions"] = BAYES_SCORES + "\nSELECT doc_id AS row_id, actual AS category, predicted AS prediction FROM pred"
+ORACLE["bayes_evaluation"] = BAYES_SCORES + ",\n" + PRED[PRED.index("conf AS"):] + "\n" + ORACLE["evaluation_metrics"][len(EVAL):]

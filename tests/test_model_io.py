@@ -60,3 +60,19 @@ def test_encode_type_ids_option(spark):
     assert rows[1].input_mask == [1, 1, 1, 1, 1, 0, 0, 0]
     assert rows[2].input_word_ids == [0, 2, 1, 1, 1, 1, 1, 1]
     assert rows[2].input_type_ids == [0] * 8
+
+
+def test_bayes_beats_the_majority_and_handles_empty_texts(spark):
+    from newsweave.operators import bayes
+    rows = [(1, "the cat the dog", "en"), (2, "the end", "en"), (3, "le chat le chien", "fr"), (4, "", "fr")]
+    df = spark.createDataFrame(rows, "row_id long, combined_text string, category string")
+    words, classes = bayes.train(df)
+    new = spark.createDataFrame([(10, "the unseen"), (11, "le"), (12, ""), (13, "nothing known")], "row_id long, combined_text string")
+    got = {r.row_id: r.prediction for r in bayes.predict(new, words, classes).collect()}
+    assert got == {10: "en", 11: "fr", 12: "en", 13: "fr"}
+
+
+def test_language_models_beat_the_majority(spark):
+    for name in ("bayes_evaluation", "model_evaluation"):
+        m = catalog.QUERIES[name](spark, SF001).first()
+        assert m.accuracy > 0.75, name
