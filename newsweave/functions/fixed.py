@@ -68,6 +68,16 @@ TOKEN_RULES = [
     (r"--", r" -- "),
     (r"([^' ])('s|'m|'d|') ", r"$1 $2 "),
     (r"([^' ])('ll|'re|'ve|n't) ", r"$1 $2 "),
+    (r"\b(can)(not)\b", r" $1 $2 "),
+    (r"\b(d)('ye)\b", r" $1 $2 "),
+    (r"\b(gim)(me)\b", r" $1 $2 "),
+    (r"\b(gon)(na)\b", r" $1 $2 "),
+    (r"\b(got)(ta)\b", r" $1 $2 "),
+    (r"\b(lem)(me)\b", r" $1 $2 "),
+    (r"\b(more)('n)\b", r" $1 $2 "),
+    (r"\b(wan)(na)\b", r" $1 $2 "),
+    (r" ('t)(is)\b", r" $1 $2 "),
+    (r" ('t)(was)\b", r" $1 $2 "),
 ]
 # Blank characters collapsed before tokenising (Unicode separators and NEL).
 BLANKS = r"[\t\n\x0B\f\r \p{Z}\x{85}]+"

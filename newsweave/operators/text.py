@@ -18,17 +18,19 @@ from ..session import materialize
 
 
 def load_lexicon(spark, path: str | None = None, kind: str = "stopwords", fmt: str = "csv"):
-    """Stopword list (column `word`) or lemma dictionary (column `word`).
+    """Stopword list or lemma dictionary (column `word`), or the lemma
+    exceptions (columns `form`, `lemma`; kind "exceptions").
 
     Without a path the built-in English stopword list is returned as a
-    DataFrame; dictionaries are user-supplied tables.
+    DataFrame; dictionaries and exceptions are user-supplied tables.
     """
     if path is None:
         if kind != "stopwords":
             raise ValueError("a dictionary table must be supplied")
         return spark.createDataFrame([(w,) for w in STOPWORDS_EN], "word string")
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return reader.format(fmt).load(path).select(F.col("word").cast("string"))
+    columns = ("form", "lemma") if kind == "exceptions" else ("word",)
+    return reader.format(fmt).load(path).select(*[F.col(c).cast("string") for c in columns])
 
 
 def cleaned_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
@@ -42,12 +44,14 @@ def vocabulary(tokens_df: DataFrame, tokens: str = "tokens") -> DataFrame:
             .where(F.col("word") != "").distinct())
 
 
-def lemma_table(vocab: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+def lemma_table(vocab: DataFrame, dictionary: DataFrame | None = None,
+                exceptions: DataFrame | None = None) -> DataFrame:
     """T4's lexicon: (form, lemma) for the forms whose lemma differs.
 
     Candidates come from the noun suffix rules; a candidate counts only if
     it is in the dictionary (default: the vocabulary itself); the shortest
-    wins, ties by text.  Dictionary words and candidates are unioned and
+    wins, the form itself before others of its length, then by text.  A form in
+    ``exceptions`` (form, lemma) takes its lemma from there.  Dictionary words and candidates are unioned and
     grouped by the candidate text, so membership is one aggregate over
     vocabulary-sized input (no self join); a text is the candidate of at
     most one form per rule, so no group grows with the data.
@@ -65,9 +69,20 @@ def lemma_table(vocab: DataFrame, dictionary: DataFrame | None = None) -> DataFr
                .agg(F.max(F.col("form").isNull()).alias("known"),
                     F.collect_set("form").alias("forms")))
     hit = by_text.where("known").select("lemma", F.explode("forms").alias("form"))
-    return (hit.groupBy("form")
-            .agg(F.min(F.struct(F.length("lemma").alias("l"), F.col("lemma").alias("x"))).alias("m"))
-            .select("form", F.col("m.x").alias("lemma")))
+    shorter = F.length("lemma") < F.length("form")
+    if dictionary is None:  # every form is a word
+        hit = hit.where(shorter)
+    else:
+        known = dictionary.select(F.col("word").alias("form")).distinct().withColumn("__word", F.lit(True))
+        hit = hit.join(known, "form", "left").where(shorter | F.col("__word").isNull()).drop("__word")
+    found = (hit.groupBy("form")
+             .agg(F.min(F.struct(F.length("lemma").alias("l"), F.col("lemma").alias("x"))).alias("m"))
+             .select("form", F.col("m.x").alias("lemma")))
+    if exceptions is None:
+        return found
+    listed = (exceptions.select("form", "lemma").join(vocab.select(F.col("word").alias("form")), "form", "left_semi")
+              .groupBy("form").agg(F.min("lemma").alias("lemma")))
+    return found.join(listed, "form", "left_anti").unionByName(listed.where("lemma <> form"))
 
 
 def apply_lemmas(df: DataFrame, tokens: str, lemmas: DataFrame, key: str = "row_id",
@@ -98,7 +113,7 @@ def apply_lemmas(df: DataFrame, tokens: str, lemmas: DataFrame, key: str = "row_
 
 def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id",
                    dictionary: DataFrame | None = None, stopwords: list[str] | None = None,
-                   squeeze: bool = False) -> DataFrame:
+                   squeeze: bool = False, exceptions: DataFrame | None = None) -> DataFrame:
     """Tokenise, stopwords, punctuation, lemma, drop empties, digits, join.
 
     The result replaces ``col``.  ``squeeze=True`` also drops the empties
@@ -108,7 +123,7 @@ def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id
     # otherwise carry a copy of its whole document
     toks = df.withColumn("__tok", cleaned_tokens(F.col(col), stopwords)).drop(col)
     vocab = vocabulary(toks, "__tok")
-    lem = lemma_table(vocab, dictionary)
+    lem = lemma_table(vocab, dictionary, exceptions)
     withl = apply_lemmas(toks, "__tok", lem, key)
     if squeeze:
         final = tk.join_tokens(tk.drop_empty(tk.strip_digits(tk.drop_empty(F.col("__tok")))))

@@ -356,7 +356,7 @@ voc AS (SELECT DISTINCT w AS word FROM (SELECT unnest(t) AS w FROM tok) WHERE w
 cand AS (SELECT word AS form, unnest({_lemma_candidates()}) AS lemma FROM voc),
 lem AS (SELECT form, lemma FROM (
           SELECT form, lemma, row_number() OVER (PARTITION BY form ORDER BY length(lemma), lemma) AS rn
-          FROM cand WHERE lemma IS NOT NULL AND lemma <> form AND lemma IN (SELECT word FROM voc))
+          FROM cand WHERE lemma IS NOT NULL AND lemma <> form AND length(lemma) < length(form) AND lemma IN (SELECT word FROM voc))
         WHERE rn = 1),
 ex AS (SELECT row_id, unnest(t) AS form, unnest(range(len(t))) AS pos FROM tok),
 rl AS (SELECT row_id, list(coalesce(lem.lemma, ex.form) ORDER BY pos) AS t

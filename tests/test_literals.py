@@ -67,6 +67,23 @@ def test_tokenize_literal(spark):
     assert " ".join(got) == want
 
 
+def test_tokenize_contracted_words(spark):
+    df = spark.createDataFrame([("i cannot, gonna gotta gimme lemme wanna d'ye more'n: 'tis and 'twas. cannot cannot canny",)], "t string")
+    got = " ".join(df.select(tk.tokenize(F.col("t")).alias("x")).first().x)
+    assert got == "i can not , gon na got ta gim me lem me wan na d 'ye more 'n : 't is and 't was . can not can not canny"
+
+
+def test_lemma_rules_and_exceptions(spark):
+    vocab = spark.createDataFrame([(w,) for w in "men man movies movie geese mice boxes box ties wolves".split()], "word string")
+    got = {r.form: r.lemma for r in text.lemma_table(vocab).collect()}
+    assert got == {"movies": "movie", "boxes": "box"}  # men is a word as short as man
+    words = spark.createDataFrame([(w,) for w in "man movie box tie wolf".split()], "word string")
+    listed = spark.createDataFrame([("geese", "goose"), ("men", "men"), ("unused", "x")], "form string, lemma string")
+    got = {r.form: r.lemma for r in text.lemma_table(vocab, words, listed).collect()}
+    assert got == {"movies": "movie", "boxes": "box", "ties": "tie", "wolves": "wolf", "geese": "goose"}
+    assert {r.form: r.lemma for r in text.lemma_table(vocab, words).collect()}["men"] == "man"
+
+
 def test_tokenize_sentences_and_blanks(spark):
     df = spark.createDataFrame([("hello world. bye now! ok\n\tthen...", ), ("",)], "t string")
     got = [r.x for r in df.select(tk.tokenize(F.col("t")).alias("x")).collect()]
