@@ -120,8 +120,9 @@ def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id
     left by the digit step (the reference keeps them as double blanks).
     """
     # the text itself is dropped before the explode: every token row would
-    # otherwise carry a copy of its whole document
-    toks = df.withColumn("__tok", cleaned_tokens(F.col(col), stopwords)).drop(col)
+    # otherwise carry a copy of its whole document.  The rules run once: the vocabulary and the lookup both read
+    # the checkpointed tokens
+    toks = materialize(df.withColumn("__tok", cleaned_tokens(F.col(col), stopwords)).drop(col))
     vocab = vocabulary(toks, "__tok")
     lem = lemma_table(vocab, dictionary, exceptions)
     withl = apply_lemmas(toks, "__tok", lem, key)

@@ -46,6 +46,12 @@ def test_text_rules_run_on_materialised_columns(spark):
     assert _plan(QUERIES["top_trigrams"](spark, SF001)).count("regexp_extract_all") == 1
 
 
+def test_tokeniser_rules_run_once(spark):
+    """Vocabulary and lemma lookup read checkpointed tokens, not the texts."""
+    plan = _plan(QUERIES["normalize_text"](spark, SF001))
+    assert "FileScan" not in plan and "RDDScan" in plan.replace("Scan ExistingRDD", "RDDScan")
+
+
 def test_encoding_explodes_at_most_the_kept_tokens(spark):
     assert "254" in _plan(QUERIES["encode_sequences"](spark, SF001))
 
