@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
 Strong kinds (assignments, access identifiers, long hex runs) are always
-reported.  Weak candidates, a bare 40-character key or a service endpoint, say
-little alone; they are reported only where a part of another role (identifier,
+reported.  Weak candidates, a bare key of 40 characters or more or a service
+endpoint, say little alone; they are reported only where a part of another role (identifier,
 secret, endpoint) lies within ``SCOPE`` code points of the same document.
 
 Matches get their places without any Python: the text is split at the pattern,
@@ -26,9 +26,10 @@ ASSIGN = (r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee
           r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-KEY = r"[A-Za-z0-9+/=]{40,}"
+# '=' belongs to a key as its padding only, so NAME=value is not one run
+KEY = r"[A-Za-z0-9+/]{40,}(?:={1,2}(?![A-Za-z0-9+/=]))?"
 ENDPOINT = r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/@%-]+"
-VALUE_MIN, KEY_LENGTH = 6, 40
+VALUE_MIN = 6
 KINDS = ("assign", "access", "hex", "key", "endpoint")  # order of kinds at one start
 WEAK = ("key", "endpoint")
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "key": "secret", "endpoint": "endpoint"}
@@ -80,7 +81,6 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found["assign"] = F.when(F.size("_assign") > 0, F.transform(
         F.filter(F.zip_with(found["assign"], values, lambda s, v: F.struct(s.alias("s"), v.alias("v"))), lambda x: F.length(x["v"]) >= VALUE_MIN),
         lambda x: x["s"])).otherwise(nothing)
-    found["key"] = F.filter(found["key"], lambda x: x["end"] - x["start"] == KEY_LENGTH)
     return out.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *[c.alias(k) for k, c in found.items()])
 
 
@@ -148,9 +148,11 @@ def _sql_kind(i: int, kind: str, pattern: str, keep: str) -> str:
       WHERE len(ms) > 0) WHERE {keep}"""
 
 
+# The SQL knows keys of one length only, without '=' on either side.
+_SQL_KEY, _SQL_KEY_LENGTH = r"[A-Za-z0-9+/=]{40,}", 40
 _PARTS = " UNION ALL ".join(_sql_kind(i, k, p, w) for i, (k, p, w) in enumerate((
     ("assign", ASSIGN, f"length(v) >= {VALUE_MIN}"), ("access", ACCESS, "true"), ("hex", HEX, "true"),
-    ("key", KEY, f"length(m) = {KEY_LENGTH}"), ("endpoint", ENDPOINT, "true"))))
+    ("key", _SQL_KEY, f"length(m) = {_SQL_KEY_LENGTH}"), ("endpoint", ENDPOINT, "true"))))
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 p AS MATERIALIZED ({_PARTS}),

@@ -189,6 +189,20 @@ def test_weak_parts_need_a_complement(spark):
     assert out[2] == f"access:0:20,key:26:{26 + 40}"
 
 
+def test_unquoted_and_longer_keys_are_linked(spark):
+    key, long, padded = "Zx9" + "Ab1/" * 9 + "Q", "Qr7+" * 22, "Qr7+" * 21 + "Qr=="
+    access = "AKIA" + "ABCD1234" * 2
+    values = [key, long, padded, key + "Z", key + "="]
+    texts = [(f"{access}\n{name}", v) for v in values for name in ("AWS_SECRET_ACCESS_KEY=", "export KEY=", "KEY==", f"{'n' * 39}=")]
+    texts += [(f"{access} {key}=", long)]
+    docs = [(i, "".join(t) + "\n") for i, t in enumerate(texts)] + [(-1, f"AWS_SECRET_ACCESS_KEY={key} KEY={padded}"), (-2, f"{access} KEY={key[1:]}")]
+    out = {r.doc_id: r.spans for r in credentials.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (before, v) in enumerate(texts):
+        assert out[i].split(",")[-1] == f"key:{len(before)}:{len(before) + len(v)}", docs[i]
+        assert out[i].startswith("access:0:20,key:") and out[i].count("key:") == (2 if key in before else 1)
+    assert out[-1] == "" and out[-2] == "access:0:20"  # alone, or shorter than a key
+
+
 def test_language_on_held_out_documents(spark):
     rows = langid.query(spark, SF01).join(table(spark, SF01, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
