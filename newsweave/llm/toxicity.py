@@ -12,14 +12,17 @@ training rows (a chi-square test on those rows alone), so a very long clean
 text does not add up noise; L1 regularisation leaves those that tell.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows, in hash order: a bounded,
-documented sample.  Spark counts its words and picks the features; the rows'
-features, a few small lists, are fitted in NumPy.  Scoring reads every whole
-text once, in the JVM, without a shuffle: the words that have a weight are
-looked up in a literal of at most ``VOCABULARY`` entries.
+documented sample.  Spark counts its words; every word that stands out is a
+feature, so their number is bounded by the sample and ``MIN_DOCS`` alone.  The
+rows' features reach the driver as numbers and are fitted in NumPy.  Scoring
+reads every whole text once, in the JVM, without a shuffle: the words that have
+a weight are looked up in a literal hash table.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -35,8 +38,7 @@ CATEGORIES = ("low_quality", "toxic")  # in the order of the chain
 TRAIN_ROWS = 20_000
 FOLDS = 3
 MIN_DOCS = 5           # of the training rows must have a word for it to count
-VOCABULARY = 1024      # features at most, the most telling ones
-STANDS_OUT = 20.0      # chi-square of a word that may be a feature
+STANDS_OUT = 20.0      # chi-square of a word that is a feature
 L1 = 0.00003
 ITERATIONS = 200
 POSITIVE_WEIGHT = 3.0  # of a labelled row of the rarer, wanted class
@@ -72,8 +74,22 @@ def _p(category: str) -> str:
     return f"_p_{category}"
 
 
+def _looked_up(found: Column, values: dict[str, object], kind: str) -> Column:
+    """The values of those words that have one, in the words' order.  The
+    literal is an array of small maps, a word's map named by its CRC, since a
+    map alone is searched from end to end."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    maps: list[dict[str, object]] = [{} for _ in values]
+    for w, v in values.items():
+        maps[zlib.crc32(w.encode()) % len(maps)][w] = v
+    literal = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), f"array<map<string,{kind}>>")
+    each = F.transform(found, lambda w: F.element_at(F.get(literal, F.crc32(w.cast("binary")) % len(maps)), w))
+    return F.filter(each, lambda x: x.isNotNull())
+
+
 def _features(rows: DataFrame, categories: Sequence[str], folds: int, min_docs: int) -> list:
-    """The telling words with, per category and fold, whether they stand out
+    """All telling words with, per category and fold, whether they stand out
     in the rows outside that fold (the last entry: in all rows)."""
     each = rows.select("_fold", *categories, F.explode("_tokens").alias("word"))
 
@@ -95,7 +111,7 @@ def _features(rows: DataFrame, categories: Sequence[str], folds: int, min_docs:
             tests.append(F.when(has >= min_docs, chi).otherwise(0.0))
     strongest = F.greatest(*tests)
     return (counts.select("word", F.array(*tests).alias("chi"), strongest.alias("best")).where(F.col("best") >= STANDS_OUT)
-            .orderBy(F.desc("best"), "word").limit(VOCABULARY).collect())
+            .orderBy(F.desc("best"), "word").collect())
 
 
 def fit_linear(rows: np.ndarray, features: np.ndarray, n_features: int, extra: np.ndarray, y: np.ndarray,
@@ -157,12 +173,11 @@ def train(labelled: DataFrame, categories: Sequence[str] = CATEGORIES, text: str
                                *[F.col(c).cast("int").alias(c) for c in categories]))
     chosen = _features(rows, categories, folds, min_docs)
     number = {r.word: i for i, r in enumerate(chosen)}
-    known = F.array_intersect("_tokens", F.array(*[F.lit(w) for w in number])) if number else F.array().cast("array<string>")
-    held = rows.select("_fold", known.alias("words"), *categories).toArrow().combine_chunks()
+    held = rows.select("_fold", _looked_up(F.col("_tokens"), number, "int").alias("words"), *categories).toArrow().combine_chunks()
     fold = held.column("_fold").to_numpy()
-    lists = held.column("words").combine_chunks() if len(held) else pa.array([], pa.list_(pa.string()))
+    lists = held.column("words").combine_chunks() if len(held) else pa.array([], pa.list_(pa.int32()))
     where = np.repeat(np.arange(len(held), dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(int))
-    which = pc.index_in(lists.flatten(), pa.array(list(number), pa.string())).to_numpy(zero_copy_only=False).astype(np.int32)
+    which = lists.flatten().to_numpy(zero_copy_only=False)
     chi = np.array([r.chi for r in chosen], float).reshape(len(chosen), len(categories) * (folds + 1))
     earlier = np.zeros((len(held), 0))
     chain = Chain()
@@ -196,17 +211,17 @@ def train(labelled: DataFrame, categories: Sequence[str] = CATEGORIES, text: str
 def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
     """(_row, the whole row, and _p_<category> per category)."""
     telling = sorted({w for m in chain.models.values() for w in m.words})
-    found = F.array_intersect(words(F.col(f"`{text}`")), F.array(*[F.lit(w) for w in telling])) if telling else F.array().cast("array<string>")
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), found.alias("_found"))
+    weights = {w: [m.words.get(w, 0.0) for m in chain.models.values()] for w in telling}
+    found = _looked_up(words(F.col(f"`{text}`")), weights, "array<double>")
+    models = range(len(chain.models))  # one sum for all of them: the words are read once
+    total = F.aggregate(found, F.array(*[F.lit(0.0) for _ in models]), lambda a, v: F.array(*[a[i] + v[i] for i in models]))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), total.alias("_total"))
     for i, (category, m) in enumerate(chain.models.items()):
-        z = F.lit(m.bias)
-        if m.words:
-            weights = F.create_map(*[x for w, v in m.words.items() for x in (F.lit(w), F.lit(v))])
-            z = z + F.aggregate("_found", F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(weights, w), F.lit(0.0)))
+        z = F.lit(m.bias) + F.col("_total")[i]
         for name, v in zip(list(chain.models)[:i], m.chain):
             z = z + F.col(_p(name)) * v
         out = out.withColumn(_p(category), 1 / (1 + F.exp(-z)))
-    return out.drop("_found")
+    return out.drop("_total")
 
 
 def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text") -> DataFrame:

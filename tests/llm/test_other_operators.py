@@ -204,6 +204,20 @@ def test_chain_uses_earlier_categories_out_of_fold(spark):
     assert abs(sum(x.second for x in scored) - sum(y for _, _, y in rows)) < 20 and sum(x.first for x in scored) == 200
 
 
+def test_every_word_that_stands_out_is_a_feature(spark):
+    """Rare toxic words count, however many common words of good texts stand out more."""
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(676)]
+    good, bad = [n + "fine" for n in names] + [n + "good" for n in names], [f"vile{n}" for n in names[:16]]
+    rows = [(bad[i // 2 % 16] if i % 2 else " ".join(good), i % 2, i % 2) for i in range(800)]
+    df = spark.createDataFrame([(i, f"{t} t{names[i % 600]}", *y) for i, (t, *y) in enumerate(rows)], "doc_id long, text string, low_quality int, toxic int")
+    chosen = {r.word for r in toxicity._features(df.select(toxicity.words(F.col("text")).alias("_tokens"), (F.col("doc_id") % 3).alias("_fold"),
+                                                           "low_quality", "toxic"), toxicity.CATEGORIES, 3, 5)}
+    assert chosen >= set(good) | set(bad)
+    weights = {w: [i / 7, -i / 3] for i, w in enumerate(["é", "ünï", *good])}
+    found = df.select(toxicity._looked_up(F.split(F.concat(F.lit("none ünï é "), "text"), " "), weights, "array<double>").alias("x")).first().x
+    assert found == [weights[w] for w in ["ünï", "é", *good]]
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = SF01.replace("sf0.01", "sf0.1")
     labels = table(spark, sf, "labels")
