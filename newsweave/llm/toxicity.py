@@ -22,6 +22,7 @@ a weight are looked up in a literal hash table.
 from __future__ import annotations
 
 import json
+import warnings
 import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -43,6 +44,7 @@ L1 = 0.00003
 ITERATIONS = 200
 POSITIVE_WEIGHT = 3.0  # of a labelled row of the rarer, wanted class
 PRECISION = 0.9        # share of rejected rows that must be wanted, out of fold
+NOISY_PRECISION = 0.5  # the same where the labels are too noisy for that
 WORD = r"[\p{L}\p{M}]+"
 STEMS = (4, 6)         # lengths of the beginnings of words that may be features
 
@@ -142,19 +144,31 @@ def fit_linear(rows: np.ndarray, features: np.ndarray, n_features: int, extra: n
     return at
 
 
-def _threshold(scored: list[tuple[float, float]]) -> float:
+def _threshold(scored: list[tuple[float, float]], category: str = "") -> float:
     """The cut between two probabilities with the best F1 on rows out of fold
-    among those of ``PRECISION``; without one nothing is above the threshold."""
+    among those of ``PRECISION``.  Where that finds less than half the wanted
+    rows that a cut of ``NOISY_PRECISION`` finds, or there is none, the latter
+    is taken, with a warning; without either nothing is above the threshold."""
     scored = sorted(scored, reverse=True)
     total = sum(y for _, y in scored)
-    best, at, hits = 0.0, 1.0 + 1e-9, 0.0
+    strict = noisy = (0.0, 1.0 + 1e-9, 0.0, 0.0)  # F1, cut, wanted rows above it, precision
+    hits = 0.0
     for i, (p, y) in enumerate(scored):
         hits += y
         after = scored[i + 1][0] if i + 1 < len(scored) else 0.0
         f1 = 2 * hits / (i + 1 + total)
-        if after < p and hits >= PRECISION * (i + 1) and total < len(scored) and f1 > best:
-            best, at = f1, (p + after) / 2
-    return at
+        if after < p and total < len(scored):
+            this = f1, (p + after) / 2, hits, hits / (i + 1)
+            if hits >= PRECISION * (i + 1) and f1 > strict[0]:
+                strict = this
+            if hits >= NOISY_PRECISION * (i + 1) and f1 > noisy[0] and i + 1 < len(scored):
+                noisy = this
+    if strict[2] >= noisy[2] / 2 and strict[2]:
+        return strict[1]
+    if 0 < total < len(scored):
+        warnings.warn(f"{category}: a precision of {PRECISION} out of fold finds {strict[2]:.0f} of {total:.0f} wanted rows; "
+                      + (f"the cut taken finds {noisy[2]:.0f} with a precision of {noisy[3]:.2f}" if noisy[2] else "nothing is rejected"))
+    return noisy[1]
 
 
 def sample(labels: DataFrame, key: str, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -203,7 +217,7 @@ def train(labelled: DataFrame, categories: Sequence[str] = CATEGORIES, text: str
             out_of_fold[fold == k] = probability(fit(k))[fold == k]
         bias, weights, on_earlier = fit(folds)
         chain.models[category] = Model(float(bias), {w: float(weights[j]) for w, j in number.items() if weights[j]}, [float(x) for x in on_earlier])
-        chain.thresholds[category] = _threshold([(p, v) for p, v in zip(out_of_fold, y) if not np.isnan(v)])
+        chain.thresholds[category] = _threshold([(p, v) for p, v in zip(out_of_fold, y) if not np.isnan(v)], category)
         earlier = np.column_stack([earlier, out_of_fold])
     return chain
 

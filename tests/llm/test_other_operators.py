@@ -218,6 +218,17 @@ def test_every_word_that_stands_out_is_a_feature(spark):
     assert found == [weights[w] for w in ["ünï", "é", *good]]
 
 
+def test_noisy_labels_still_reject_and_warn():
+    sure = [(0.9 - i / 1e4, float(i % 5 > 0)) for i in range(100)]  # four of five rows are wanted
+    rest = [(0.1 - i / 1e4, float(i % 50 == 49)) for i in range(900)]
+    for lucky in ([], [(0.99, 1.0)] * 3):
+        with pytest.warns(UserWarning, match="precision of 0.9"):
+            assert 0.1 < toxicity._threshold(sure + rest + lucky, "toxic") < 0.9 - 99 / 1e4
+    with pytest.warns(UserWarning, match="nothing is rejected"):
+        assert toxicity._threshold([(0.2, float(i % 10 == 0)) for i in range(100)]) > 1
+    assert 0.1 < toxicity._threshold([(p, float(p > 0.5)) for p, _ in sure + rest]) < 0.89
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = SF01.replace("sf0.01", "sf0.1")
     labels = table(spark, sf, "labels")
