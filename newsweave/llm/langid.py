@@ -46,7 +46,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """docs (text, lang) -> language -> dictionary bytes, from excerpts of
-    documents in hash order, at hashed places of their texts."""
+    different documents in hash order, at hashed places of their texts."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select("lang", "text")
     n_langs = known.select(F.approx_count_distinct("lang")).first()[0]
     per_lang = max(1, min(EXCERPTS, MODEL_BYTES // (4 * EXCERPT_CHARS * max(1, 2 * n_langs))))
@@ -54,7 +54,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     place = F.pmod(h, F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(1))) + 1
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))
     rows = (known.select("lang", h.alias("h"), F.substring("text", place.cast("int"), F.lit(EXCERPT_CHARS)).alias("excerpt"))
-            .withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "nth", "excerpt"))
+            .distinct().withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "nth", "excerpt"))
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in rows.toLocalIterator():
         parts.setdefault(r.lang, []).append((r.nth, r.excerpt))

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsweave.llm import components, credentials, decontam, langid, neardup
 from newsweave.llm.common import table
@@ -203,6 +204,14 @@ def test_unquoted_and_longer_keys_are_linked(spark):
     assert out[-1] == "" and out[-2] == "access:0:20"  # alone, or shorter than a key
 
 
+def test_copies_give_one_excerpt(spark):
+    texts = spark.range(60).selectExpr("concat('text ', repeat(chr(97 + cast(id % 26 AS int)), 3 + cast(id AS int))) AS text")
+    first = texts.orderBy(F.xxhash64("text")).first().text
+    docs = texts.union(spark.range(1500).selectExpr(f"'{first}' AS text")).withColumn("lang", F.lit("x"))
+    assert sorted(langid.learn(docs)["x"].split(b"text ")[1:]) == sorted(langid.learn(texts.withColumn("lang", F.lit("x")))["x"].split(b"text ")[1:])
+    assert langid.learn(docs)["x"].count(b"text ") == 60
+
+
 def test_language_on_held_out_documents(spark):
     rows = langid.query(spark, SF01).join(table(spark, SF01, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
