@@ -248,16 +248,28 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group of near-duplicates: the one that names the
-    component, once if its row is repeated.  Rows with a null id, and texts
-    without words, stay."""
-    found = cut(near_duplicates(docs, id, text).select(F.col(id).alias("_id"), "kept"))
-    dropped = found.where(~F.col("kept")).select("_id").distinct()
-    rest = docs.join(dropped, docs[id] == F.col("_id"), "left_anti")
-    repeated = found.where(F.col("kept") & F.col("_id").isNotNull()).groupBy("_id").count().where("count > 1").select("_id")
+    component, once if its id and text are repeated.  Different texts of one id
+    are different documents.  Rows with a null id, and texts without words of
+    different ids, stay."""
+    repeated = cut(docs.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).count().where("count > 1").select("_id"))
     if repeated.isEmpty():
-        return rest
+        return _kept(docs, id, text)
+    # every text of an id gets a number of its own, in the order of the ids
+    whole = F.coalesce(F.sha2(F.col(text), 256), F.lit(""))
+    numbers = cut(docs.where(F.col(id).isNotNull()).select(F.col(id).alias("_id"), whole.alias("_sha")).distinct()
+                  .orderBy("_id", "_sha").withColumn("_number", F.monotonically_increasing_id()))
+    named = docs.join(numbers, (docs[id] == F.col("_id")) & (whole == F.col("_sha")), "left").select(*docs.columns, "_number")
+    rest = _kept(named, "_number", text)
     several = rest[id] == F.col("_id")
-    return rest.join(repeated, several, "left_anti").union(rest.join(repeated, several, "left_semi").dropDuplicates([id]))
+    return (rest.join(repeated, several, "left_anti").union(rest.join(repeated, several, "left_semi").dropDuplicates(["_number"]))
+            .drop("_number"))
+
+
+def _kept(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows whose id names a component, where an id names one text."""
+    found = cut(near_duplicates(docs, id, text).select(F.col(id).alias("_dropped"), "kept"))
+    dropped = found.where(~F.col("kept")).select("_dropped").distinct()
+    return docs.join(dropped, docs[id] == F.col("_dropped"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

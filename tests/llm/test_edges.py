@@ -59,6 +59,13 @@ def test_neardup(docs, none):
     assert got(neardup.near_duplicates(none)) == []
 
 
+def test_neardup_keeps_different_texts_of_one_id(spark):
+    a, b, c = ("one two three four five six", "red green blue black white grey", "up down left right near far")
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "x"), (5, b, "x"), (6, c, "x"), (6, None, "x"), (6, None, "x"), (9, b, "z"), (None, a, "x"), (None, a, "x")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(str, got(kept))) == sorted(map(str, [(1, a, "x"), (5, b, "x"), (6, c, "x"), (6, None, "x"), (None, a, "x"), (None, a, "x")]))
+
+
 def test_langid(docs, none):
     model = langid.learn(docs.selectExpr("text", "source AS lang"))
     rows = {r.doc_id: r for r in langid.predict(docs, model).collect()}
