@@ -60,6 +60,21 @@ def domain(h: Column) -> Column:
     return F.when(F.substring_index(h, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(h, ".", -3)).otherwise(F.substring_index(h, ".", -2))
 
 
+def placed(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Rows with a host -> the same with its domain and suffix.  ``suffixes``
+    (suffix) lists suffixes of two or three labels, the longest counts; without
+    it ``LONG_SUFFIXES`` are taken."""
+    if suffixes is None:
+        return hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    known = suffixes.where("suffix IS NOT NULL").select(ascii_lower(F.col("suffix")).alias("_name")).distinct()
+    ends = {n: F.substring_index("host", ".", -n) for n in (1, 2, 3, 4)}
+    out = hosts.withColumns({"_end2": ends[2], "_end3": ends[3]})
+    for n in (2, 3):
+        out = out.join(known.select(F.col("_name").alias(f"_end{n}"), F.lit(True).alias(f"_is{n}")), f"_end{n}", "left")
+    longest = lambda k: F.when(F.col("_is3"), ends[3 + k]).when(F.col("_is2"), ends[2 + k]).otherwise(ends[1 + k])
+    return out.withColumns({"domain": longest(1), "suffix": longest(0)}).drop("_end2", "_end3", "_is2", "_is3")
+
+
 def _strength(level: DataFrame) -> float:
     """A beta-binomial prior's strength from the spread of a level's rates
     around the level above (``prior``): with k groups, Pearson's statistic is
@@ -73,12 +88,12 @@ def _strength(level: DataFrame) -> float:
     return min(high, max(low, 1 / r - 1)) if r > 0 else high
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Outcomes (host, bad 0/1) -> lower bounds (key, bound) of hosts, domains and
     suffixes."""
     hosts = cut(outcomes.where("bad IS NOT NULL AND host <> ''").groupBy("host")
                 .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
-    hosts = hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+    hosts = placed(hosts, suffixes)
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     suffixes = domains.groupBy("suffix").agg(*sums)
@@ -106,7 +121,7 @@ def lower_bound() -> Column:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES,
-          block_above: float = BLOCK_ABOVE) -> DataFrame:
+          block_above: float = BLOCK_ABOVE, suffixes: DataFrame | None = None) -> DataFrame:
     """Pages (page_id, url), outcomes (host, bad) -> page_id, host, path, rule,
     verdict, bound; one row per page.
 
@@ -115,13 +130,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     an empty host, which no rule fits and no outcome counts for; it is judged
     like a host of an unknown suffix.  Outcomes with a null label or an empty
     host are left out.  Without outcomes nothing is blocked but by rules.
-    Repeated pages are judged each; further columns are ignored.
+    Repeated pages are judged each; further columns are ignored.  For
+    ``suffixes`` see ``placed``.
     """
-    by_host, by_domain, by_suffix = reputation(outcomes)
-    p = (pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-         .withColumn("_domain", domain(F.col("host"))).withColumn("_suffix", suffix(F.col("host"))))
+    by_host, by_domain, by_suffix = reputation(outcomes, suffixes)
+    p = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     # posteriors of every host that occurs, known or not: one row per host
-    names = p.select("host", "_domain", "_suffix").distinct()
+    names = placed(p.select("host").distinct(), suffixes).withColumnsRenamed({"domain": "_domain", "suffix": "_suffix"})
     known = (names.join(by_host.withColumnRenamed("bound", "_h"), "host", "left")
              .join(by_domain.select(F.col("domain").alias("_domain"), F.col("bound").alias("_d")), "_domain", "left")
              .join(by_suffix.select(F.col("suffix").alias("_suffix"), F.col("bound").alias("_s")), "_suffix", "left")

@@ -171,6 +171,18 @@ def test_reputation_shrinks(spark):
     assert out == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "allow"}
 
 
+def test_suffixes_come_from_a_table(spark):
+    suffixes = spark.createDataFrame([("co.za",), ("CO.ZA",), ("a.b.test",), (None,)], "suffix string")
+    names = ["x.site.co.za", "co.za", "x.site.a.b.test", "x.b.test", "x.site.org", "", "one"]
+    out = {r.host: (r.domain, r.suffix) for r in hosts.placed(spark.createDataFrame([(n,) for n in names], "host string"), suffixes).collect()}
+    assert out == {"x.site.co.za": ("site.co.za", "co.za"), "co.za": ("co.za", "co.za"), "x.site.a.b.test": ("site.a.b.test", "a.b.test"),
+                   "x.b.test": ("b.test", "test"), "x.site.org": ("site.org", "org"), "": ("", ""), "one": ("one", "one")}
+    outcomes = [(f"h{i}.bad.co.za", 1) for i in range(40) for _ in range(9)] + [(f"h{i}.good{i % 9}.co.za", 0) for i in range(400) for _ in range(9)]
+    pages = spark.createDataFrame([(1, "http://new.bad.co.za/"), (2, "http://new.good1.co.za/")], "page_id long, url string")
+    judged = hosts.judge(pages, spark.createDataFrame(outcomes, "host string, bad int"), suffixes=suffixes)
+    assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "allow"}
+
+
 def test_toxicity_finds_held_out_rows(spark):
     r = random.Random(6)
     words = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
