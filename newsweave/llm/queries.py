@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import credentials, decontam, hosts, knn, langid, mixing, neardup, packing, revisit, toxicity
+from . import chat, credentials, decontam, hosts, knn, langid, merkle, mixing, neardup, packing, revisit, spelling, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_revisit_resolution": revisit.query,
     "op9_benchmark_decontam": decontam.query,
     "op10_secret_scan": credentials.query,
+    "op11_merkle_manifest": merkle.query,
+    "op12_chat_format": chat.query,
+    "op13_spelling_variants": spelling.query,
 }
 ORACLE = {
     "op1_mix_sources": mixing.ORACLE,
@@ -24,4 +27,7 @@ ORACLE = {
     "op8_revisit_resolution": revisit.ORACLE,
     "op9_benchmark_decontam": decontam.ORACLE,
     "op10_secret_scan": credentials.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_chat_format": chat.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
