@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import buffers, hashes, slices
+from .words import buffers, hashes, same_bytes, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pattern that splits a text before the merges of
@@ -53,7 +53,8 @@ class Tokenizer:
 
     A text may be cut before any single blank that a visible character
     follows: every alternative of the pattern starts there anew.  Chunks are
-    found and hashed in bulk; only those not seen yet are encoded.
+    found and hashed in bulk; only those not seen yet are encoded.  A hash only
+    finds a chunk: its bytes are compared before it counts as the same.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -68,6 +69,8 @@ class Tokenizer:
         self.place = np.zeros(0, np.int64)   # their index in bounds
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
+        self.kept = np.zeros(0, np.uint8)    # the chunks' own bytes, by place
+        self.kept_at = np.zeros(1, np.int64)
 
     def _learn(self, new: np.ndarray, chunks: list[bytes]) -> None:
         # chunks that begin at a cut are encoded in one call: no token crosses a
@@ -86,6 +89,9 @@ class Tokenizer:
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes[order])])
         places = np.empty(len(chunks), np.int64)
         places[order] = np.arange(len(chunks)) + len(self.place)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))[order]
+        self.kept = np.concatenate([self.kept, np.frombuffer(b"".join(chunks[k] for k in order), np.uint8)])
+        self.kept_at = np.concatenate([self.kept_at, self.kept_at[-1] + np.cumsum(lengths)])
         seen, place = np.concatenate([self.seen, new]), np.concatenate([self.place, places])
         merged = np.argsort(seen, kind="stable")
         self.seen, self.place = seen[merged], place[merged]
@@ -93,6 +99,20 @@ class Tokenizer:
     def _ids(self, chunk: bytes) -> np.ndarray:
         return self.encoding.encode_to_numpy(chunk.decode()).astype(np.int32) if chunk else np.zeros(0, np.int32)
 
+    def _found(self, uniq: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands among those seen, and whether its chunk is
+        known.  A known hash of other bytes empties the cache."""
+        at = np.searchsorted(self.seen, uniq)
+        known = np.zeros(len(uniq), bool)
+        inside = at < len(self.seen)
+        known[inside] = self.seen[at[inside]] == uniq[inside]
+        place = self.place[at[known]]
+        kept, size = self.kept_at[place], self.kept_at[place + 1] - self.kept_at[place]
+        if (size == sizes[known]).all() and same_bytes(buf, starts[known], self.kept, kept, size).all():
+            return at, known
+        self._clear()
+        return np.zeros(len(uniq), np.int64), np.zeros(len(uniq), bool)
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array and each text's bounds in it."""
         n = len(buf)
@@ -103,13 +123,18 @@ class Tokenizer:
         cut[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
+        sizes = ends - starts
         uniq, first, which = np.unique(hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.seen) > CACHED_WORDS:
+        shared = (sizes == sizes[first][which]).all() and same_bytes(buf, starts, buf, starts[first][which], sizes).all()
+        if not shared:  # two chunks of one hash: these texts are told apart by the chunks themselves
+            raw = buf.tobytes()
+            numbers: dict[bytes, int] = {}
+            which = np.fromiter((numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts, ends)), np.int64, len(starts))
+            first = np.unique(which, return_index=True)[1]
+            uniq = np.arange(len(numbers), dtype=np.uint64)
+        if len(self.seen) > CACHED_WORDS or not shared:
             self._clear()
-        at = np.searchsorted(self.seen, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.seen)
-        known[inside] = self.seen[at[inside]] == uniq[inside]
+        at, known = self._found(uniq, buf, starts[first], sizes[first])
         if not known.all():
             raw = buf.tobytes()
             missing = np.flatnonzero(~known)
@@ -120,6 +145,8 @@ class Tokenizer:
         after = np.cumsum(sizes)
         total = int(after[-1])
         ids = self.ids[np.repeat(lo - (after - sizes), sizes) + np.arange(total)]
+        if not shared:
+            self._clear()
         return ids, np.concatenate(([0], after))[np.searchsorted(starts, offsets)]
 
 

@@ -2,8 +2,9 @@
 
 Texts are handled as UTF-8 bytes in one buffer with offsets, as Arrow holds
 them.  Word separators are ASCII bytes only, so byte classes are exact.  A
-word's 64-bit hash is a polynomial over its bytes, taken from prefix sums of
-the whole buffer, so no Python object is made per word.
+word's 64-bit hash is a sum over its pieces of eight bytes, each mixed with
+its place by a bijection that is not linear, so no Python object is made per
+word and no structure of the letters cancels out.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 21  # bytes hashed at a time; a longer text is a slice of its own
-_B = np.uint64(0x9E3779B97F4A7C15)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+_LANE = 8  # bytes mixed at a time
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -27,19 +28,6 @@ NOT_BLANK[[32, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_B, _B_INV)):
-            p = np.full(n, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -87,11 +75,31 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each [start, end) of the bytes."""
-    p, q = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[buf] * p[:len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * q[starts])
+    """64-bit hash of each [start, end) of the bytes; none may be empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    lanes = -(-sizes // _LANE)
+    firsts = np.cumsum(lanes) - lanes
+    nth = np.arange(int(lanes.sum())) - np.repeat(firsts, lanes)
+    padded = np.concatenate([buf, np.zeros(_LANE, np.uint8)])
+    anywhere = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    values = anywhere[np.repeat(starts, lanes) + nth * _LANE]
+    last = firsts + lanes - 1
+    unused = (lanes * _LANE - sizes).astype(np.uint64) * np.uint64(8)
+    values[last] = values[last] << unused  # what follows the word is shifted out
+    places = mix(np.arange(1, int(lanes.max()) + 1, dtype=np.uint64) * _GOLD)
+    return mix(np.add.reduceat(mix(values ^ places[nth]), firsts) + sizes.astype(np.uint64) * _GOLD)
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sizes[i] bytes of a from a_starts[i] are those of b from
+    b_starts[i]; sizes are at least one."""
+    if not len(sizes):
+        return np.zeros(0, bool)
+    firsts = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+    return np.logical_and.reduceat(a[np.repeat(a_starts, sizes) + step] == b[np.repeat(b_starts, sizes) + step], firsts)
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
