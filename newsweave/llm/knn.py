@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -37,27 +37,35 @@ PIVOTS = 16          # per vector length: what is broadcast is this many vectors
 GROUP_ROWS = 512     # queries solved together
 UNIT_ROWS = 4096     # candidates solved at a time
 QUERY_EVERY = 50
+FLOAT_MAX = 3.4028234663852886e38  # the largest 32-bit float; beyond it a component counts as non-finite
+
+
+def _floor(x: Column) -> Column:
+    """The floor as a double (``floor`` gives a long, which may not hold it)."""
+    whole = F.rint(x)
+    return whole - F.when(whole > x, F.lit(1.0)).otherwise(F.lit(0.0)) + F.lit(0.0)
 
 
 def quantised(vectors: DataFrame, id: str, vector: str) -> DataFrame:
-    """(id, v array<long>): rows with an id and a vector of finite components."""
-    whole = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    """(id, v array<double>): rows with an id and a vector of finite components,
+    each a whole number that a double holds exactly."""
+    whole = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) <= F.lit(FLOAT_MAX)))
     return (vectors.where(F.col(id).isNotNull() & F.col(vector).isNotNull() & whole)
             .select(F.col(id).cast("long").alias("id"),
-                    F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE)).alias("v")).distinct())
+                    F.transform(F.col(vector), lambda x: _floor(x.cast("double") * SCALE)).alias("v")).distinct())
 
 
 def _lists(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray, longest: int, candidate: bool) -> np.ndarray:
+def _distances(x: np.ndarray, pivots: np.ndarray, longest: float, candidate: bool) -> np.ndarray:
     """Distances of rows of x to the lengthened pivots."""
     own = (x * x).sum(axis=1, dtype=np.float64)
     more = np.sqrt(np.maximum(longest - own, 0)) if candidate else np.zeros(len(x))
     p_own = (pivots * pivots).sum(axis=1, dtype=np.float64)
     p_more = np.sqrt(np.maximum(longest - p_own, 0))
-    square = (own + more ** 2)[:, None] + (p_own + p_more ** 2)[None, :] - 2 * (x.astype(np.float64) @ pivots.T + more[:, None] * p_more[None, :])
+    square = (own + more ** 2)[:, None] + (p_own + p_more ** 2)[None, :] - 2 * (x @ pivots.T + more[:, None] * p_more[None, :])
     return np.sqrt(np.maximum(square, 0))
 
 
@@ -86,10 +94,16 @@ def _needs(summaries: Broadcast, k: int):
         for groups in batches:
             out = []
             for grp, dim, low, high in zip(groups["grp"], groups["dim"], groups["low"], groups["high"]):
-                cells = summaries.value.get(int(dim), [])
+                longest, cells = summaries.value.get(int(dim), (0.0, []))
                 reach = np.sort(np.concatenate([[high[c] + x for x in nearest] for c, _, nearest in cells])) if cells else np.zeros(0)
                 radius = reach[k] if len(reach) > k else np.inf
-                radius = radius * (1 + 1e-9) + 1e-3  # room for rounding
+                # room for rounding: a distance is off by the root of what its squares lose
+                length, far = np.sqrt(longest), max((high[c] for c, _, _ in cells), default=0.0)
+                radius = radius * (1 + 1e-9) + 1e-3 + 1e-6 * (length + far)
+                if (far + length) * length >= _TOP / 2:  # scores beyond a long are ties: all that reach it are needed
+                    radius = max(radius, np.sqrt(max(0.0, (far + length) ** 2 + longest - 2 * _TOP)) * (1 + 1e-6))
+                    if radius ** 2 >= (longest + 2 * _TOP) * (1 - 1e-6):
+                        radius = np.inf
                 for c, units, _ in cells:
                     out += [(grp, int(dim), c, u, low[c] - radius, high[c] + radius) for u in range(units)]
             yield pd.DataFrame(out, columns=["grp", "dim", "cell", "unit", "near", "far"])
@@ -129,7 +143,7 @@ def _solve(k: int):
                 tags = part.column("tag")
                 which = np.repeat(np.arange(hi - lo), np.diff(tags.offsets.to_numpy()))
                 ids = tags.flatten().to_numpy(zero_copy_only=False)
-                queries = np.concatenate(q) if q else np.zeros((0, x.shape[1]), np.int64)
+                queries = np.concatenate(q) if q else np.zeros((0, x.shape[1]))
                 for r, scores in enumerate(_products(queries, x)):
                     s, i = scores[which], ids
                     if len(best) > r:
@@ -137,7 +151,7 @@ def _solve(k: int):
                     if len(s) > k + 1:
                         few = np.flatnonzero(s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1])
                         s, i = s[few], i[few]
-                    order = np.lexsort((i, -s))[:k + 1]
+                    order = np.lexsort((i, ~s))[:k + 1]  # ~s: the negative of the least long is no long
                     if len(best) > r:
                         best[r] = (s[order], i[order])
                     else:
@@ -147,12 +161,36 @@ def _solve(k: int):
     return run
 
 
+_TOP = 2.0 ** 63
+
+
+def _wrapped(v: np.ndarray) -> np.ndarray:
+    """Whole doubles modulo 2^64, as signed longs."""
+    size = np.fmod(np.abs(v), 2.0 ** 64).astype(np.uint64)
+    return np.where(v < 0, np.uint64(0) - size, size).view(np.int64)
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products: through floats where they are exact there."""
+    """Integer inner products, exact; beyond a long the nearest long.
+
+    Small ones are exact as floats.  Otherwise longs that wrap around are exact
+    wherever the true product is a long, which floats with a bound on their
+    error tell; the few products too near the border are summed one by one.
+    """
     if q.size == 0 or x.size == 0:
         return np.zeros((len(q), len(x)), np.int64)
-    most = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if most < 2.0 ** 53 else q @ x.T
+    rough = q @ x.T
+    if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0 ** 53:
+        return rough.astype(np.int64)
+    error = (np.abs(q) @ np.abs(x).T) * (2.0 ** -52 * (q.shape[1] + 2))
+    out = _wrapped(q) @ _wrapped(x).T
+    out[rough - error >= _TOP] = np.iinfo(np.int64).max
+    out[rough + error < -_TOP] = np.iinfo(np.int64).min
+    near = (np.abs(rough) + error >= _TOP) & (rough - error < _TOP) & (rough + error >= -_TOP)
+    for i, j in zip(*np.nonzero(near)):
+        exact = sum(int(a) * int(b) for a, b in zip(q[i], x[j]))
+        out[i, j] = min(max(exact, np.iinfo(np.int64).min), np.iinfo(np.int64).max)
+    return out
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP_K, id: str = "vec_id", vector: str = "embedding",
@@ -162,7 +200,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP_K, id: str = "
     vec_id, score; ties go to the smaller id.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite
-    component, take no part on either side.  Repeated rows count once.  Vectors
+    component (for doubles: beyond the range of a 32-bit float), take no part
+    on either side.  A score beyond the range of a long is the nearest long,
+    and such equal scores are ties like others.  Repeated rows count once.  Vectors
     are compared with vectors of their own length only.  With fewer candidates
     a query has fewer rows, with none it has no row; further columns are
     ignored; empty tables give no rows.
@@ -173,27 +213,27 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP_K, id: str = "
     nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     data = (quantised(candidates, id, vector).withColumn("nth", nth).where(F.col("nth") <= k + 1)
             .groupBy("v").agg(F.collect_list("id").alias("tag")))
-    data = cut(data.withColumn("dim", F.size("v")).withColumn("own", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)))
+    data = cut(data.withColumn("dim", F.size("v")).withColumn("own", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
 
     longest = {r.dim: r.m for r in data.groupBy("dim").agg(F.max("own").alias("m")).collect()}
     place = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("v"), "v"))
     chosen: dict[int, list] = {}
     for r in data.select("dim", "v").withColumn("place", place).where(F.col("place") <= pivots).select("dim", "v").collect():
         chosen.setdefault(r.dim, []).append(r.v)
-    model = spark.sparkContext.broadcast({dim: (np.array(v, np.int64).reshape(len(v), dim), longest[dim]) for dim, v in chosen.items()})
+    model = spark.sparkContext.broadcast({dim: (np.array(v, np.float64).reshape(len(v), dim), longest[dim]) for dim, v in chosen.items()})
     dims = list(chosen) or [-1]
 
-    located = "dim int, cell int, dist double, dists array<double>, v array<long>, tag array<long>"
+    located = "dim int, cell int, dist double, dists array<double>, v array<double>, tag array<long>"
     placed = cut(data.select("dim", "v", "tag").mapInArrow(_assign(model, True), located).drop("dists"))
     near = F.row_number().over(Window.partitionBy("dim", "cell").orderBy("dist"))
     nearest: dict[tuple[int, int], list[float]] = {}
     for r in placed.select("dim", "cell", "dist").withColumn("n", near).where(F.col("n") <= k + 1).collect():
         nearest.setdefault((r.dim, r.cell), []).append(r.dist)
-    summaries: dict[int, list] = {}
+    summaries: dict[int, tuple[float, list]] = {}
     units: dict[tuple[int, int], int] = {}
     for r in placed.groupBy("dim", "cell").count().collect():
         units[r.dim, r.cell] = -(-r["count"] // UNIT_ROWS)
-        summaries.setdefault(r.dim, []).append((r.cell, units[r.dim, r.cell], sorted(nearest[r.dim, r.cell])))
+        summaries.setdefault(r.dim, (longest[r.dim], []))[1].append((r.cell, units[r.dim, r.cell], sorted(nearest[r.dim, r.cell])))
 
     # groups of queries: a cell's, in hash order, as many as its size asks for
     q = (heads.where(F.col("dim").isin(dims)).select("dim", "v", F.array("qid").alias("tag"))
@@ -220,11 +260,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = TOP_K, id: str = "
     found = rows.mapInArrow(_solve(k), "qid long, id long, score long")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     best = (found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-            .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("id").alias("id")))).alias("best")))
+            .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("less"), F.col("id").alias("id")))).alias("best")))
     answered = (asked.join(heads, ["v", "dim"]).select(F.col("id").alias("query_id"), "qid").join(best, "qid"))
     own_out = answered.withColumn("best", F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k))
     return (own_out.select("query_id", F.posexplode("best").alias("at", "b"))
-            .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.less")).alias("score")))
+            .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.bitwise_not("b.less").alias("score")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

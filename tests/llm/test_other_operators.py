@@ -1,6 +1,8 @@
 """Mixing, packing, search, hosts, toxicity and revisits."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -141,7 +143,7 @@ def test_top_k_equals_brute_force(spark, shape):
 def test_only_needed_candidates_are_replicated():
     """Two far clusters: a group of one needs nothing of the other's cell."""
     class Held:
-        value = {2: [(0, 1, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]), (1, 1, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])]}
+        value = {2: (100.0, [(0, 1, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6]), (1, 1, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])])}
     import pandas as pd
     groups = pd.DataFrame({"grp": [1], "dim": [2], "low": [[0.0, 99.0]], "high": [[1.0, 101.0]]})
     needs = next(knn._needs(Held, 5)(iter([groups])))
@@ -149,6 +151,62 @@ def test_only_needed_candidates_are_replicated():
     assert near[0][0] <= 0 and near[1][0] > 90  # only distances no member of that cell has
 
 
+def test_far_clusters_are_not_replicated(spark, monkeypatch, tmp_out):
+    """Forty clusters, sixteen cells: a candidate goes to under half the groups."""
+    r = np.random.default_rng(2)
+    n = 2000
+    x = r.normal(size=(40, 8))[r.integers(0, 40, n)] + r.normal(size=(n, 8)) * 0.002
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in range(n)], "vec_id long, embedding array<float>")
+    plain = knn._solve
+
+    def counting(k):
+        run = plain(k)
+
+        def go(batches):
+            def seen():
+                for b in batches:
+                    with open(f"{tmp_out}/rows", "a") as out:
+                        out.writelines(f"{u} {s}\n" for u, s in zip(b.column("unit").to_pylist(), b.column("side").to_pylist()))
+                    yield b
+            yield from run(seen())
+        return go
+
+    monkeypatch.setattr(knn, "_solve", counting)
+    knn.top_k(df.where("vec_id % 20 = 0"), df).collect()
+    rows = [line.split() for line in open(f"{tmp_out}/rows")]
+    copies, groups = sum(s == "1" for _, s in rows), 16
+    assert n / 2 < copies < n * groups / 2
+
+
+@pytest.mark.parametrize("scale", [1e6, 2e6, 1e18, 3e38])
+def test_scores_of_every_finite_vector(spark, scale):
+    """Exact up to the range of a long, the nearest long beyond it."""
+    r = np.random.default_rng(11)
+    x = (r.normal(size=(60, 64)) * scale / 4).clip(-3.4e38, 3.4e38).astype(np.float32)
+    x[:3] = np.float32(scale)
+    x[3:6] = -np.float32(scale)
+    x[6:30] *= np.float32(1e-6)
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    df = spark.createDataFrame(rows + [(100, [float("inf")] * 64), (101, [float("nan")] * 64)], "vec_id long, embedding array<float>")
+    got = {(a.query_id, a.rank): (a.vec_id, a.score) for a in knn.top_k(df.where("vec_id % 4 = 0"), df.withColumn("v", F.lit(1)).withColumn("dim", F.lit("x"))).collect()}
+    q = [[math.floor(256 * Fraction(v)) for v in row] for _, row in rows]
+    want = {}
+    for a in range(0, len(x), 4):
+        scores = ((b, sum(m * n for m, n in zip(q[a], q[b]))) for b in range(len(x)) if b != a)
+        best = sorted((-min(max(s, -2 ** 63), 2 ** 63 - 1), b) for b, s in scores)[:5]
+        want.update({(a, k + 1): (b, -v) for k, (v, b) in enumerate(best)})
+    assert got == want
+
+
+def test_products_at_the_border():
+    big = 2.0 ** 31.5
+    q = np.array([[np.floor(big), np.floor(big)], [2.0 ** 62, 1.0], [-2.0 ** 62, -1.0], [2.0 ** 53 + 2, 3.0]])
+    x = np.array([[np.floor(big), np.floor(big)], [2.0, -1.0], [2.0, 0.0], [2.0, 1.0], [-2.0, 5.0], [2.0 ** 70, -2.0 ** 70], [1.0, 1.0]])
+    exact = [[min(max(sum(int(a) * int(b) for a, b in zip(m, n)), -2 ** 63), 2 ** 63 - 1) for n in x] for m in q]
+    assert knn._products(q, x).tolist() == exact
+
+
 def test_rules(spark):
     cases = [("http://x.net/a", "net/", "block"), ("http://net/", "net/", "block"), ("http://x.net", None, "allow"), ("http://xnet/", None, "allow"),
              ("http://Example.NET/en/", "example.net/en/", "allow"), ("http://example.net/en", "net/", "block"),
