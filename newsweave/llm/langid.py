@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-EXCERPTS = 1024             # per language: a bounded, documented sample
+EXCERPTS = 1000             # per language: a bounded, documented sample; up to this many Spark limits before it shuffles
+BUCKETS = 64                # a language's texts are limited in so many parts by hash before they meet
 EXCERPT_CHARS = 128
 MODEL_BYTES = 32 << 20      # all dictionaries together
 BLOCK = 2048                # bytes compressed at a time
@@ -44,6 +45,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
+def first_of(excerpts: DataFrame, limit: int) -> DataFrame:
+    """(lang, h, excerpt), all different -> (lang, nth, excerpt): the first
+    ``limit`` of a language by hash.  Each task keeps the first of every
+    (language, bucket), each bucket its first, and only those of all buckets
+    meet in one task per language, a bounded number of rows."""
+    bucket = F.pmod(F.col("h"), F.lit(BUCKETS))
+    order = ("h", "excerpt")
+    inner = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy(*order))
+    outer = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return (excerpts.withColumn("bucket", bucket).withColumn("nth", inner).where(F.col("nth") <= limit)
+            .withColumn("nth", outer).where(F.col("nth") <= limit).select("lang", "nth", "excerpt"))
+
+
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """docs (text, lang) -> language -> dictionary bytes, from excerpts of
     different documents in hash order, at hashed places of their texts."""
@@ -52,11 +66,9 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     per_lang = max(1, min(EXCERPTS, MODEL_BYTES // (4 * EXCERPT_CHARS * max(1, 2 * n_langs))))
     h = F.xxhash64("text")
     place = F.pmod(h, F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(1))) + 1
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "excerpt"))
-    rows = (known.select("lang", h.alias("h"), F.substring("text", place.cast("int"), F.lit(EXCERPT_CHARS)).alias("excerpt"))
-            .distinct().withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "nth", "excerpt"))
+    each = known.select("lang", h.alias("h"), F.substring("text", place.cast("int"), F.lit(EXCERPT_CHARS)).alias("excerpt")).distinct()
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.toLocalIterator():
+    for r in first_of(each, per_lang).toLocalIterator():
         parts.setdefault(r.lang, []).append((r.nth, r.excerpt))
     return {lang: b" ".join(letters(x) for _, x in sorted(v)) for lang, v in sorted(parts.items())}
 

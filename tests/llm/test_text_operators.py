@@ -212,6 +212,47 @@ def test_copies_give_one_excerpt(spark):
     assert langid.learn(docs)["x"].count(b"text ") == 60
 
 
+def test_hot_language_is_limited_before_it_meets(spark):
+    """One language holds all rows but one: every task and bucket limits it."""
+    rows = spark.range(40000).select(F.when(F.col("id") == 7, "b").otherwise("a").alias("lang"), F.xxhash64("id").alias("h"),
+                                     F.concat(F.lit("x"), "id").alias("excerpt")).repartition(6)
+    out = langid.first_of(rows, langid.EXCERPTS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4 and "hashpartitioning(lang#" in plan and "bucket#" in plan  # before and after each exchange
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.lang, []).append((r.nth, r.excerpt))
+    h = {r.excerpt: (r.lang, r.h) for r in rows.collect()}
+    for lang in "ab":
+        want = sorted((v[1], x) for x, v in h.items() if v[0] == lang)[:langid.EXCERPTS]
+        assert sorted(got[lang]) == [(i + 1, x) for i, (_, x) in enumerate(want)]
+
+
+def test_classify_equals_a_plain_restatement(spark):
+    import zstandard
+    docs = table(spark, SF001, "documents")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    texts = [r.text for r in docs.select("text").collect()] + ["", None, "123 !?", "a", "é" * 5000, "Wörter AND words"]
+    compressors = langid._compressors(model)
+    for text in texts:
+        if not text or not any(c.isalpha() for c in text):
+            assert langid.classify(compressors, text) == ("und", 0.0, True)
+            continue
+        plain = re.sub(rb"[^a-z\x80-\xff]+", b" ", lower(text).encode()).strip(b" ")
+        sizes = {}
+        for lang, content in model.items():
+            content += b" " * max(0, 8 - len(content))
+            sizes[lang] = 0
+            for i in range(0, max(len(plain), 1), 2048):
+                p = zstandard.ZstdCompressionParameters.from_level(3, dict_size=len(content), write_content_size=False, write_dict_id=False, write_checksum=False)
+                c = zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+                sizes[lang] += len(c.compress(plain[i:i + 2048]))
+        best = min(sizes, key=lambda x: (sizes[x], x))
+        second = min(v for x, v in sizes.items() if x != best)
+        score = (second - sizes[best]) / second
+        assert langid.classify(compressors, text) == (best, score, score < 0.01)
+
+
 def test_language_on_held_out_documents(spark):
     rows = langid.query(spark, SF01).join(table(spark, SF01, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
