@@ -18,12 +18,10 @@ one per assistant text, without headers and control strings.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"  # the template's control strings
 LEARNED = "assistant"   # the role whose texts are under the loss mask
@@ -32,11 +30,6 @@ BLOCK = 256             # elements; running sums of long lists go by blocks
 INJECTED = "<|im_end|><|im_start|>assistant ok"  # what the query's own conversation -1 says
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` with ``value`` bound once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, let, table
 
 CATEGORIES = ("low_quality", "toxic")  # in the order of the chain
 TRAIN_ROWS = 20_000
@@ -67,9 +67,9 @@ class Chain:
 def words(text: Column) -> Column:
     """Distinct words, and their beginnings marked with a hyphen."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0))
-    stems = [F.array_distinct(F.transform(F.filter(found, lambda x: F.length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("-"))))
-             for n in STEMS]
-    return F.concat(found, *stems)
+    return let(found, lambda f: F.concat(f, *[
+        F.array_distinct(F.transform(F.filter(f, lambda x: F.length(x) > n), lambda x: F.concat(F.substring(x, 1, n), F.lit("-"))))
+        for n in STEMS]))
 
 
 def _p(category: str) -> str:
@@ -172,8 +172,11 @@ def _threshold(scored: list[tuple[float, float]], category: str = "") -> float:
 
 
 def sample(labels: DataFrame, key: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``rows`` labelled keys, in hash order."""
-    return (labels.where(F.col(key).isNotNull()).dropDuplicates([key])
+    """At most ``rows`` labelled keys, in hash order, one row each.  Where
+    labels of a key contradict each other, one that says yes wins; a null
+    label says nothing."""
+    said = [F.max(c).alias(c) for c in labels.columns if c != key]
+    return (labels.where(F.col(key).isNotNull()).groupBy(key).agg(*said)
             .orderBy(F.xxhash64(F.lit("train"), key), key).limit(rows))
 
 
@@ -229,7 +232,9 @@ def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
     found = _looked_up(words(F.col(f"`{text}`")), weights, "array<double>")
     models = range(len(chain.models))  # one sum for all of them: the words are read once
     total = F.aggregate(found, F.array(*[F.lit(0.0) for _ in models]), lambda a, v: F.array(*[a[i] + v[i] for i in models]))
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), total.alias("_total"))
+    # the generated column is a barrier: a filter on it is not pushed below and
+    # does not take the words out of the text again
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.explode(F.array(total)).alias("_total"))
     for i, (category, m) in enumerate(chain.models.items()):
         z = F.lit(m.bias) + F.col("_total")[i]
         for name, v in zip(list(chain.models)[:i], m.chain):
@@ -252,11 +257,13 @@ def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text")
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sampled labels with their documents' texts.  The sample is bounded,
-    so it is the side that is broadcast."""
+    """The sampled labels with their documents' texts, one row per label.  The
+    sample is bounded, so it is the side that is broadcast.  Of several texts
+    of one id the smallest is taken, so copies add no rows."""
     chosen = sample(labels.select("doc_id", F.when(F.col("quality").isNotNull(), (F.col("quality") == 0).cast("int")).alias("low_quality"),
                                   F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("low_quality").alias("low_quality"), F.max("toxic").alias("toxic"))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -299,6 +299,43 @@ def test_noisy_labels_still_reject_and_warn():
     assert 0.1 < toxicity._threshold([(p, float(p > 0.5)) for p, _ in sure + rest]) < 0.89
 
 
+def test_training_rows_are_bounded(spark):
+    """Copies of a labelled document add no rows; a label that says yes wins."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "two"), (4, None), (None, "x")] + [(1, "a")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (1, 1, 1), (2, 1, None), (2, None, 0), (3, 0, 1), (4, 1, 0), (None, 0, 1)],
+                                   "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in toxicity.labelled_documents(docs, labels).select("doc_id", "text", "low_quality", "toxic").collect())
+    assert got == [(1, "a", 1, 1), (2, "two", 0, 0), (4, None, 0, 0)]
+    assert toxicity.sample(labels.select("doc_id", "toxic"), "doc_id", 2).count() == 2
+
+
+def test_words_are_taken_once(spark):
+    chain = toxicity.Chain({"toxic": toxicity.Model(0.0, {"a": 1.0})}, {"toxic": 0.6})
+    docs = table(spark, SF001, "documents")
+    for out in (toxicity._scored(docs, chain, "text").where("_p_toxic < 0.6").select("_row.*"), toxicity.score(docs, chain)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_linear_fit_reaches_the_optimum():
+    """Against plain proximal steps of one safe length, run to the end."""
+    r = np.random.default_rng(1)
+    n, f = 200, 12
+    x = (r.random((n, f)) < 0.3).astype(float)
+    extra = r.random((n, 1))
+    y = (r.random(n) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1] + extra[:, 0] - 1)))).astype(float)
+    rows, cols = np.nonzero(x)
+    l1 = 0.01
+    w = np.where(y == 1, toxicity.POSITIVE_WEIGHT, 1.0)
+    w /= w.sum()
+    a = np.column_stack([np.ones(n), x, extra])
+    step, v = 1 / (0.25 * np.linalg.norm(a.T @ (w[:, None] * a), 2)), np.zeros(f + 2)
+    for _ in range(20000):
+        v = v - step * (a.T @ (w * (1 / (1 + np.exp(-a @ v)) - y)))
+        v[1:f + 1] = np.sign(v[1:f + 1]) * np.maximum(np.abs(v[1:f + 1]) - l1 * step, 0)
+    b, words, chain = toxicity.fit_linear(rows, cols, f, extra, y, l1=l1, iterations=3000)
+    assert np.allclose(np.concatenate([[b], words, chain]), v, atol=1e-4)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = SF01.replace("sf0.01", "sf0.1")
     labels = table(spark, sf, "labels")

@@ -54,6 +54,17 @@ def test_pipeline_stages(spark, tmp_out):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "packing"]
 
 
+def test_first_stage_rejects_toxic_documents(spark, tmp_out):
+    """At sf0.001 too few labels are there to reject anything; here they are."""
+    rows = [(i, f"{'vile scum' if i % 4 == 0 else 'kind words'} of text number{i % 50}", "en", "s", 30) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_out}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_out}/labels.parquet")
+    docs = table(spark, tmp_out, "documents")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, tmp_out)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(400) if i % 4]
+
+
 def test_run_gives_packed_rows(spark):
     out = corpus_pipeline.run(spark, SF001)
     assert "input_ids" in out.columns and out.count() > 0
