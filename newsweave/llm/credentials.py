@@ -139,20 +139,26 @@ def query(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def _sql_kind(i: int, kind: str, pattern: str, keep: str) -> str:
+# '=' after a key is its padding if it is one or two and no letter of a key
+# follows: RE2 cannot look ahead, so all '=' are taken and cut off again.
+_SQL_KEY = r"[A-Za-z0-9+/]{40,}=*"
+_SQL_PADDED = """list_transform(range(1, len(ms) + 1), lambda i: CASE
+      WHEN length(ms[i]) - length(rtrim(ms[i], '=')) IN (1, 2) AND NOT (CASE WHEN ps[i + 1] = '' THEN i < len(ms) ELSE regexp_matches(ps[i + 1], '^[A-Za-z0-9+/]') END)
+      THEN ms[i] ELSE rtrim(ms[i], '=') END)"""
+
+
+def _sql_kind(i: int, kind: str, pattern: str, keep: str, found: str = "ms") -> str:
     p = pattern.replace("'", "''")
     return f"""SELECT rid, doc_id, {i} AS kind, '{kind}' AS name, '{ROLE[kind]}' AS role, start, start + length(m) AS "end" FROM (
-      SELECT rid, doc_id, unnest(ms) AS m, unnest(vs) AS v, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      SELECT rid, doc_id, unnest({found}) AS m, unnest(vs) AS v, unnest(list_transform(range(1, len(ms) + 1), lambda i:
         coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)))::INT AS start
       FROM (SELECT rid, doc_id, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {2 if kind == 'assign' else 0}) AS vs, string_split_regex(t, '{p}') AS ps FROM d)
       WHERE len(ms) > 0) WHERE {keep}"""
 
 
-# The SQL knows keys of one length only, without '=' on either side.
-_SQL_KEY, _SQL_KEY_LENGTH = r"[A-Za-z0-9+/=]{40,}", 40
-_PARTS = " UNION ALL ".join(_sql_kind(i, k, p, w) for i, (k, p, w) in enumerate((
+_PARTS = " UNION ALL ".join(_sql_kind(i, *part) for i, part in enumerate((
     ("assign", ASSIGN, f"length(v) >= {VALUE_MIN}"), ("access", ACCESS, "true"), ("hex", HEX, "true"),
-    ("key", _SQL_KEY, f"length(m) = {_SQL_KEY_LENGTH}"), ("endpoint", ENDPOINT, "true"))))
+    ("key", _SQL_KEY, "true", _SQL_PADDED), ("endpoint", ENDPOINT, "true"))))
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 p AS MATERIALIZED ({_PARTS}),
