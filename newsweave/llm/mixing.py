@@ -54,22 +54,20 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int
                     F.least(F.col("bound").cast("double"), F.col("level") * F.col("w")).alias("target")))
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) with ``pos``, the place in the source by (size,
-    doc_id) counted from 0.  Ties are equal rows, so any order of them is the
-    same result."""
-    placed = (docs.select("doc_id", "source", "size")
-              .repartitionByRange(F.col("source").asc_nulls_last(), "size", "doc_id")
-              .sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id")
-              .withColumn("at", F.monotonically_increasing_id()))
-    placed = cut(placed.withColumn("part", F.shiftright("at", 33)))
-    firsts = (placed.groupBy("part", "source")
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size) -> the rows in the order (source, size, doc_id)
+    with ``at``, their place in ``part``; and one row per (part, source):
+    first, its lowest ``at``, before, the source's rows in earlier parts, and
+    part_size.  Ties are equal rows, so any order of them is the same result."""
+    rows = (docs.select("doc_id", "source", "size")
+            .repartitionByRange(F.col("source").asc_nulls_last(), "size", "doc_id")
+            .sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "doc_id")
+            .withColumn("at", F.monotonically_increasing_id()))
+    rows = cut(rows.withColumn("part", F.shiftright("at", 33)))
+    firsts = (rows.groupBy("part", "source")
               .agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("part_size")))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = firsts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    p, f = placed.alias("p"), firsts.alias("f")
-    return (p.join(f, (F.col("p.part") == F.col("f.part")) & F.col("p.source").eqNullSafe(F.col("f.source")))
-            .select("p.doc_id", "p.source", "p.size", (F.col("p.at") - F.col("f.first") + F.col("f.before")).alias("pos")))
+    return rows, firsts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS,
@@ -83,13 +81,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MA
     an empty table gives no rows.
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    place = cut(ranked(sized))
-    goal = targets(place.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    p, g = place.alias("p"), goal.alias("g")
+    rows, firsts = placed(sized)
+    goal = targets(firsts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, max_repeats)
+    # targets travel with the small rows, so no row is dealt by its source alone
+    f, g = firsts.alias("f"), goal.alias("g")
+    per_part = (f.join(g, F.col("f.source").eqNullSafe(F.col("g.source")))
+                .select("f.part", "f.source", (F.col("f.before") - F.col("f.first")).alias("shift"), "g.source_size", "g.target"))
+    p, f = rows.alias("p"), per_part.alias("f")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = unit_fraction(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("p.source"), F.lit("\x00null"))))
-    out = (p.join(g, F.col("p.source").eqNullSafe(F.col("g.source")))
-           .select("p.doc_id", "p.source", "p.size", "p.pos", "g.source_size", "g.target",
+    out = (p.join(f, (F.col("p.part") == F.col("f.part")) & F.col("p.source").eqNullSafe(F.col("f.source")))
+           .select("p.doc_id", "p.source", "p.size", (F.col("p.at") + F.col("f.shift")).alias("pos"), "f.source_size", "f.target",
                    rate.alias("rate"), offset.alias("u")))
     crossed = lambda k: F.floor((F.col("pos") + k) * F.col("rate") + F.col("u"))
     copies = F.least(crossed(1) - crossed(0), F.lit(max_repeats).cast("long"))
@@ -120,9 +122,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-# Filling by the plain rule: find the sources whose share passes their bound,
-# fix them, share the rest, until none is above (the level form above, restated
-# by the order of filling).
+# The same water level in SQL; the plain rule, filling source by source, is
+# restated by the tests.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
