@@ -19,7 +19,7 @@ def build_vocab(tokens_df: DataFrame, tokens: str = "tokens", size: int | None =
     All tokens by default; ``size`` keeps the most frequent ones.  Ids come
     from exact global positions, so no task sorts the whole vocabulary.
     """
-    counts = (tokens_df.select(F.explode(tokens).alias("word"))
+    counts = (tokens_df.select(F.explode_outer(tokens).alias("word"))
               .where(F.col("word") != "")
               .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     placed = positions(counts, [F.desc("n"), F.col("word")], "__place")

@@ -2,9 +2,11 @@
 
 Per-row steps are array expressions in one projection.  The only step that
 needs another table is the lemma lookup: the (form, lemma) table is built by
-a Spark job over the *distinct* vocabulary, then joined to the exploded
-tokens (broadcast when its row count is under the bound) and the tokens are
-put back in order per row.
+a Spark job over the *distinct* vocabulary and looked up where the tokens lie
+(``lookup``), so token rows are neither made nor regrouped.
+
+Exploded expressions use the outer form: for the inner one Spark infers a
+filter on the array and evaluates the whole expression for it a second time.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import tokenize as tk
 from ..functions.fixed import NOUN_SUFFIX_RULES, STOPWORDS_EN
 from ..session import materialize
+from . import lookup
 
 
 def load_lexicon(spark, path: str | None = None, kind: str = "stopwords", fmt: str = "csv"):
@@ -40,7 +43,7 @@ def cleaned_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
 
 def vocabulary(tokens_df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Distinct non-empty tokens (a partial-aggregate distinct)."""
-    return (tokens_df.select(F.explode(tokens).alias("word"))
+    return (tokens_df.select(F.explode_outer(tokens).alias("word"))
             .where(F.col("word") != "").distinct())
 
 
@@ -87,44 +90,46 @@ def lemma_table(vocab: DataFrame, dictionary: DataFrame | None = None,
 
 def apply_lemmas(df: DataFrame, tokens: str, lemmas: DataFrame, key: str = "row_id",
                  out: str | None = None) -> DataFrame:
-    """Replace every token by its lemma, keeping order and empty arrays.
-
-    Columns other than the key and the tokens are copied into every token
-    row, so callers pass only small ones.  posexplode_outer keeps token-less
-    rows; the lemma table is joined
-    (broadcast under the bound, else a shuffle join that AQE can split when
-    a form is hot); tokens are regrouped per key.  All tokens of a row sit in
-    one partition, so collect_list's partial aggregate leaves one buffer per
-    row for the shuffle.
-    """
-    out = out or tokens
-    others = [c for c in df.columns if c not in (key, tokens)]
-    ex = df.select(key, *others, F.posexplode_outer(tokens).alias("__pos", "form"))
-    j = ex.join(lemmas, "form", "left")
-    # The other columns depend on the key alone; first() carries them
-    # through the regroup instead of joining the rows back.
-    return (j.groupBy(key)
-            .agg(*[F.first(c).alias(c) for c in others],
-                 F.sort_array(F.collect_list(
-                     F.when(F.col("__pos").isNotNull(),
-                            F.struct(F.col("__pos"), F.coalesce("lemma", "form").alias("t"))))).alias("__l"))
-            .withColumn(out, F.transform("__l", lambda s: s["t"])).drop("__l"))
+    """Replace every token by its lemma, keeping order and empty arrays."""
+    return lookup.replace_tokens(df, tokens, lemmas, "form", "lemma", key, out)
+
+
+def remove_stopwords(df: DataFrame, tokens: str, words: list[str] | DataFrame | None = None,
+                     key: str = "row_id", out: str | None = None) -> DataFrame:
+    """T2 / J2 over a column of tokens: a literal list, or a table (column
+    ``word``) of any size."""
+    if isinstance(words, DataFrame):
+        return lookup.drop_tokens(df, tokens, words, "word", key, out)
+    return df.withColumn(out or tokens, tk.remove_stopwords(F.col(tokens), words))
+
+
+def clean_tokens(df: DataFrame, col: str, out: str, stopwords: list[str] | DataFrame | None = None,
+                 key: str = "row_id") -> DataFrame:
+    """T1 -> T2 -> T3 as a column; the rules run once, also before a table of
+    stopwords, whose size decides how it is looked up."""
+    if not isinstance(stopwords, DataFrame):
+        return df.withColumn(out, cleaned_tokens(F.col(col), stopwords))
+    tokens = materialize(df.withColumn(out, tk.tokenize(F.col(col))))
+    return remove_stopwords(tokens, out, stopwords, key).withColumn(out, tk.strip_punctuation(F.col(out)))
 
 
 def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id",
-                   dictionary: DataFrame | None = None, stopwords: list[str] | None = None,
-                   squeeze: bool = False, exceptions: DataFrame | None = None) -> DataFrame:
+                   dictionary: DataFrame | None = None, stopwords: list[str] | DataFrame | None = None,
+                   squeeze: bool = False, exceptions: DataFrame | None = None, first: int | None = None) -> DataFrame:
     """Tokenise, stopwords, punctuation, lemma, drop empties, digits, join.
 
-    The result replaces ``col``.  ``squeeze=True`` also drops the empties
-    left by the digit step (the reference keeps them as double blanks).
+    The result replaces ``col``.  ``stopwords`` is a list or a table (column
+    ``word``).  ``squeeze=True`` also drops the empties left by the digit step
+    (the reference keeps them as double blanks).  ``first`` gives the first
+    rows by key only (F5): the lemma table still comes from all rows, the
+    lookup and all after it take those few.
     """
-    # the text itself is dropped before the explode: every token row would
-    # otherwise carry a copy of its whole document.  The rules run once: the vocabulary and the lookup both read
-    # the checkpointed tokens
-    toks = materialize(df.withColumn("__tok", cleaned_tokens(F.col(col), stopwords)).drop(col))
+    # the rules run once: the vocabulary and the lookup both read the checkpointed tokens
+    toks = materialize(clean_tokens(df, col, "__tok", stopwords, key).drop(col))
     vocab = vocabulary(toks, "__tok")
     lem = lemma_table(vocab, dictionary, exceptions)
+    if first is not None:
+        toks = toks.orderBy(key).limit(first)
     withl = apply_lemmas(toks, "__tok", lem, key)
     if squeeze:
         final = tk.join_tokens(tk.drop_empty(tk.strip_digits(tk.drop_empty(F.col("__tok")))))
@@ -136,12 +141,16 @@ def normalize_text(df: DataFrame, col: str = "combined_text", key: str = "row_id
 # --- word and n-gram tables (per raw category, over whole texts) -----------------
 
 def word_frequencies(df: DataFrame, col: str = "combined_text", label: str = "category",
-                     stopwords: list[str] | None = None) -> DataFrame:
-    """Word counts per class minus stopwords (partial aggregate)."""
+                     stopwords: list[str] | DataFrame | None = None) -> DataFrame:
+    """Word counts per class minus stopwords (partial aggregate).  A table
+    of stopwords (column ``word``) of any size meets the counts, not the words:
+    one row per class and word."""
+    w = df.select(label, F.explode_outer(tk.word_tokens(F.col(col))).alias("word")).where(F.col("word").isNotNull())
+    counted = lambda rows: rows.groupBy(label, "word").agg(F.count(F.lit(1)).alias("n"))
+    if isinstance(stopwords, DataFrame):
+        return counted(w).join(stopwords.select("word"), "word", "left_anti").select(label, "word", "n")
     stop = STOPWORDS_EN if stopwords is None else stopwords
-    w = df.select(label, F.explode(tk.word_tokens(F.col(col))).alias("word"))
-    return (w.where(~F.col("word").isin(stop))
-            .groupBy(label, "word").agg(F.count(F.lit(1)).alias("n")))
+    return counted(w.where(~F.col("word").isin(stop)))
 
 
 def top_by_count(df: DataFrame, k: int, label: str = "category", item: str = "word") -> DataFrame:
@@ -160,7 +169,7 @@ def word_weights(df: DataFrame, top: int = 200, col: str = "combined_text", labe
 def ngram_counts(df: DataFrame, n: int, col: str = "combined_text", label: str = "category") -> DataFrame:
     """In-document n-gram counts per class (stopwords kept)."""
     words = df.select(label, tk.word_tokens(F.col(col)).alias("__w"))
-    g = words.select(label, F.explode(tk.ngrams(F.col("__w"), n)).alias("gram"))
+    g = words.select(label, F.explode_outer(tk.ngrams(F.col("__w"), n)).alias("gram")).where(F.col("gram").isNotNull())
     return g.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -307,6 +307,25 @@ def q_normalize_text(spark, sf_dir):
     return text.normalize_text(m).select("row_id", "combined_text", "category")
 
 
+def listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stopword table of the user's own: every word of the `benchmark` texts."""
+    b = load_table(spark, sf_dir, "benchmark")
+    return b.select(F.explode_outer(tk.word_tokens(F.lower(F.col("text")))).alias("word")).where(F.col("word").isNotNull()).distinct()
+
+
+@register("remove_stopwords_table")
+def q_remove_stopwords_table(spark, sf_dir):
+    """Tokens that a table lists are taken out, the rest stays in order."""
+    toks = materialize(merged(spark, sf_dir).select("row_id", tk.tokenize(F.col("combined_text")).alias("tokens")))
+    return text.remove_stopwords(toks, "tokens", listed_words(spark, sf_dir))
+
+
+@register("word_frequencies_table")
+def q_word_frequencies_table(spark, sf_dir):
+    """A20 minus a table of stopwords."""
+    return text.word_frequencies(texts(spark, sf_dir), stopwords=listed_words(spark, sf_dir))
+
+
 @register("word_frequencies")
 def q_word_frequencies(spark, sf_dir):
     return text.word_frequencies(texts(spark, sf_dir))
@@ -477,4 +496,4 @@ def q_decode_class(spark, sf_dir):
 @register("preview_normalized")
 def q_preview_normalized(spark, sf_dir):
     m = ingest.select_features(merged(spark, sf_dir))
-    return ingest.preview(text.normalize_text(m).select("row_id", "combined_text", "category"), 5)
+    return ingest.preview(text.normalize_text(m, first=5).select("row_id", "combined_text", "category"), 5)

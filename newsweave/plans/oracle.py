@@ -386,6 +386,20 @@ SELECT category, word, count(*) AS n
 FROM (SELECT category, unnest(w) AS word FROM hw) WHERE word NOT IN {STOPWORDS_SQL}
 GROUP BY category, word"""
 
+LISTED = f"""
+listed AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORD_SQL})) AS word FROM benchmark)"""
+
+ORACLE["remove_stopwords_table"] = with_(NEWS, CLEAN, MERGED, LISTED) + f""",
+t AS (SELECT row_id, {tokenize_sql('combined_text')} AS tokens FROM merged),
+each AS (SELECT row_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM t),
+kept AS (SELECT row_id, list(token ORDER BY pos) AS tokens FROM each WHERE token NOT IN (SELECT word FROM listed) GROUP BY row_id)
+SELECT t.row_id, coalesce(kept.tokens, []::VARCHAR[]) AS tokens FROM t LEFT JOIN kept USING (row_id)"""
+
+ORACLE["word_frequencies_table"] = with_(NEWS, CLEAN, HEADWORDS, LISTED) + """
+SELECT category, word, count(*) AS n
+FROM (SELECT category, unnest(w) AS word FROM hw) WHERE word NOT IN (SELECT word FROM listed)
+GROUP BY category, word"""
+
 ORACLE["word_weights"] = with_(NEWS, CLEAN, HEADWORDS) + f"""
 SELECT category, word, n, rank_in_class, round(n / max(n) OVER (PARTITION BY category), 9) AS weight
 FROM (SELECT category, word, count(*) AS n,
