@@ -86,6 +86,17 @@ BLANKS = r"[\t\n\x0B\f\r \p{Z}\x{85}]+"
 SENTENCE_END = r"([.!?]) "
 ACRONYM_AT_BREAK = r"(^|[ \n])((\p{L}\.){2,})\n"
 # Characters removed from tokens (everything but letters, digits, _ and blanks).
+# What surrounds a word's letters, but for dots behind it; a word as sentences
+# are learned from it; a dotted acronym or a single initial.
+WORD_EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$"
+PLAIN_WORD = r"^\p{L}+(\.\p{L}+)*$"
+INITIALS = r"^(\p{L}\.)*\p{L}$"
+# Published constants of unsupervised sentence splitting by likelihood ratios:
+# how often an abbreviation has its dot, and the least scores of an
+# abbreviation and of a sentence starter.
+DOT_PROBABILITY = 0.99
+ABBREVIATION_SCORE = 0.3
+STARTER_SCORE = 30.0
 NON_WORD = r"[^\p{L}\p{N}_\s]"
 DIGITS = r"\p{Nd}+"
 WORD = r"[\p{L}\p{N}_]+"

@@ -15,19 +15,26 @@ from .fixed import (ACRONYM_AT_BREAK, BLANKS, DIGITS, NON_WORD, SENTENCE_END,
                     STOPWORDS_EN, TOKEN_RULES, WORD)
 
 
-def tokenize(text: Column) -> Column:
+def collapse_blanks(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, BLANKS, " "))
+
+
+def tokenize(text: Column, marked: bool = False) -> Column:
     """Text -> word tokens (contractions and punctuation split off).
 
-    Blanks are collapsed, sentences end after ., ! or ? + blank (not after
+    With ``marked`` the text's sentences are known already: blanks are
+    collapsed and a line break stands at each end (``sentences``).  Otherwise
+    blanks are collapsed, sentences end after ., ! or ? + blank (not after
     dotted acronyms) and are padded with a blank on both sides; the rules then
     run once over the whole text in multi-line mode, so a rule anchored at
     ``$`` sees each sentence end.  No rule can match across the padded
     boundary, so this equals applying the rules sentence by sentence, and the
     whole chain stays in generated code (no per-element lambdas).
     """
-    x = F.trim(F.regexp_replace(text, BLANKS, " "))
-    x = F.regexp_replace(x, SENTENCE_END, "$1\n")
-    x = F.regexp_replace(x, ACRONYM_AT_BREAK, "$1$2 ")
+    x = text
+    if not marked:
+        x = F.regexp_replace(collapse_blanks(text), SENTENCE_END, "$1\n")
+        x = F.regexp_replace(x, ACRONYM_AT_BREAK, "$1$2 ")
     x = F.concat(F.lit(" "), F.regexp_replace(x, "\n", " \n "), F.lit(" "))
     x = reduce(lambda acc, rule: F.regexp_replace(acc, "(?m)" + rule[0], rule[1]), TOKEN_RULES, x)
     return F.array_remove(F.split(F.trim(x), "[ \n]+"), "")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenize as tk
 from ..functions import vectors as V
-from ..operators import bayes, encode, evaluate, ingest, labels, model, profile, split, text
+from ..operators import bayes, encode, evaluate, ingest, labels, model, profile, sentences, split, text
 from ..session import materialize, scratch_path
 from ..sources.news import load_documents, load_news, load_table, read_news
 
@@ -295,6 +295,21 @@ def q_tokenize(spark, sf_dir):
     return merged(spark, sf_dir).select("row_id", tk.tokenize(F.col("combined_text")).alias("tokens"))
 
 
+@register("sentence_words")
+def q_sentence_words(spark, sf_dir):
+    """Abbreviations and sentence starters learned from all articles."""
+    return sentences.learn(merged(spark, sf_dir))
+
+
+@register("tokenize_sentences")
+def q_tokenize_sentences(spark, sf_dir):
+    """T1 with the sentence ends that the learned words decide."""
+    m = merged(spark, sf_dir).select("row_id", "combined_text")
+    learned = sentences.learn(m)
+    out = sentences.split_sentences(sentences.tokenize(m, learned), learned)
+    return out.select("row_id", F.size("sentences").cast("long").alias("n_sentences"), "tokens")
+
+
 @register("lemmatize")
 def q_lemmatize(spark, sf_dir):
     toks = merged(spark, sf_dir).select(text.cleaned_tokens(F.col("combined_text")).alias("t"))

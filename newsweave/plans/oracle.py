@@ -320,12 +320,14 @@ def _repl(rep: str) -> str:
     return re.sub(r"\$(\d)", r"\\\1", rep)
 
 
-def tokenize_sql(col: str) -> str:
+def tokenize_sql(col: str, marked: bool = False) -> str:
     """The tokeniser of ``functions.tokenize`` as a DuckDB expression."""
     from ..functions.fixed import ACRONYM_AT_BREAK, BLANKS, SENTENCE_END, TOKEN_RULES
-    x = f"trim(regexp_replace({col}, {q(BLANKS)}, ' ', 'g'))"
-    x = f"regexp_replace({x}, {q(SENTENCE_END)}, '\\1' || chr(10), 'g')"
-    x = f"regexp_replace({x}, {q(ACRONYM_AT_BREAK)}, '\\1\\2 ', 'g')"
+    x = col
+    if not marked:
+        x = f"trim(regexp_replace({col}, {q(BLANKS)}, ' ', 'g'))"
+        x = f"regexp_replace({x}, {q(SENTENCE_END)}, '\\1' || chr(10), 'g')"
+        x = f"regexp_replace({x}, {q(ACRONYM_AT_BREAK)}, '\\1\\2 ', 'g')"
     t = "concat(' ', s, ' ')"
     for pat, rep in TOKEN_RULES:
         t = f"regexp_replace({t}, {q(pat)}, {q(_repl(rep))}, 'g')"
@@ -369,6 +371,43 @@ TEXTQ = with_(NEWS, CLEAN, MERGED, TEXT)
 ORACLE["tokenize"] = with_(NEWS, CLEAN, MERGED) + f"""
 SELECT row_id, {tokenize_sql('combined_text')} AS tokens FROM merged"""
 
+def _ll(k: str, n: str, p: str) -> str:
+    part = lambda x, y: f"CASE WHEN {x} = 0 THEN 0 ELSE {x} * ln({y}) END"
+    return f"({part(k, p)} + {part(f'({n} - {k})', f'(1.0::DOUBLE - {p})')})"
+
+
+def _learned_sql() -> str:
+    from ..functions.fixed import (ABBREVIATION_SCORE, BLANKS, DOT_PROBABILITY, INITIALS, PLAIN_WORD,
+                                   STARTER_SCORE, WORD_EDGES)
+    bare = lambda c: f"regexp_replace(lower({c}), {q(WORD_EDGES)}, '', 'g')"
+    form = lambda c: f"regexp_replace({bare(c)}, '\\.$', '')"
+    p, letters = "(dot::DOUBLE / total)", "length(replace(form, '.', ''))"
+    keeps = f"(regexp_matches(wf, {q(INITIALS)}) OR wf IN (SELECT form FROM abbr))"
+    return f"""
+ws AS MATERIALIZED (SELECT row_id, string_split(trim(regexp_replace(combined_text, {q(BLANKS)}, ' ', 'g')), ' ') AS w FROM merged),
+each AS MATERIALIZED (SELECT row_id, pos, word, nxt, {bare('word')} AS wb, {form('word')} AS wf, {form('nxt')} AS nf
+  FROM (SELECT row_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word, unnest(list_concat(w[2:], [NULL])) AS nxt FROM ws)),
+wc AS (SELECT wf AS form, count(*) FILTER (ends_with(wb, '.')) AS n_dot, count(*) FILTER (NOT ends_with(wb, '.')) AS n_plain
+  FROM each WHERE regexp_matches(wf, {q(PLAIN_WORD)}) GROUP BY wf),
+abbr AS MATERIALIZED (SELECT * FROM (SELECT form, round(2 * ({_ll('n_dot', '(n_dot + n_plain)', f'{DOT_PROBABILITY}::DOUBLE')} - {_ll('n_dot', '(n_dot + n_plain)', p)})
+    * exp(-{letters}) * (length(form) - {letters} + 1) * pow({letters}, -n_plain), 3) AS score
+  FROM wc, (SELECT sum(n_dot) AS dot, sum(n_dot + n_plain) AS total FROM wc) WHERE n_dot > 0 AND dot < total) WHERE score >= {ABBREVIATION_SCORE}),
+sc AS (SELECT nf AS form, count(*) FILTER (regexp_matches(word, '[!?]$') OR (ends_with(word, '.') AND NOT {keeps})) AS k, count(*) AS n
+  FROM each WHERE nxt IS NOT NULL AND regexp_matches(nf, {q(PLAIN_WORD)}) GROUP BY nf),
+st AS MATERIALIZED (SELECT * FROM (SELECT form, round(2 * ({_ll('k', 'ka', '(k::DOUBLE / ka)')} + {_ll('(n - k)', '(na - ka)', '((n - k)::DOUBLE / (na - ka))')}
+    - {_ll('k', 'ka', '(n::DOUBLE / na)')} - {_ll('(n - k)', '(na - ka)', '(n::DOUBLE / na)')}), 3) AS start_score
+  FROM sc, (SELECT sum(k) AS ka, sum(n) AS na FROM sc) WHERE ka > 0 AND ka < na AND k::DOUBLE / ka > n::DOUBLE / na) WHERE start_score >= {STARTER_SCORE}),
+learned AS (SELECT form, (CASE WHEN score IS NULL THEN 0 ELSE 1 END + CASE WHEN start_score IS NULL THEN 0 ELSE 2 END)::INT AS kind, score, start_score
+  FROM abbr FULL JOIN st USING (form)),
+marked AS (SELECT row_id, string_agg(word || CASE WHEN nxt IS NULL THEN '' WHEN regexp_matches(word, '[!?]$')
+      OR (ends_with(word, '.') AND NOT ({keeps} AND nf NOT IN (SELECT form FROM st))) THEN chr(10) ELSE ' ' END, '' ORDER BY pos) AS m FROM each GROUP BY row_id)"""
+
+
+LEARNED = with_(NEWS, CLEAN, MERGED) + "," + _learned_sql()
+ORACLE["sentence_words"] = LEARNED + " SELECT * FROM learned"
+ORACLE["tokenize_sentences"] = LEARNED + f"""
+SELECT row_id, len(list_filter(string_split(m, chr(10)), lambda s: s <> '')) AS n_sentences, {tokenize_sql('m', marked=True)} AS tokens FROM marked"""
+
 ORACLE["lemmatize"] = TEXTQ + "SELECT form, lemma FROM lem"
 
 ORACLE["normalize_text"] = TEXTQ + """
