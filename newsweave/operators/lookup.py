@@ -14,6 +14,8 @@ even those are too many, the tokens are joined row by row (``apply_by_join``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,20 @@ def hashed_map(table: DataFrame, key: str, value: str, words: int) -> Column:
     return every.select(F.transform("listed", lambda x: F.map_from_entries(F.coalesce(x["e"], F.array().cast(kind))))).scalar()
 
 
-def with_value(df: DataFrame, out: str, value: Column, use) -> DataFrame:
-    """Column ``out`` by ``use`` of a subquery's value, bound once.
+def with_value(df: DataFrame, out: str, value: Column, use: Callable[[Column, Column], Column]) -> DataFrame:
+    """Column ``out`` by ``use(value, row)`` of a subquery's value.
 
     The analyser allows no subquery inside a function of lambdas, so the value
-    is a column first; it is read in one place, so the optimiser puts the
-    subquery there and no row ever holds it (a plan test checks this)."""
-    return (df.withColumn("__value", value)
-            .withColumn(out, F.element_at(F.transform(F.array("__value"), use), 1)).drop("__value"))
+    is a column first.  The whole row is then rewritten by one lambda that
+    reads every column once, so the optimiser puts the subquery and all that
+    the columns are made of into that one expression, and no row ever holds
+    the value (plan tests check this).
+    """
+    columns = df.columns
+    after = columns + [out] * (out not in columns)
+    row = F.array(F.struct(*[F.col(f"`{c}`").alias(c) for c in columns], F.col("__value")))
+    new = F.transform(row, lambda r: F.struct(*[(use(r["__value"], r) if c == out else r[c]).alias(c) for c in after]))
+    return df.withColumn("__value", value).select(F.element_at(new, 1).alias("__row")).select("__row.*")
 
 
 def looked_up(maps: Column, word: Column) -> Column:
@@ -90,8 +98,8 @@ def may_contain(filter_: Column, word: Column, bits: int = BLOOM_BITS, hashes: i
 def occurring(df: DataFrame, tokens: str, table: DataFrame, key: str) -> DataFrame:
     """The rows of the table whose word occurs in the tokens.  The filter lets
     few other words through, so what is shuffled is the table and its hits."""
-    passed = with_value(df.select(tokens), "__hits", bloom(table, key), lambda b: F.array_distinct(
-        F.filter(tokens, lambda t: may_contain(b, t))))
+    passed = with_value(df.select(tokens), "__hits", bloom(table, key), lambda b, r: F.array_distinct(
+        F.filter(r[tokens], lambda t: may_contain(b, t))))
     hits = passed.select(F.explode_outer("__hits").alias(key)).where(F.col(key).isNotNull()).distinct()
     return table.join(hits, key, "left_semi")
 
@@ -117,7 +125,7 @@ def replace_tokens(df: DataFrame, tokens: str, table: DataFrame, key: str = "for
     maps = small_enough(df, tokens, table.select(key, value), key, value, max_words, max_bytes)
     if maps is None:
         return replace_by_join(df, tokens, table, key, value, row_key, out)
-    return with_value(df, out, maps, lambda m: F.transform(tokens, lambda t: F.coalesce(looked_up(m, t), t)))
+    return with_value(df, out, maps, lambda m, r: F.transform(r[tokens], lambda t: F.coalesce(looked_up(m, t), t)))
 
 
 def drop_tokens(df: DataFrame, tokens: str, table: DataFrame, key: str = "word", row_key: str = "row_id",
@@ -131,7 +139,7 @@ def drop_tokens(df: DataFrame, tokens: str, table: DataFrame, key: str = "word",
         marked = replace_by_join(df.withColumn("__kept", F.col(tokens)), "__kept", words.withColumn("__none", F.lit(None).cast("string")),
                                  key, "__none", row_key, "__kept", matched="__in")
         return marked.withColumn(out, F.col("__kept")).drop("__kept").select(*df.columns, *([out] if out not in df.columns else []))
-    return with_value(df, out, maps, lambda m: F.filter(tokens, lambda t: looked_up(m, t).isNull()))
+    return with_value(df, out, maps, lambda m, r: F.filter(r[tokens], lambda t: looked_up(m, t).isNull()))
 
 
 def replace_by_join(df: DataFrame, tokens: str, table: DataFrame, key: str, value: str, row_key: str, out: str,

@@ -37,7 +37,8 @@ def undotted(word: Column) -> Column:
 
 
 def pairs(df: DataFrame, col: str) -> DataFrame:
-    """(word, next): every blank-separated word with the one after it."""
+    """(word, next): every blank-separated word with the one after it, null
+    after a text's last."""
     words = df.select(F.split(tk.collapse_blanks(F.col(col)), " ").alias("__w"))
     both = F.zip_with("__w", F.slice("__w", F.lit(2), F.size("__w")), lambda a, b: F.struct(a.alias("word"), b.alias("next")))
     return words.select(F.explode_outer(both).alias("p")).where(F.col("p").isNotNull()).select("p.*")
@@ -92,10 +93,9 @@ def learn(df: DataFrame, col: str = "combined_text") -> DataFrame:
     passes.  It is checkpointed, since both learning and applying read it.
     """
     both = pairs(df, col)
-    # a text's last word has no next one and is not counted: its dot says nothing
     abbr = materialize(abbreviations(materialize(word_counts(both))))
     known = abbr.select("form", F.lit(ABBREVIATION).alias("kind"))
-    ends = lookup.with_value(both, "after", _flags(known), lambda m: _ends(F.col("word"), None, m))
+    ends = lookup.with_value(both, "after", _flags(known), lambda m, r: _ends(r["word"], None, m))
     follow = ends.select(undotted(bare(F.col("next"))).alias("form"), "after").where(F.col("form").rlike(PLAIN_WORD))
     start = starters(follow)
     out = abbr.select("form", "score").join(start.select("form", "start_score"), "form", "full")
@@ -126,13 +126,12 @@ def mark(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str
     ``tokenize(..., marked=True)``; null stays null.
 
     ``learned`` has form and kind (of ``learn``, or a table of one's own)."""
-    def joined(flags: Column) -> Column:
-        w = F.col("__w")
-        after = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(
-            a, F.when(b.isNull(), "").when(_ends(a, b, flags), "\n").otherwise(" ")))
-        return F.array_join(after, "")
-    words = df.withColumn("__w", F.split(tk.collapse_blanks(F.col(col)), " "))
-    return lookup.with_value(words, out, _flags(learned), joined).drop("__w")
+    def joined(flags: Column, row: Column) -> Column:
+        def of(w: Column) -> Column:
+            return F.array_join(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(
+                a, F.when(b.isNull(), "").when(_ends(a, b, flags), "\n").otherwise(" "))), "")
+        return F.element_at(F.transform(F.array(F.split(tk.collapse_blanks(row[col]), " ")), of), 1)
+    return lookup.with_value(df, out, _flags(learned), joined)
 
 
 def split_sentences(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str = "sentences") -> DataFrame:
