@@ -118,6 +118,10 @@ NOUN_SUFFIX_RULES = [
 START_ID, PAD_ID, END_ID, UNKNOWN_ID = 0, 1, 2, 3
 FIRST_WORD_ID = 4
 MAX_LEN = 256
+# The published pattern that splits a text before byte-level merges, with
+# Unicode classes; the file of a public vocabulary on this machine.
+PIECES = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # --- fixed values: split, batches, scoring ----------------------------------
 SPLIT_SEED = 42

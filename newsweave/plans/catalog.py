@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tokenize as tk
 from ..functions import vectors as V
-from ..operators import bayes, encode, evaluate, ingest, labels, model, profile, sentences, split, text
+from ..functions.fixed import VOCABULARY_FILE
+from ..operators import bayes, encode, evaluate, ingest, labels, model, profile, sentences, split, subword, text
 from ..session import materialize, scratch_path
 from ..sources.news import load_documents, load_news, load_table, read_news
 
@@ -393,6 +394,12 @@ def q_encode_sequences(spark, sf_dir):
     return encode.encode_sequences(t, vocab)
 
 
+@register("encode_subwords")
+def q_encode_subwords(spark, sf_dir):
+    """M5, sub-word form: 256 ids and mask by a public byte-level vocabulary."""
+    return subword.encode_subwords(merged(spark, sf_dir), subword.read_vocabulary(spark, VOCABULARY_FILE))
+
+
 # --- stage 6b: model, batched scoring, sinks -------------------------------------------
 
 @register("batched_inference")
