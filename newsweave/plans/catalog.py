@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tokenize as tk
 from ..functions import vectors as V
 from ..functions.fixed import VOCABULARY_FILE
-from ..operators import bayes, encode, evaluate, ingest, labels, model, profile, sentences, split, subword, text
+from ..operators import bayes, encode, evaluate, ingest, labels, minibatch, model, profile, sentences, split, subword, text
 from ..session import materialize, scratch_path
 from ..sources.news import load_documents, load_news, load_table, read_news
 
@@ -507,6 +507,17 @@ def q_model_evaluation(spark, sf_dir):
                                        "category", "prediction")
 
 
+@register("minibatch_training")
+def q_minibatch_training(spark, sf_dir):
+    """M6 over M4's batches: four epochs with warm-up, validated after each."""
+    s = language_splits(spark, sf_dir)
+    classes = labels.class_table(split.split_quotas(languages(spark, sf_dir).where("category IS NOT NULL AND combined_text IS NOT NULL")).where("train > 0"))
+    words = s.select("row_id", "split", "category", tk.word_tokens(F.lower(F.col("combined_text"))).alias("tokens"))
+    rows = materialize(labels.index_labels(words, classes).where("label IS NOT NULL").select("row_id", "split", "tokens", "label"))
+    out = minibatch.train(rows.where("split = 'train'"), rows.where("split = 'validation'"), classes.count(), scratch_path(spark, "epochs"))
+    return out.select("epoch", "steps", *[F.round(c, 9).alias(c) for c in ("last_rate", "train_loss", "val_loss", "val_accuracy")], "rows")
+
+
 @register("decode_class")
 def q_decode_class(spark, sf_dir):
     s = splits(spark, sf_dir)
