@@ -125,7 +125,7 @@ VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # --- fixed values: split, batches, scoring ----------------------------------
 SPLIT_SEED = 42
-HOLDOUT_TENTHS = 3            # 30 % held out, then halved
+SPLIT_WEIGHTS = (14, 3, 3)    # train, validation, test: 30 % held out, then halved
 TRAIN_BATCH = 8
 EPOCHS = 4
 WARMUP_FRACTION_PERCENT = 10

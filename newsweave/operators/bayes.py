@@ -18,13 +18,14 @@ from ..functions import tokenize as tk
 def word_counts(df: DataFrame, col: str = "combined_text") -> DataFrame:
     """Rows -> the same columns without the text, word and its count."""
     keep = [c for c in df.columns if c != col]
-    return (df.select(*keep, F.explode(tk.word_tokens(F.lower(F.col(col)))).alias("word"))
+    # the outer form: for the inner one Spark extracts the words a second time in a filter
+    return (df.select(*keep, F.explode_outer(tk.word_tokens(F.lower(F.col(col)))).alias("word")).where(F.col("word").isNotNull())
             .groupBy(*keep, "word").agg(F.count(F.lit(1)).alias("times")))
 
 
 def train(rows: DataFrame, label: str = "category", col: str = "combined_text") -> tuple[DataFrame, DataFrame]:
     """Training rows -> (class, word, n) and (class, rows, words, vocabulary)."""
-    words = (rows.select(label, F.explode(tk.word_tokens(F.lower(F.col(col)))).alias("word"))
+    words = (rows.select(label, F.explode_outer(tk.word_tokens(F.lower(F.col(col)))).alias("word")).where(F.col("word").isNotNull())
              .groupBy(label, "word").agg(F.count(F.lit(1)).alias("n")))
     vocabulary = words.agg(F.count_distinct("word").alias("v")).scalar()
     totals = words.groupBy(label).agg(F.sum("n").alias("words"))

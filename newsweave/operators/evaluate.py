@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import LANGUAGE_WORDS, PROB_CLIP
 from ..functions.vectors import argmax, clipped_log_loss
+from ..session import materialize
 from .labels import sorted_labels
 
 ROUND = 9
@@ -49,8 +50,11 @@ def confusion_dense(conf: DataFrame, actual: str = "actual", predicted: str = "p
     """Every (actual, predicted) cell over the sorted label union, zeros kept.
 
     Each label row is widened by the array of all labels, so the k^2 cells are
-    made where the labels lie, and left-joined to the non-zero counts.
+    made where the labels lie, and left-joined to the non-zero counts.  The
+    counts are read three times here and are a small table, so they are
+    checkpointed: the predictions behind them run once.
     """
+    conf = materialize(conf)
     labels = label_union(conf, actual, predicted)
     cells = labels.select(F.col("label").alias(actual), F.explode(sorted_labels(labels, "label")).alias(predicted))
     return (cells.join(conf, [actual, predicted], "left")
@@ -93,7 +97,7 @@ def evaluation_metrics(conf: DataFrame, actual: str = "actual", predicted: str =
               (F.sum(F.col("support") * F.col("f1")) / s).alias("weighted_f1"),
               s.cast("long").alias("rows"))
     out = [F.round(c, ROUND).alias(c) for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1")]
-    text = [F.format_string("%.5f", c).alias(c + "_text") for c in ("accuracy", "weighted_f1")]
+    text = [F.format_string("%.5f", c).alias(c + "_text") for c in ("accuracy", "weighted_f1", "weighted_precision", "weighted_recall")]
     return m.select(*out, *text, "rows")
 
 

@@ -8,6 +8,9 @@ regression) trained on the executors.  Python models are scored with
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer
@@ -21,9 +24,12 @@ from ..functions.fixed import SCORE_BATCH
 from ..functions.vectors import argmax, clipped_log_loss
 from ..session import materialize
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
+
 # 2^16 hashed terms x k classes keeps the dense gradient small enough to be
 # aggregated in a tree across many executors.
 NUM_FEATURES = 1 << 16
+MAX_MODEL_BYTES = 1 << 30  # a stored NumPy model beyond this is refused, not broadcast
 CSV_ROWS = 20_000  # rows of one CSV file
 CSV_NULL = "\\N"    # so that an empty text stays one
 
@@ -103,6 +109,50 @@ def score_batches(df: DataFrame, make_predict_fn, input_col: str, width: int, ou
     return df.withColumn(out, udf(F.col(input_col)))
 
 
+def save_arrays(spark, path: str, version: int, **arrays) -> None:
+    """A NumPy model as one version in shared storage (S4 for Python models);
+    versions stand beside each other and are never changed."""
+    import io
+
+    import numpy as np
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    if (size := held.tell()) > MAX_MODEL_BYTES:
+        raise ValueError(f"the model has {size} bytes, more than {MAX_MODEL_BYTES}")
+    row = spark.createDataFrame([(version, size, held.getvalue())], "version int, size long, content binary")
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{path.rstrip('/')}/version-{version}")
+
+
+def stored_model(spark, path: str, predict, version: int):
+    """``make_predict_fn`` for ``score_batches`` from a stored version.
+
+    The size is checked before the content is read; the content travels to
+    each executor once, and each Python worker loads it once, when its first
+    batch comes.  ``predict(arrays, x)`` gives the batch's scores.
+    """
+    stored = spark.read.parquet(f"{path.rstrip('/')}/version-{version}")
+    if (size := stored.select("size").first()["size"]) > MAX_MODEL_BYTES:
+        raise ValueError(f"version {version} has {size} bytes, more than {MAX_MODEL_BYTES}")
+    content = spark.sparkContext.broadcast(bytes(stored.select("content").first()["content"]))
+
+    def make_predict_fn():
+        import io
+
+        import numpy as np
+        with np.load(io.BytesIO(content.value)) as held:
+            arrays = {k: held[k] for k in held.files}
+        return lambda x: predict(arrays, x)
+    return make_predict_fn
+
+
+def softmax_of_dense(arrays, x):
+    """Scores of one dense layer (arrays w and b), as the stored query uses it."""
+    import numpy as np
+    z = x.astype(np.float64) @ arrays["w"].T + arrays["b"]
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 def dense_softmax_model():
     """``make_predict_fn`` for the stand-in dense layer (NumPy, per batch).
 

@@ -91,7 +91,7 @@ def q_read_news_json(spark, sf_dir):
     """The stand-in as JSON lines of the six article columns, read back."""
     path = scratch_path(spark, "news-json")
     load_news(spark, sf_dir).drop("row_id").write.json(path)
-    return ingest.clean_news(read_news(spark, path)).drop("row_id", "date")
+    return ingest.clean_news(read_news(spark, path))
 
 
 @register("byline_authors")
@@ -188,6 +188,16 @@ def q_shuffled_batches(spark, sf_dir):
     return split.assign_batches(train).select("row_id", "position", "batch")
 
 
+@register("written_batches")
+def q_written_batches(spark, sf_dir):
+    """The train batches written in blocks; all from the second half on read again."""
+    path = scratch_path(spark, "batches")
+    train = splits(spark, sf_dir).where(F.col("split") == "train").select("row_id", "category")
+    split.write_batches(train, path, block_batches=16)
+    half = split.read_manifest(spark, path).agg(F.max("last_batch")).first()[0]
+    return split.read_batches(spark, path, (half or 0) // 2).select("row_id", "category", "position", "batch", F.col("block").cast("long").alias("block"))
+
+
 @register("batch_plan")
 def q_batch_plan(spark, sf_dir):
     return split.batch_plan(splits(spark, sf_dir).where(F.col("split") == "train"))
@@ -289,6 +299,14 @@ def q_max_pool(spark, sf_dir):
     return V.max_pool(load_table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
+@register("pooled_features")
+def q_pooled_features(spark, sf_dir):
+    """An embedding as a sequence of four vectors, pooled to one."""
+    e = load_table(spark, sf_dir, "embeddings")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+    return e.select("vec_id", V.pool_sequence(parts).alias("pooled"))
+
+
 # --- stage 4: text -------------------------------------------------------------------
 
 @register("tokenize")
@@ -410,6 +428,18 @@ def q_batched_inference(spark, sf_dir):
                     F.round(F.array_max("probs"), 6).alias("p_max"))
 
 
+@register("stored_inference")
+def q_stored_inference(spark, sf_dir):
+    """M7 from shared storage: the dense model saved as a version, loaded by
+    the workers, over all embeddings."""
+    w, b = V.dense_weights_numpy()
+    path = scratch_path(spark, "arrays")
+    model.save_arrays(spark, path, 1, w=w, b=b)
+    e = load_table(spark, sf_dir, "embeddings")
+    s = model.score_batches(e, model.stored_model(spark, path, model.softmax_of_dense, 1), "embedding", V.DENSE_DIM)
+    return s.select("vec_id", "label", V.argmax(F.col("probs")).alias("predicted"), F.round(F.array_max("probs"), 6).alias("p_max"))
+
+
 def test_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the stand-in predictor's output attached by key.
 

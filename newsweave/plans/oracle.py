@@ -132,8 +132,11 @@ SELECT category, row_number() OVER (ORDER BY articles DESC, category) AS by_arti
 FROM (SELECT category, count(*) AS articles, round(avg(length(headline)), 9) AS mh, median(length(headline)) AS dh,
         round(avg(length(short_description)), 9) AS md, median(length(short_description)) AS dd FROM clean GROUP BY category)"""
 
-ORACLE["read_news_json"] = BASE + """
-SELECT link, headline, category, short_description, authors FROM clean"""
+ORACLE["read_news_json"] = with_(NEWS, CLEAN.replace("FROM news", "FROM keyed")).replace("clean AS (", """keyed AS (
+  SELECT * REPLACE (row_number() OVER (ORDER BY sha256(concat_ws(chr(31), coalesce(link, chr(0)), coalesce(headline, chr(0)), coalesce(category, chr(0)),
+    coalesce(short_description, chr(0)), coalesce(authors, chr(0)), coalesce(cast(date AS VARCHAR), chr(0))))) - 1 AS row_id) FROM news),
+clean AS (""", 1) + """
+SELECT row_id, link, headline, category, short_description, authors, date FROM clean"""
 
 ORACLE["byline_authors"] = with_(NEWS, CLEAN, BYLINE) + """
 SELECT row_id, authors FROM byline"""
@@ -213,6 +216,12 @@ SELECT row_id, position, position // 8 AS batch
 FROM (SELECT row_id, row_number() OVER (ORDER BY md5(concat('shuffle:42:', cast(row_id AS VARCHAR))), row_id) - 1 AS position
       FROM splits WHERE split = 'train')"""
 
+ORACLE["written_batches"] = SPLIT + """,
+p AS (SELECT row_id, category, row_number() OVER (ORDER BY md5(concat('shuffle:42:', cast(row_id AS VARCHAR))), row_id) - 1 AS position
+      FROM splits WHERE split = 'train')
+SELECT row_id, category, position, position // 8 AS batch, position // 8 // 16 AS block
+FROM p WHERE position // 8 >= (SELECT max(position) // 8 // 2 FROM p)"""
+
 ORACLE["batch_plan"] = SPLIT + """
 SELECT rows, batches_per_epoch, batches_per_epoch * 4 AS total_steps,
        (batches_per_epoch * 4 * 10) // 100 AS warmup_steps
@@ -278,6 +287,8 @@ SELECT round(sum(tp) / sum(support), 9) AS accuracy,
        round(sum(support * f1) / sum(support), 9) AS weighted_f1,
        printf('%.5f', sum(tp) / sum(support)) AS accuracy_text,
        printf('%.5f', sum(support * f1) / sum(support)) AS weighted_f1_text,
+       printf('%.5f', sum(support * precision) / sum(support)) AS weighted_precision_text,
+       printf('%.5f', sum(support * recall) / sum(support)) AS weighted_recall_text,
        sum(support)::BIGINT AS rows
 FROM rep"""
 
@@ -306,6 +317,10 @@ SELECT round(avg(-ln(greatest(least(probs[label + 1], 1 - 1e-7), 1e-7))), 9) AS
 ORACLE["categorical_accuracy"] = VEC + """
 SELECT round(avg(CASE WHEN list_position(probs, list_max(probs)) - 1 = label THEN 1 ELSE 0 END), 9)
          AS categorical_accuracy, count(*) AS rows FROM pr"""
+ORACLE["pooled_features"] = """
+WITH halves AS (SELECT vec_id, embedding[1:16] AS a, embedding[17:32] AS b, embedding[33:48] AS c, embedding[49:64] AS d FROM embeddings)
+SELECT vec_id, list_transform(range(1, 17), lambda i: greatest(a[i], b[i], c[i], d[i])) AS pooled FROM halves"""
+
 ORACLE["max_pool"] = """
 SELECT label, list(m ORDER BY pos) AS pooled
 FROM (SELECT label, pos, max(x) AS m
@@ -506,6 +521,8 @@ ORACLE["batched_inference"] = VEC + """
 SELECT vec_id, label, (list_position(probs, list_max(probs)) - 1)::INTEGER AS predicted,
        round(list_max(probs), 6) AS p_max FROM pr"""
 
+ORACLE["stored_inference"] = ORACLE["batched_inference"]
+
 ATTACH = SPLIT + "," + PRED + """
 SELECT s.row_id, s.combined_text, s.category, p.predicted AS prediction
 FROM splits s JOIN pred p ON p.doc_id = s.row_id WHERE s.split = 'test'"""

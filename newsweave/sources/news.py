@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixed import FIXTURE_CATEGORIES
+from ..functions.ranking import positions
 from ..session import table_path
 
 # Declared, never inferred: `date` must be a DateType.
@@ -22,27 +23,38 @@ NEWS_SCHEMA = T.StructType([
 KEYED_NEWS_SCHEMA = T.StructType([T.StructField("row_id", T.LongType(), True), *NEWS_SCHEMA.fields])
 
 
-def read_news(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
+def read_news(spark: SparkSession, path: str, keyed: bool = False, require_all: bool = False) -> DataFrame:
     """Newline-delimited JSON articles.
 
     FAILFAST: a malformed line raises instead of becoming an all-null row that
-    the null filter would silently drop.  A declared column that no line has
-    raises too.  Lines without a key of their own get one from their content:
-    the hash of all columns and, for repeated lines, the occurrence.
+    the null filter would silently drop.  ``require_all`` reads the input once
+    more first and raises if a declared column is in no line.  Lines without a
+    key of their own get one from their content (``numbered``).
     """
     schema = KEYED_NEWS_SCHEMA if keyed else NEWS_SCHEMA
     df = (spark.read.schema(schema).option("mode", "FAILFAST").option("dateFormat", "yyyy-MM-dd").json(path))
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in df.columns]).first()
-    absent = [c for c in df.columns if seen["rows"] and not seen[c]]
-    if absent:
-        raise ValueError(f"no article in {path} has {', '.join(absent)}")
-    if keyed:
-        return df
+    if require_all:
+        seen = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in df.columns]).first()
+        absent = [c for c in df.columns if seen["rows"] and not seen[c]]
+        if absent:
+            raise ValueError(f"no article in {path} has {', '.join(absent)}")
+    return df if keyed else numbered(df)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with ``row_id``: their places from 0 in the order of a digest
+    of all columns, so no two rows share one and the same rows get the same
+    keys under any partitioning.
+
+    Equal rows stand together, and which of them has which number makes no
+    difference; they are spread over the ranges by where they were read, so a
+    line that is repeated any number of times is no hot key.
+    """
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in df.columns]
     content = F.sha2(F.concat_ws("\x1f", *columns), 256)
-    nth = F.row_number().over(Window.partitionBy("__content").orderBy("__content"))
-    return (df.withColumn("__content", content).withColumn("__nth", nth)
-            .select(F.xxhash64("__content", "__nth").alias("row_id"), *df.columns))
+    rows = df.withColumn("__content", content).withColumn("__read", F.monotonically_increasing_id())
+    placed = positions(rows, [F.col("__content"), F.col("__read")], "row_id")
+    return placed.select("row_id", *df.columns)
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

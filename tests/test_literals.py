@@ -4,6 +4,7 @@ import datetime
 import glob
 import io
 import math
+import os
 
 import pandas as pd
 import pytest
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from conftest import SF01
 from newsweave.functions import tokenize as tk
 from newsweave.functions import vectors as V
-from newsweave.operators import evaluate, ingest, model, profile, text
-from newsweave.sources.news import NEWS_SCHEMA, load_table, news_from_documents, read_news
+from newsweave.operators import evaluate, ingest, model, profile, split, text
+from newsweave.sources.news import NEWS_SCHEMA, load_table, news_from_documents, numbered, read_news
 
 
 BYLINES = [
@@ -139,7 +140,60 @@ def test_json_without_a_declared_column_raises(spark, tmp_out):
     with open(p, "w") as f:
         f.write('{"category": "C", "headline": "H", "link": "l", "short_description": "d", "date": "2018-05-26"}\n')
     with pytest.raises(ValueError, match="authors"):
-        read_news(spark, p)
+        read_news(spark, p, require_all=True)
+    assert read_news(spark, p).collect()[0].authors is None
+
+
+def test_keys_are_unique_and_do_not_depend_on_the_files(spark, tmp_out):
+    """A third of all lines are one line: no key twice, the same keys anyhow."""
+    line = '{{"category": "c", "headline": "h{}", "authors": "", "link": "l", "short_description": "d", "date": "2018-05-26"}}\n'
+    lines = [line.format(i) for i in range(600)] + [line.format("hot")] * 300
+    got = []
+    for files, order in ((1, 1), (9, -1)):
+        folder = f"{tmp_out}/{files}"
+        os.makedirs(folder)
+        for k in range(files):
+            with open(f"{folder}/{k}.json", "w") as f:
+                f.writelines(lines[::order][k::files])
+        rows = read_news(spark, folder).collect()
+        assert sorted(r.row_id for r in rows) == list(range(900))
+        got.append(sorted((r.row_id, r.headline) for r in rows))
+    assert got[0] == got[1]
+    hot = [i for i, h in got[0] if h == "hhot"]
+    assert hot == list(range(hot[0], hot[0] + 300))
+
+
+def test_a_repeated_line_is_spread_over_the_ranges(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("headline")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges stay apart
+    try:
+        parts = numbered(rows).where("headline = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 5000
+
+
+def test_split_weights_and_small_classes(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 60 else "b") for i in range(100)] + [(100, "one")], "row_id long, category string")
+    for weights, totals in (((14, 3, 3), (70, 15, 16)), ((1, 0, 0), (101, 0, 0)), ((0, 1, 1), (0, 50, 51)), ((8, 1, 1), (80, 10, 11)), ((2, 1, 0), (67, 34, 0))):
+        got = split.stratified_split(rows, weights=weights).groupBy("split").count().collect()
+        assert {r["split"]: r["count"] for r in got} == {k: n for k, n in zip(split.SPLITS, totals) if n}, weights
+    for bad in ((0, 0, 0), (1, -1, 1), (0.7, 0.2, 0.1)):
+        with pytest.raises(ValueError, match="weights"):
+            split.split_quotas(rows, weights=bad)
+    assert split.stratified_split(rows, on_small_class="quota").count() == 101
+    with pytest.raises(ValueError, match="one row cannot be stratified: one"):
+        split.stratified_split(rows, on_small_class="error")
+    assert split.stratified_split(rows.where("category <> 'one'"), on_small_class="error").count() == 100
+    with pytest.raises(ValueError, match="on_small_class"):
+        split.stratified_split(rows, on_small_class="drop")
+
+
+def test_metrics_as_text(spark):
+    conf = spark.createDataFrame([("a", "a", 2), ("a", "b", 1), ("c", "a", 1)], "actual string, predicted string, n long")
+    r = evaluate.evaluation_metrics(conf).collect()[0]
+    assert (r.accuracy_text, r.weighted_recall_text) == ("0.50000", "0.50000")
+    assert (r.weighted_precision_text, r.weighted_f1_text) == ("0.50000", "0.50000")
 
 
 def test_stand_in_holds_every_character(spark):

@@ -1,5 +1,9 @@
 """Model persistence, single-example scoring, split persistence and pooling."""
 
+import os
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -76,3 +80,68 @@ def test_language_models_beat_the_majority(spark):
     for name in ("bayes_evaluation", "model_evaluation"):
         m = catalog.QUERIES[name](spark, SF001).first()
         assert m.accuracy > 0.75, name
+
+
+# --- written batches (M4, J5) and stored models (M7) ---------------------------
+
+def test_written_batches_are_read_by_block(spark, tmp_out):
+    rows = spark.range(1003).select(F.col("id").alias("row_id"), F.concat(F.lit("t"), "id").alias("text"))
+    split.write_batches(rows.repartition(5), tmp_out, batch_size=10, block_batches=7)
+    want = {r.row_id: (r.position, r.batch) for r in split.assign_batches(rows, 10).collect()}
+    manifest = split.read_manifest(spark, tmp_out).orderBy("block").collect()
+    assert [(m.block, m.first_batch, m.last_batch, m.first_position, m.rows) for m in manifest] == [
+        (k, 7 * k, min(7 * k + 6, 100), 70 * k, min(70, 1003 - 70 * k)) for k in range(15)]
+    for first, last in ((0, 0), (33, 33), (100, 100), (12, 15), (95, None), (0, None), (101, None), (50, 40)):
+        df = split.read_batches(spark, tmp_out, first, last)
+        got = {r.row_id: (r.position, r.batch) for r in df.collect()}
+        assert got == {k: v for k, v in want.items() if first <= v[1] <= (100 if last is None else last)}
+    one = split.read_batches(spark, tmp_out, 33, 33)
+    assert len(one.select(F.input_file_name()).distinct().collect()) == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan and "GreaterThanOrEqual(batch,33)" in plan
+
+
+def test_written_batches_of_nothing(spark, tmp_out):
+    split.write_batches(spark.range(0).select(F.col("id").alias("row_id")), tmp_out)
+    assert split.read_manifest(spark, tmp_out).count() == 0
+
+
+def _counting(folder):
+    """Scores that note which worker process loaded a model object."""
+    def predict(arrays, x):
+        import os
+        with open(f"{folder}/{os.getpid()}-{id(arrays)}-{len(x)}", "a"):
+            pass
+        return x @ arrays["w"]
+    return predict
+
+
+@pytest.mark.parametrize("n", [0, 1, 1499, 1500, 1501])
+def test_stored_model_scores_any_number_of_rows(spark, tmp_out, n):
+    w = np.arange(6.0).reshape(3, 2)
+    model.save_arrays(spark, f"{tmp_out}/m", 1, w=w)
+    df = spark.range(n).coalesce(1).select("id", F.array(*[(F.col("id") + k).cast("double") for k in range(3)]).alias("x"))
+    os.makedirs(f"{tmp_out}/seen")
+    out = model.score_batches(df, model.stored_model(spark, f"{tmp_out}/m", _counting(f"{tmp_out}/seen"), 1), "x", 3).collect()
+    assert len(out) == n
+    for r in out:
+        assert np.allclose(r.probs, np.array(r.x) @ w)
+    seen = [x.split("-") for x in os.listdir(f"{tmp_out}/seen")]
+    assert len({(pid, obj) for pid, obj, _ in seen}) == (n > 0)          # loaded once by its worker
+    assert sorted({int(size) for *_, size in seen}) == sorted({min(n, 1500), n - 1500 if n > 1500 else n} - {0}) or n == 1500
+
+
+def test_stored_versions_stand_beside_each_other(spark, tmp_out, monkeypatch):
+    for v in (1, 2):
+        model.save_arrays(spark, tmp_out, v, w=np.full((2, 1), float(v)))
+    with pytest.raises(Exception, match="exists"):
+        model.save_arrays(spark, tmp_out, 2, w=np.zeros(1))
+    df = spark.createDataFrame([([1.0, 1.0],)], "x array<double>")
+    predict = lambda arrays, x: x @ arrays["w"]
+    for v in (1, 2):
+        assert model.score_batches(df, model.stored_model(spark, tmp_out, predict, v), "x", 2).first().probs == [2.0 * v]
+    monkeypatch.setattr(model, "MAX_MODEL_BYTES", 10)
+    with pytest.raises(ValueError, match="more than 10"):
+        model.stored_model(spark, tmp_out, predict, 1)
+    with pytest.raises(ValueError, match="more than 10"):
+        model.save_arrays(spark, tmp_out, 3, w=np.zeros(100))
