@@ -52,6 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents`, each written and read again -> packed rows.
+
+    Null and empty texts, null ids, sources and labels, and repeated rows pass
+    through each stage as its docstring says; a text without ids is in no
+    packed row, and empty tables give no rows.  The written stages stand in the
+    session's shared folder until the caller deletes them.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
