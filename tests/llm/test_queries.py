@@ -65,6 +65,25 @@ def test_first_stage_rejects_toxic_documents(spark, tmp_out):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(400) if i % 4]
 
 
+@pytest.mark.parametrize("some", [False, True])
+def test_run_on_odd_tables(spark, tmp_out, some):
+    """Empty tables, nulls in every column, repeated rows and ids."""
+    docs = [(1, "one two three", "en", "a", 13), (1, "one two three", "en", "a", 13), (1, "another text of this id", None, "a", None), (2, None, None, None, None),
+            (3, "", "en", None, 0), (None, "nobody knows this id", "en", "b", 20), (4, "x" * 30000, "en", "b", 30000), (5, "a b c d e f g h i j k l", "en", "b", 23)]
+    labels = [(1, 1, 0), (1, 0, None), (None, None, None), (9, 0, 1)]
+    items = [(1, "a b c d e f g h i j"), (2, None), (None, "")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"),
+                               ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows if some else [], schema).write.parquet(f"{tmp_out}/{name}.parquet")
+    out = packing.unpack(corpus_pipeline.run(spark, tmp_out)).collect()
+    if not some:
+        assert out == []
+        return
+    ids = {r.doc_id for r in out}
+    assert ids <= {1, 4, None} and 5 not in ids and 2 not in ids  # contaminated, and without ids
+    assert {1, None} & ids
+
+
 def test_run_gives_packed_rows(spark):
     out = corpus_pipeline.run(spark, SF001)
     assert "input_ids" in out.columns and out.count() > 0
