@@ -39,6 +39,16 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+# What is no part of a host's name, and numeric addresses.
+USER, PORT, DOTS = r"^.*@", r":[0-9]*$", r"\.+$"
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*)$"
+
+
+def name(h: Column) -> Column:
+    """The host that has a reputation: without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(h, USER, ""), PORT, ""), DOTS, "")
+
+
 def rule_of(h: Column, p: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """(verdict, rule) of the longest rule that fits, else null.  ``rules`` is
     a list in a configuration; of two rules of one length the first counts."""
@@ -63,16 +73,18 @@ def domain(h: Column) -> Column:
 def placed(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Rows with a host -> the same with its domain and suffix.  ``suffixes``
     (suffix) lists suffixes of two or three labels, the longest counts; without
-    it ``LONG_SUFFIXES`` are taken."""
+    it ``LONG_SUFFIXES`` are taken.  A numeric address is its own domain and
+    suffix."""
+    alone = lambda c: F.when(F.col("host").rlike(ADDRESS), F.col("host")).otherwise(c)
     if suffixes is None:
-        return hosts.withColumn("domain", domain(F.col("host"))).withColumn("suffix", suffix(F.col("host")))
+        return hosts.withColumn("domain", alone(domain(F.col("host")))).withColumn("suffix", alone(suffix(F.col("host"))))
     known = suffixes.where("suffix IS NOT NULL").select(ascii_lower(F.col("suffix")).alias("_name")).distinct()
     ends = {n: F.substring_index("host", ".", -n) for n in (1, 2, 3, 4)}
     out = hosts.withColumns({"_end2": ends[2], "_end3": ends[3]})
     for n in (2, 3):
         out = out.join(known.select(F.col("_name").alias(f"_end{n}"), F.lit(True).alias(f"_is{n}")), f"_end{n}", "left")
     longest = lambda k: F.when(F.col("_is3"), ends[3 + k]).when(F.col("_is2"), ends[2 + k]).otherwise(ends[1 + k])
-    return out.withColumns({"domain": longest(1), "suffix": longest(0)}).drop("_end2", "_end3", "_is2", "_is3")
+    return out.withColumns({"domain": alone(longest(1)), "suffix": alone(longest(0))}).drop("_end2", "_end3", "_is2", "_is3")
 
 
 def _strength(level: DataFrame) -> float:
@@ -91,7 +103,8 @@ def _strength(level: DataFrame) -> float:
 def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Outcomes (host, bad 0/1) -> lower bounds (key, bound) of hosts, domains and
     suffixes."""
-    hosts = cut(outcomes.where("bad IS NOT NULL AND host <> ''").groupBy("host")
+    named = outcomes.select(name(F.col("host")).alias("host"), "bad")
+    hosts = cut(named.where("bad IS NOT NULL AND host <> ''").groupBy("host")
                 .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
     hosts = placed(hosts, suffixes)
     sums = (F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -126,7 +139,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     verdict, bound; one row per page.
 
     A fitting rule decides; else the host is blocked where the lower bound of
-    its bad rate is above ``block_above``.  A null url, or one without ://, has
+    its bad rate is above ``block_above``.  Users, ports and final dots are
+    shown with the host but have no reputation of their own.  A null url, or one without ://, has
     an empty host, which no rule fits and no outcome counts for; it is judged
     like a host of an unknown suffix.  Outcomes with a null label or an empty
     host are left out.  Without outcomes nothing is blocked but by rules.
@@ -136,11 +150,12 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     by_host, by_domain, by_suffix = reputation(outcomes, suffixes)
     p = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     # posteriors of every host that occurs, known or not: one row per host
-    names = placed(p.select("host").distinct(), suffixes).withColumnsRenamed({"domain": "_domain", "suffix": "_suffix"})
+    each = p.select(F.col("host").alias("_host"), name(F.col("host")).alias("host")).distinct()
+    names = placed(each, suffixes).withColumnsRenamed({"domain": "_domain", "suffix": "_suffix"})
     known = (names.join(by_host.withColumnRenamed("bound", "_h"), "host", "left")
              .join(by_domain.select(F.col("domain").alias("_domain"), F.col("bound").alias("_d")), "_domain", "left")
              .join(by_suffix.select(F.col("suffix").alias("_suffix"), F.col("bound").alias("_s")), "_suffix", "left")
-             .select("host", F.coalesce("_h", "_d", "_s", F.lit(0.0)).alias("bound")))
+             .select(F.col("_host").alias("host"), F.coalesce("_h", "_d", "_s", F.lit(0.0)).alias("bound")))
     found = rule_of(F.col("host"), F.col("path"), rules)
     return (p.join(known, "host").withColumn("_rule", found)
             .select("page_id", "host", "path", F.col("_rule.rule").alias("rule"),
@@ -171,18 +186,19 @@ _BOUND = f"a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))"
 ORACLE = rf"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-x AS (SELECT *, string_split(host, '.') AS parts, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM p),
-q AS (SELECT page_id, host, path, CASE WHEN two IN ({_LONG}) THEN two ELSE parts[-1] END AS suffix,
-    CASE WHEN two IN ({_LONG}) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM x),
+y AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '{USER}', ''), '{PORT}', ''), '{DOTS}', '') AS name FROM p),
+x AS (SELECT *, string_split(name, '.') AS parts, array_to_string(string_split(name, '.')[-2:], '.') AS two, regexp_matches(name, '{ADDRESS}') AS address FROM y),
+q AS (SELECT page_id, host, name, path, CASE WHEN address THEN name WHEN two IN ({_LONG}) THEN two ELSE parts[-1] END AS suffix,
+    CASE WHEN address THEN name WHEN two IN ({_LONG}) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain FROM x),
 o AS (SELECT q.*, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL OR toxic IS NOT NULL THEN 0 END AS bad
-    FROM q JOIN labels ON page_id = doc_id WHERE host <> ''),
-h AS MATERIALIZED (SELECT host, domain, suffix, count(*) AS n, sum(bad)::BIGINT AS bad FROM o WHERE bad IS NOT NULL GROUP BY ALL),
+    FROM q JOIN labels ON page_id = doc_id WHERE name <> ''),
+h AS MATERIALIZED (SELECT name AS host, domain, suffix, count(*) AS n, sum(bad)::BIGINT AS bad FROM o WHERE bad IS NOT NULL GROUP BY ALL),
 d AS MATERIALIZED (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM h GROUP BY ALL),
 s AS MATERIALIZED (SELECT suffix, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM d GROUP BY ALL),
 {_posterior_sql('sp', 'suffix', 'SELECT *, (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) FROM s) AS prior FROM s')},
 {_posterior_sql('dp', 'domain', 'SELECT d.*, sp.a / (sp.a + sp.b) AS prior FROM d JOIN sp USING (suffix)')},
 {_posterior_sql('hp', 'host', 'SELECT h.*, dp.a / (dp.a + dp.b) AS prior FROM h JOIN dp USING (domain)')},
-z AS (SELECT q.*, coalesce((SELECT {_BOUND} FROM hp WHERE hp.host = q.host), (SELECT {_BOUND} FROM dp WHERE dp.domain = q.domain),
+z AS (SELECT q.*, coalesce((SELECT {_BOUND} FROM hp WHERE hp.host = q.name), (SELECT {_BOUND} FROM dp WHERE dp.domain = q.domain),
     (SELECT {_BOUND} FROM sp WHERE sp.suffix = q.suffix), 0.0) AS bound FROM q),
 r AS (SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'

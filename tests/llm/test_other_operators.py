@@ -229,6 +229,32 @@ def test_reputation_shrinks(spark):
     assert out == {1: "allow", 2: "block", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "allow"}
 
 
+def test_ports_users_and_addresses(spark, tmp_out):
+    """Reputation belongs to the name; an address is its own domain; SQL agrees."""
+    import duckdb
+    names = {"a.co.uk:8080": ("a.co.uk", "a.co.uk", "co.uk"), "me:pw@b.site.com.": ("b.site.com", "site.com", "com"), "10.0.0.1:80": ("10.0.0.1",) * 3,
+             "[2001:db8::1]:443": ("[2001:db8::1]",) * 3, "site.com..": ("site.com", "site.com", "com"), "x@": ("",) * 3, "1.2.3": ("1.2.3", "2.3", "3")}
+    df = spark.createDataFrame([(h,) for h in names], "raw string").withColumn("host", hosts.name(F.col("raw")))
+    assert {r.raw: (r.host, r.domain, r.suffix) for r in hosts.placed(df).collect()} == names
+    urls = [f"http://{'u@' if i % 3 else ''}bad.test{':80' if i % 2 else ''}{'.' if i % 5 == 0 else ''}/p" for i in range(60)]
+    urls += [f"http://10.0.0.{i % 3}:{i}/x" for i in range(60)] + [f"http://ok{i}.good/" for i in range(60)] + ["http://" + "l" * 5000 + ".test/" + "p" * 9000, None, "none"]
+    pages = [(i, u, "") for i, u in enumerate(urls)]
+    labels = [(i, int(i >= 60 and (i >= 120 or i % 3 > 0)), 0) for i in range(180) if i % 4]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_out}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_out}/labels.parquet")
+    out = hosts.query(spark, tmp_out)
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_out}/{t}.parquet/*.parquet'")
+    want = con.sql(hosts.ORACLE)
+    order = [want.columns.index(c) for c in out.columns]
+    assert got == sorted((tuple(r[k] for k in order) for r in want.fetchall()), key=str)
+    verdict = {r[0]: r[4] for r in got}
+    assert {verdict[i] for i in range(60)} == {"block"} and {verdict[i] for i in range(120, 180)} == {"allow"}
+    assert {verdict[i] for i in range(60, 120) if i % 3 == 0} == {"block"} and {verdict[i] for i in range(60, 120) if i % 3} == {"allow"}
+
+
 def test_suffixes_come_from_a_table(spark):
     suffixes = spark.createDataFrame([("co.za",), ("CO.ZA",), ("a.b.test",), (None,)], "suffix string")
     names = ["x.site.co.za", "co.za", "x.site.a.b.test", "x.b.test", "x.site.org", "", "one"]
