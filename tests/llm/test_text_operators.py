@@ -142,9 +142,30 @@ def test_decontam_equals_brute_force(spark, part_words):
     # upper-cased non-ASCII letters are other words: only A-Z are lower-cased
     assert got == brute_decontam(docs, items)
     texts = dict(docs)
-    for x in found:
-        for s in x.hits:
-            assert texts[x.doc_id][s.start:s.end].strip(" ,-;") == texts[x.doc_id][s.start:s.end]
+    spans = {x.doc_id: [(s.start, s.end) for s in x.hits] for x in found}
+    assert spans == {i: brute_hits(t, items) for i, t in texts.items()} and sum(map(len, spans.values())) > 20
+
+
+def brute_hits(text, items):
+    """Maximal runs of hit words as code points of the text."""
+    word = re.compile("[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    places = [m.span() for m in word.finditer(text)]
+    words = [lower(text[a:b]) for a, b in places]
+    hit = [False] * len(words)
+    for _, item in items:
+        w = [lower(x) for x in word.findall(item)]
+        for k in range(max(1, len(w) - 9) if w else 0):
+            window = w[k:k + 10]
+            for at in range(len(words) - len(window) + 1):
+                if words[at:at + len(window)] == window:
+                    hit[at:at + len(window)] = [True] * len(window)
+    out = []
+    for k, (a, b) in enumerate(places):
+        if hit[k] and k and hit[k - 1]:
+            out[-1] = (out[-1][0], b)
+        elif hit[k]:
+            out.append((a, b))
+    return out
 
 
 BASE = {
