@@ -232,9 +232,9 @@ def _scored(docs: DataFrame, chain: Chain, text: str) -> DataFrame:
     found = _looked_up(words(F.col(f"`{text}`")), weights, "array<double>")
     models = range(len(chain.models))  # one sum for all of them: the words are read once
     total = F.aggregate(found, F.array(*[F.lit(0.0) for _ in models]), lambda a, v: F.array(*[a[i] + v[i] for i in models]))
-    # the generated column is a barrier: a filter on it is not pushed below and
-    # does not take the words out of the text again
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.explode(F.array(total)).alias("_total"))
+    # a condition that always holds but is not known to is a barrier: a filter
+    # on the column is not pushed below and does not take the words again
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.when(F.spark_partition_id() >= 0, total).alias("_total"))
     for i, (category, m) in enumerate(chain.models.items()):
         z = F.lit(m.bias) + F.col("_total")[i]
         for name, v in zip(list(chain.models)[:i], m.chain):
