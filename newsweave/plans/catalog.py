@@ -332,7 +332,8 @@ def q_tokenize_sentences(spark, sf_dir):
 @register("lemmatize")
 def q_lemmatize(spark, sf_dir):
     toks = merged(spark, sf_dir).select(text.cleaned_tokens(F.col("combined_text")).alias("t"))
-    return text.lemma_table(text.vocabulary(toks, "t"))
+    # the table reads the words twice: the texts are tokenised once
+    return text.lemma_table(materialize(text.vocabulary(toks, "t")))
 
 
 @register("normalize_text")
