@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import tokenize as tk
 from ..functions import vectors as V
 from ..functions.fixed import VOCABULARY_FILE
-from ..operators import bayes, encode, evaluate, ingest, labels, minibatch, model, profile, sentences, split, subword, text
+from ..operators import bayes, encode, evaluate, ingest, labels, lengths, minibatch, model, profile, sentences, split, subword, text
 from ..session import materialize, scratch_path
 from ..sources.news import load_documents, load_news, load_table, read_news
 
@@ -81,6 +81,28 @@ def q_description_length_summary(spark, sf_dir):
     return profile.length_summary(clean(spark, sf_dir), "short_description")
 
 
+def length_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length state of the articles, one part per year, merged when read."""
+    path = scratch_path(spark, "lengths")
+    c = clean(spark, sf_dir)
+    new_year = F.lit("2021-01-01").cast("date")
+    for part, rows in (("until-2020", c.where(F.col("date") < new_year)), ("from-2021", c.where(F.col("date") >= new_year))):
+        lengths.add_part(rows, path, part, ["headline", "short_description"])
+    return lengths.read_state(spark, path)
+
+
+@register("profile_from_parts")
+def q_profile_from_parts(spark, sf_dir):
+    """A1-A5 over parts that are each read once, medians between two bounds."""
+    return lengths.length_profile(length_parts(spark, sf_dir))
+
+
+@register("box_numbers_from_parts")
+def q_box_numbers_from_parts(spark, sf_dir):
+    """A22 over parts, every number between two bounds."""
+    return lengths.box_numbers(length_parts(spark, sf_dir))
+
+
 @register("category_orders")
 def q_category_orders(spark, sf_dir):
     return profile.category_orders(clean(spark, sf_dir))

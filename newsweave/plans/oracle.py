@@ -125,6 +125,40 @@ GROUP BY b.category, b.n, q1, q2, q3"""
 
 ORACLE["description_length_summary"] = ORACLE["length_summary"].replace("length(headline) AS len", "length(short_description) AS len")
 
+_COUNTED = BASE + """,
+l AS (SELECT category, 'headline' AS measure, length(headline) AS len FROM clean
+      UNION ALL SELECT category, 'short_description', length(short_description) FROM clean),
+b AS (SELECT category, measure, CASE WHEN len < 256 THEN len ELSE len - len % (1 << (length(bin(len)) - 8)) END AS low,
+             count(*) AS times, sum(len) AS total, min(len) AS shortest, max(len) AS longest
+      FROM l GROUP BY ALL),
+c AS (SELECT *, sum(times) OVER (PARTITION BY category, measure ORDER BY low) AS upto, sum(times) OVER (PARTITION BY category, measure) AS n FROM b),
+p AS (SELECT category, measure, n, total / n AS mean, q, floor(q * (n - 1)) AS i, q * (n - 1) - floor(q * (n - 1)) AS f
+      FROM (SELECT category, measure, any_value(n)::BIGINT AS n, sum(total)::DOUBLE AS total FROM c GROUP BY category, measure),
+           (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS q)),
+qs AS (SELECT p.category, p.measure, p.n, p.mean, q,
+              any_value(f) AS f, any_value(x.shortest) AS s1, any_value(x.longest) AS l1, any_value(y.shortest) AS s2, any_value(y.longest) AS l2
+       FROM p JOIN c x ON x.category = p.category AND x.measure = p.measure AND x.upto - x.times <= i AND i < x.upto
+              JOIN c y ON y.category = p.category AND y.measure = p.measure AND y.upto - y.times <= least(i + 1, p.n - 1) AND least(i + 1, p.n - 1) < y.upto
+       GROUP BY p.category, p.measure, p.n, p.mean, q),
+bounds AS (SELECT category, measure, n, mean, q, s1 + f * (s2 - s1) AS a, l1 + f * (l2 - l1) AS z FROM qs)
+"""
+ORACLE["profile_from_parts"] = _COUNTED + """
+SELECT category, measure, n AS articles, round(mean, 9) AS mean_len, a AS median_at_least, z AS median_at_most
+FROM bounds WHERE q = 0.5"""
+ORACLE["box_numbers_from_parts"] = _COUNTED + """,
+w AS (SELECT x.category, x.measure, x.n, x.a AS q1a, x.z AS q1z, y.a AS ma, y.z AS mz, v.a AS q3a, v.z AS q3z,
+             x.a - 1.5 * (v.z - x.a) AS lo1, x.z - 1.5 * (v.a - x.z) AS lo2, v.a + 1.5 * (v.a - x.z) AS hi1, v.z + 1.5 * (v.z - x.a) AS hi2
+      FROM bounds x JOIN bounds y USING (category, measure) JOIN bounds v USING (category, measure) WHERE x.q = 0.25 AND y.q = 0.5 AND v.q = 0.75)
+SELECT category, measure, w.n AS rows, q1a AS q1_at_least, q1z AS q1_at_most, ma AS median_at_least, mz AS median_at_most,
+       q3a AS q3_at_least, q3z AS q3_at_most,
+       min(greatest(shortest, ceil(lo1))) FILTER (longest >= lo1)::BIGINT AS whisker_low_at_least,
+       min(CASE WHEN shortest >= lo2 THEN shortest ELSE longest END) FILTER (longest >= lo2)::BIGINT AS whisker_low_at_most,
+       max(CASE WHEN longest <= hi1 THEN longest ELSE shortest END) FILTER (shortest <= hi1)::BIGINT AS whisker_high_at_least,
+       max(least(longest, floor(hi2))) FILTER (shortest <= hi2)::BIGINT AS whisker_high_at_most,
+       coalesce(sum(times) FILTER (longest < lo1 OR shortest > hi2), 0)::BIGINT AS outliers_at_least,
+       coalesce(sum(times) FILTER (shortest < lo2 OR longest > hi1), 0)::BIGINT AS outliers_at_most
+FROM b JOIN w USING (category, measure) GROUP BY ALL"""
+
 ORACLE["category_orders"] = BASE + """
 SELECT category, row_number() OVER (ORDER BY articles DESC, category) AS by_articles,
   row_number() OVER (ORDER BY mh DESC, category) AS by_mean_headline_len, row_number() OVER (ORDER BY dh DESC, category) AS by_median_headline_len,
