@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import tokenize as tk
 from ..functions.fixed import SCORE_BATCH
-from ..functions.vectors import argmax, clipped_log_loss
+from ..functions.vectors import argmax, clipped_log_loss, sigmoid
 from ..session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have this package
@@ -153,6 +153,12 @@ def softmax_of_dense(arrays, x):
     return e / e.sum(axis=1, keepdims=True)
 
 
+def scores_of_dense(arrays, x):
+    """Raw scores of one dense layer (arrays w and b)."""
+    import numpy as np
+    return x.astype(np.float64) @ arrays["w"].T + arrays["b"]
+
+
 def dense_softmax_model():
     """``make_predict_fn`` for the stand-in dense layer (NumPy, per batch).
 
@@ -200,3 +206,11 @@ def score_one(spark, fitted: PipelineModel, text: str) -> DataFrame:
     """Smoke prediction for one text (a one-row DataFrame through the model)."""
     one = spark.createDataFrame([(text,)], "combined_text string")
     return predict_labels(fitted, one)
+
+
+def score_example(df: DataFrame, make_predict_fn, input_col: str, width: int, key: str = "row_id",
+                  out: str = "sigmoid") -> DataFrame:
+    """M11 for a Python model: the row of the smallest key through M7, its raw
+    scores squashed one by one (C14).  No rows give none."""
+    one = df.orderBy(key).limit(1)  # a top-1: one row per task leaves the scan
+    return score_batches(one, make_predict_fn, input_col, width, "__scores").withColumn(out, sigmoid(F.col("__scores"))).drop("__scores")

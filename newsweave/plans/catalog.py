@@ -463,6 +463,17 @@ def q_stored_inference(spark, sf_dir):
     return s.select("vec_id", "label", V.argmax(F.col("probs")).alias("predicted"), F.round(F.array_max("probs"), 6).alias("p_max"))
 
 
+@register("score_example")
+def q_score_example(spark, sf_dir):
+    """The first embedding through a stored model, then the sigmoid."""
+    w, b = V.dense_weights_numpy()
+    path = scratch_path(spark, "arrays")
+    model.save_arrays(spark, path, 1, w=w, b=b)
+    e = load_table(spark, sf_dir, "embeddings")
+    s = model.score_example(e, model.stored_model(spark, path, model.scores_of_dense, 1), "embedding", V.DENSE_DIM, "vec_id")
+    return s.select("vec_id", V.round_all(F.col("sigmoid")).alias("sigmoid"))
+
+
 def test_with_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows with the stand-in predictor's output attached by key.
 

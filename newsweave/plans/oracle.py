@@ -557,6 +557,8 @@ SELECT vec_id, label, (list_position(probs, list_max(probs)) - 1)::INTEGER AS pr
 
 ORACLE["stored_inference"] = ORACLE["batched_inference"]
 
+ORACLE["score_example"] = ORACLE["sigmoid_scores"] + " WHERE vec_id = (SELECT min(vec_id) FROM embeddings)"
+
 ATTACH = SPLIT + "," + PRED + """
 SELECT s.row_id, s.combined_text, s.category, p.predicted AS prediction
 FROM splits s JOIN pred p ON p.doc_id = s.row_id WHERE s.split = 'test'"""

@@ -145,3 +145,13 @@ def test_stored_versions_stand_beside_each_other(spark, tmp_out, monkeypatch):
         model.stored_model(spark, tmp_out, predict, 1)
     with pytest.raises(ValueError, match="more than 10"):
         model.save_arrays(spark, tmp_out, 3, w=np.zeros(100))
+
+
+def test_one_example_goes_through_the_model_and_the_sigmoid(spark, tmp_out):
+    model.save_arrays(spark, tmp_out, 1, w=np.array([[1.0, -2.0], [0.0, 800.0]]), b=np.array([0.5, 0.0]))
+    rows = spark.createDataFrame([(7, [9.0, 9.0]), (2, [1.0, 1.0]), (5, [0.0, 0.0])], "row_id int, x array<double>")
+    predict = model.stored_model(spark, tmp_out, model.scores_of_dense, 1)
+    got = model.score_example(rows, predict, "x", 2).collect()
+    assert [r.row_id for r in got] == [2] and got[0].sigmoid[1] == 1.0
+    assert abs(got[0].sigmoid[0] - 1 / (1 + np.exp(0.5))) < 1e-12
+    assert model.score_example(rows.where("row_id > 9"), predict, "x", 2).count() == 0
