@@ -186,3 +186,22 @@ def test_ngrams_short_inputs(spark):
     df = spark.createDataFrame([(["a"],), ([],), (["a", "b", "c"],)], "w array<string>")
     got = [r.g for r in df.select(tk.ngrams(F.col("w"), 2).alias("g")).collect()]
     assert got == [[], [], ["a b", "b c"]]
+
+
+def test_token_passes_equal_the_rules_one_by_one(spark):
+    """The shared passes give the tokens of the rule table, applied in its order."""
+    import random
+    from functools import reduce
+    from unittest import mock
+
+    from newsweave.functions.fixed import TOKEN_RULES
+    rnd = random.Random(5)
+    pieces = list(" \n'.,:;!?-\"()[]<>$&a1") + ["...", "--", "'s ", "'ll ", "n't ", "'d", " 'tis", " 'twas", "cannot", "can", "not", "d'ye",
+                                                   "gimme", "gonna", "gotta", "lemme", "more'n", "wanna", "u.s.", "é", "\u201c", "\u00a0", "x", "' "]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 30))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").repartition(4)
+    got = df.select("id", tk.tokenize(F.col("s")).alias("a"))
+    with mock.patch.object(tk, "TOKEN_PASSES", TOKEN_RULES):
+        want = df.select("id", tk.tokenize(F.col("s")).alias("b"))
+    bad = [(texts[r.id], r.a, r.b) for r in got.join(want, "id").where("a <> b").limit(5).collect()]
+    assert not bad, bad
