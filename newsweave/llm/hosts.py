@@ -127,7 +127,12 @@ def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> tuple[
 
 
 def lower_bound() -> Column:
-    """Mean less Z standard deviations of the beta posterior."""
+    """Mean less Z standard deviations of the beta posterior.
+
+    It stands for the posterior's 10 % quantile and comes near it as pages are
+    counted: within 0.04 where a + b is 10, 0.004 where it is 100.  For very
+    small a + b it can be negative, which blocks nothing.
+    """
     a, b = F.col("a"), F.col("b")
     n = a + b
     return a / n - F.lit(Z) * F.sqrt(a * b / (n * n * (n + 1)))
