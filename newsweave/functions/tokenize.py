@@ -1,12 +1,15 @@
 """Tokeniser and token-array helpers as Column expressions.
 
 The tokeniser is a fold of ``regexp_replace`` over the rules, run once over the
-whole text: whole texts, JVM only, inside generated code.
+whole text: whole texts, JVM only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,33 +17,54 @@ from pyspark.sql import functions as F
 from .fixed import (ACRONYM_AT_BREAK, BLANKS, DIGITS, NON_WORD, SENTENCE_END,
                     STOPWORDS_EN, WORD)
 
-# The rules of ``fixed.TOKEN_RULES`` in fewer passes over the text.  Rules that
-# pad different characters, or split different words, share one: neither sees
-# what the other changes but for the number of blanks, which no token shows.
-# The two rules for endings after an apostrophe stay apart,
-# since the first makes blanks that the second looks for.
+# The rules of ``fixed.TOKEN_RULES`` as passes over the text: (pattern,
+# replacement, what a text must hold for the pass to change it; None: always
+# run).  A text without any of those strings skips the pass, which a plain
+# search tells.  Patterns begin with a literal or a small class, so a place
+# that cannot match is left at its first character; what stands before it is
+# looked back at.  A comma or colon is never at a line's end, where a blank
+# stands, so that rule has no pass.  The two rules for endings after an
+# apostrophe stay apart, since the first makes blanks that the second looks for.
 TOKEN_PASSES = [
-    (r"([:,])([^\d])", r" $1 $2"),
-    (r"([:,])$", r" $1 "),
-    (r"\.\.\.|[;@#$%&?!]", r" $0 "),
-    (r'''([^\.])(\.)([\]\)}>"']*)\s*$''', r"$1 $2 $3 "),
-    (r"([^'])' ", r"$1 ' "),
-    (r'["“”]', r" "),
-    (r"[\[\]\(\)\{\}<>]|--", r" $0 "),
-    (r"([^' ])('s|'m|'d|') ", r"$1 $2 "),
-    (r"([^' ])('ll|'re|'ve|n't) ", r"$1 $2 "),
-    (r"\b(can)(not)\b", r" $1 $2 "),
-    (r"\b(d)('ye)\b", r" $1 $2 "),
-    (r"\b(gim|lem)(me)\b", r" $1 $2 "),
-    (r"\b(gon|wan)(na)\b", r" $1 $2 "),
-    (r"\b(got)(ta)\b", r" $1 $2 "),
-    (r"\b(more)('n)\b", r" $1 $2 "),
-    (r" ('t)(is|was)\b", r" $1 $2 "),
+    (r"([:,])(\D)", r" $1 $2", None),
+    (r"[.;@#$%&?!](?:(?<!\.)|\.\.)", r" $0 ", None),
+    (r'\.(?<=[^.]\.)([\]\)}>"\']*)\s*$', r" . $1 ", None),
+    (r"'(?<=[^']') ", r" ' ", ("'",)),
+    (r'["“”]', r" ", ('"', "“", "”")),
+    (r"[\[\](){}<>-](?:(?<!-)|-)", r" $0 ", None),
+    (r"'(?<=[^' ]')[smd]? ", r" $0", ("'",)),
+    (r"[n'](?:(?<=[^' ]')(?:ll|re|ve)|(?<=[^' ]n)'t) ", r" $0", ("'",)),
+    (r"\b(can)(not)\b", r" $1 $2 ", ("cannot",)),
+    (r"\b(d)('ye)\b", r" $1 $2 ", ("d'ye",)),
+    (r"\b(gim)(me)\b", r" $1 $2 ", ("gimme",)),
+    (r"\b(lem)(me)\b", r" $1 $2 ", ("lemme",)),
+    (r"\b(gon)(na)\b", r" $1 $2 ", ("gonna",)),
+    (r"\b(wan)(na)\b", r" $1 $2 ", ("wanna",)),
+    (r"\b(got)(ta)\b", r" $1 $2 ", ("gotta",)),
+    (r"\b(more)('n)\b", r" $1 $2 ", ("more'n",)),
+    (r" ('t)(is|was)\b", r" $1 $2 ", (" 'tis", " 'twas")),
 ]
+# A run of blanks that is not one plain blank already; a dotted word before a break.
+BLANK_RUNS = f"{BLANKS[:-1]}(?:(?<! ){BLANKS[:-1]}*|{BLANKS})"
+ACRONYM_SEEN = r"\.\p{L}\.\n"
 
 
 def collapse_blanks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, BLANKS, " "))
+    return F.trim(F.regexp_replace(text, BLANK_RUNS, " "))
+
+
+def _where(text: Column, seen: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """The text, changed if ``seen`` holds; it is computed once (an array of one)."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(seen(x), change(x)).otherwise(x)), F.lit(0))
+
+
+def _passes(text: Column) -> Column:
+    for needed, run in groupby(((*p, None)[:3] for p in TOKEN_PASSES), key=lambda p: p[2]):
+        rules = list(run)
+        chain = lambda x: reduce(lambda acc, rule: F.regexp_replace(acc, "(?m)" + rule[0], rule[1]), rules, x)
+        seen = lambda x: reduce(or_, [F.contains(x, F.lit(n)) for n in needed])
+        text = chain(text) if needed is None else _where(text, seen, chain)
+    return text
 
 
 def tokenize(text: Column, marked: bool = False) -> Column:
@@ -52,16 +76,15 @@ def tokenize(text: Column, marked: bool = False) -> Column:
     dotted acronyms) and are padded with a blank on both sides; the rules then
     run once over the whole text in multi-line mode, so a rule anchored at
     ``$`` sees each sentence end.  No rule can match across the padded
-    boundary, so this equals applying the rules sentence by sentence, and the
-    whole chain stays in generated code (no per-element lambdas).
+    boundary, so this equals applying the rules sentence by sentence.  Lambdas
+    run per text and pass, never per token.
     """
     x = text
     if not marked:
         x = F.regexp_replace(collapse_blanks(text), SENTENCE_END, "$1\n")
-        x = F.regexp_replace(x, ACRONYM_AT_BREAK, "$1$2 ")
-    x = F.concat(F.lit(" "), F.regexp_replace(x, "\n", " \n "), F.lit(" "))
-    x = reduce(lambda acc, rule: F.regexp_replace(acc, "(?m)" + rule[0], rule[1]), TOKEN_PASSES, x)
-    return F.array_remove(F.split(F.trim(x), "[ \n]+"), "")
+        x = _where(x, lambda t: F.rlike(t, F.lit(ACRONYM_SEEN)), lambda t: F.regexp_replace(t, ACRONYM_AT_BREAK, "$1$2 "))
+    x = _passes(F.concat(F.lit(" "), F.replace(x, F.lit("\n"), F.lit(" \n ")), F.lit(" ")))
+    return F.array_remove(F.split(F.replace(x, F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def remove_stopwords(tokens: Column, words: list[str] | None = None) -> Column:
