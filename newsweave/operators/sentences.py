@@ -7,9 +7,11 @@ has its dot, is short, and may hold dots inside.  Words that follow sentence
 ends far more often than chance (the same ratio) are sentence starters; before
 one of them even an abbreviation, an initial or an acronym ends its sentence.
 
-Learning is two aggregates over (word, next word) pairs with map-side partials,
-one row per distinct word after the shuffle.  Applying is a lookup in the words
-that were learned, in one projection over the texts.
+Learning reads the texts once: it counts each word with what stands before it,
+told apart only where that may end a sentence, with map-side partials.  All else
+(edges, dots, scores) is worked out on those distinct rows, not on every word.
+Applying is a lookup in the words that were learned, in one projection over the
+texts, once per place where a sentence may end.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from . import lookup
 
 ABBREVIATION, STARTER = 1, 2  # flags of a learned word
 DIGITS = 3                    # decimals of the scores
+MAY_END = r" (?<=[.!?] )"     # the blank behind a word that may end a sentence
 
 
 def bare(word: Column) -> Column:
@@ -36,12 +39,24 @@ def undotted(word: Column) -> Column:
     return F.regexp_replace(word, r"\.$", "")
 
 
-def pairs(df: DataFrame, col: str) -> DataFrame:
-    """(word, next): every blank-separated word with the one after it, null
-    after a text's last."""
+def counted_words(df: DataFrame, col: str) -> DataFrame:
+    """Texts -> lead, form, dot, n: how often each word's form stands behind
+    each lead, with or without a dot of its own.
+
+    ``lead`` is the word before, if it has a dot at its end; `!` for one that
+    ends with ! or ?; empty for any other, which ends no sentence; null before
+    a text's first word.
+    """
     words = df.select(F.split(tk.collapse_blanks(F.col(col)), " ").alias("__w"))
-    both = F.zip_with("__w", F.slice("__w", F.lit(2), F.size("__w")), lambda a, b: F.struct(a.alias("word"), b.alias("next")))
-    return words.select(F.explode_outer(both).alias("p")).where(F.col("p").isNotNull()).select("p.*")
+    both = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "__w").alias("before"), F.col("__w").alias("word"))
+    each = words.select(F.explode_outer(both).alias("p")).where(F.col("p.word").isNotNull()).select("p.*")
+    before = F.col("before")
+    lead = (F.when(before.endswith("."), before).when(before.endswith("!") | before.endswith("?"), "!")
+            .when(before.isNotNull(), ""))
+    counts = each.groupBy(lead.alias("lead"), "word").agg(F.count(F.lit(1)).alias("n"))
+    bared = counts.select("lead", bare(F.col("word")).alias("b"), "n")
+    return (bared.select("lead", undotted(F.col("b")).alias("form"), F.endswith("b", F.lit(".")).alias("dot"), "n")
+            .where(F.col("form").rlike(PLAIN_WORD)))
 
 
 def likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -50,11 +65,13 @@ def likelihood(k: Column, n: Column, p: Column) -> Column:
     return part(k, p) + part(n - k, F.lit(1.0) - p)
 
 
-def word_counts(words: DataFrame) -> DataFrame:
-    """(word) -> form, n_dot, n_plain: how often each word has a dot behind it."""
-    w = words.select(bare(F.col("word")).alias("b")).select(undotted(F.col("b")).alias("form"), F.endswith("b", F.lit(".")).alias("dot"))
-    return (w.where(F.col("form").rlike(PLAIN_WORD)).groupBy("form")
-            .agg(F.count(F.when(F.col("dot"), 1)).alias("n_dot"), F.count(F.when(~F.col("dot"), 1)).alias("n_plain")))
+def _times(n: Column, where: Column) -> Column:
+    return F.coalesce(F.sum(F.when(where, n)), F.lit(0).cast("long"))
+
+
+def word_counts(counted: DataFrame) -> DataFrame:
+    """counted_words -> form, n_dot, n_plain: how often each word has a dot behind it."""
+    return counted.groupBy("form").agg(_times(F.col("n"), F.col("dot")).alias("n_dot"), _times(F.col("n"), ~F.col("dot")).alias("n_plain"))
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -72,9 +89,9 @@ def abbreviations(counts: DataFrame) -> DataFrame:
 
 
 def starters(ends: DataFrame) -> DataFrame:
-    """(form, after): each word and whether a sentence ended before it ->
-    form, n_after, n, start_score of the sentence starters."""
-    counts = materialize(ends.groupBy("form").agg(F.count(F.when(F.col("after"), 1)).alias("n_after"), F.count(F.lit(1)).alias("n")))
+    """(form, after, n): each word, whether a sentence ended before it, and how
+    often -> form, n_after, n, start_score of the sentence starters."""
+    counts = materialize(ends.groupBy("form").agg(_times(F.col("n"), F.col("after")).alias("n_after"), F.sum("n").alias("n")))
     total = counts.agg(F.struct(F.sum("n_after").alias("after"), F.sum("n").alias("all"))).scalar()
     k1, n1 = F.col("n_after"), F.col("t.after")
     k2, n2 = F.col("n") - k1, F.col("t.all") - n1
@@ -92,12 +109,11 @@ def learn(df: DataFrame, col: str = "combined_text") -> DataFrame:
     Null and empty texts teach nothing; the table is empty where no word
     passes.  It is checkpointed, since both learning and applying read it.
     """
-    both = pairs(df, col)
-    abbr = materialize(abbreviations(materialize(word_counts(both))))
+    counted = materialize(counted_words(df, col))
+    abbr = materialize(abbreviations(materialize(word_counts(counted))))
     known = abbr.select("form", F.lit(ABBREVIATION).alias("kind"))
-    ends = lookup.with_value(both, "after", _flags(known), lambda m, r: _ends(r["word"], None, m))
-    follow = ends.select(undotted(bare(F.col("next"))).alias("form"), "after").where(F.col("form").rlike(PLAIN_WORD))
-    start = starters(follow)
+    follow = counted.where(F.col("lead").isNotNull()).groupBy("lead", "form").agg(F.sum("n").alias("n"))
+    start = starters(lookup.with_value(follow, "after", _flags(known), lambda m, r: _ends(r["lead"], None, m)))
     out = abbr.select("form", "score").join(start.select("form", "start_score"), "form", "full")
     kind = F.when(F.col("score").isNotNull(), ABBREVIATION).otherwise(0) + F.when(F.col("start_score").isNotNull(), STARTER).otherwise(0)
     return materialize(out.select("form", kind.cast("int").alias("kind"), "score", "start_score"))
@@ -118,7 +134,7 @@ def _ends(word: Column, following: Column | None, flags: Column) -> Column:
     if following is not None:
         start = F.coalesce(lookup.looked_up(flags, undotted(bare(following))), F.lit(0)).bitwiseAND(STARTER) != 0
         keeps = keeps & ~start
-    return F.when(word.rlike("[!?]$"), True).when(word.endswith("."), ~keeps).otherwise(False)
+    return F.when(word.endswith("!") | word.endswith("?"), True).when(word.endswith("."), ~keeps).otherwise(False)
 
 
 def mark(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str = "marked") -> DataFrame:
@@ -127,19 +143,26 @@ def mark(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str
 
     ``learned`` has form and kind (of ``learn``, or a table of one's own)."""
     def joined(flags: Column, row: Column) -> Column:
-        def of(w: Column) -> Column:
-            return F.array_join(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(
-                a, F.when(b.isNull(), "").when(_ends(a, b, flags), "\n").otherwise(" "))), "")
-        return F.element_at(F.transform(F.array(F.split(tk.collapse_blanks(row[col]), " ")), of), 1)
+        # a sentence may end only after . ! or ?: the parts between such places stay whole
+        def of(parts: Column) -> Column:
+            return F.array_join(F.zip_with(parts, F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: F.concat(
+                a, F.when(b.isNull(), "").when(_ends(F.substring_index(a, " ", -1), F.substring_index(b, " ", 1), flags), "\n").otherwise(" "))), "")
+        return F.element_at(F.transform(F.array(F.split(tk.collapse_blanks(row[col]), MAY_END)), of), 1)
     return lookup.with_value(df, out, _flags(learned), joined)
 
 
-def split_sentences(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str = "sentences") -> DataFrame:
-    """The text's sentences as an array; a text without words has none."""
-    whole = mark(df, learned, col, "__marked")
-    return whole.withColumn(out, F.filter(F.split("__marked", "\n"), lambda s: s != "")).drop("__marked")
+def split_sentences(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str = "sentences",
+                    marked: str | None = None) -> DataFrame:
+    """The text's sentences as an array; a text without words has none.
+    ``marked`` names a column of ``mark``, if the rows have one."""
+    whole = df if marked else mark(df, learned, col, "__marked")
+    sentences = whole.withColumn(out, F.filter(F.split(marked or "__marked", "\n"), lambda s: s != ""))
+    return sentences if marked else sentences.drop("__marked")
 
 
-def tokenize(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str = "tokens") -> DataFrame:
-    """T1 with learned sentence ends."""
-    return mark(df, learned, col, "__marked").withColumn(out, tk.tokenize(F.col("__marked"), marked=True)).drop("__marked")
+def tokenize(df: DataFrame, learned: DataFrame, col: str = "combined_text", out: str = "tokens",
+             marked: str | None = None) -> DataFrame:
+    """T1 with learned sentence ends (``marked`` as in ``split_sentences``)."""
+    whole = df if marked else mark(df, learned, col, "__marked")
+    tokens = whole.withColumn(out, tk.tokenize(F.col(marked or "__marked"), marked=True))
+    return tokens if marked else tokens.drop("__marked")
