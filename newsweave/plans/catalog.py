@@ -347,7 +347,8 @@ def q_tokenize_sentences(spark, sf_dir):
     """T1 with the sentence ends that the learned words decide."""
     m = merged(spark, sf_dir).select("row_id", "combined_text")
     learned = sentences.learn(m)
-    out = sentences.split_sentences(sentences.tokenize(m, learned), learned)
+    marked = sentences.mark(m, learned)  # both operators read the marks: they are made once
+    out = sentences.split_sentences(sentences.tokenize(marked, learned, marked="marked"), learned, marked="marked")
     return out.select("row_id", F.size("sentences").cast("long").alias("n_sentences"), "tokens")
 
 
