@@ -166,11 +166,19 @@ def word_weights(df: DataFrame, top: int = 200, col: str = "combined_text", labe
     return t.withColumn("weight", F.round(F.col("n") / F.max("n").over(Window.partitionBy(label)), 9))
 
 
+def ngram_rows(df: DataFrame, n: int, col: str = "combined_text", label: str = "category") -> DataFrame:
+    """(label, gram): every in-document n-gram.  The shifted words are zipped and
+    exploded, then joined row by row in generated code, without lambdas."""
+    words = df.select(label, tk.word_tokens(F.col(col)).alias("__w"))
+    k = F.greatest(F.size("__w") - n + 1, F.lit(0))
+    shifted = F.arrays_zip(*[F.slice("__w", F.lit(i + 1), k).alias(f"w{i}") for i in range(n)])
+    g = words.select(label, F.explode_outer(shifted).alias("g")).where(F.col("g").isNotNull())
+    return g.select(label, F.concat_ws(" ", *[F.col(f"g.w{i}") for i in range(n)]).alias("gram"))
+
+
 def ngram_counts(df: DataFrame, n: int, col: str = "combined_text", label: str = "category") -> DataFrame:
     """In-document n-gram counts per class (stopwords kept)."""
-    words = df.select(label, tk.word_tokens(F.col(col)).alias("__w"))
-    g = words.select(label, F.explode_outer(tk.ngrams(F.col("__w"), n)).alias("gram")).where(F.col("gram").isNotNull())
-    return g.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return ngram_rows(df, n, col, label).groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_ngrams(df: DataFrame, n: int, k: int = 10, col: str = "combined_text", label: str = "category") -> DataFrame:
