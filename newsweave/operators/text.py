@@ -219,7 +219,6 @@ def ngram_counts_straddling(df: DataFrame, n: int = 2, col: str = "combined_text
     follow = F.slice(F.flatten(F.concat(last, F.coalesce("__after", F.array().cast("array<array<string>>")))), 1, m)
     stream = j.select(label, F.size("tail").alias("__t"), F.concat(F.col("tail"), follow).alias("__s"))
     # grams of the stream that start in the tail; a tail has at most m words, so all of them cross
-    grams = stream.select(label, F.explode(F.slice(tk.ngrams(F.col("__s"), n), F.lit(1), F.col("__t"))).alias("gram"))
-    cross = grams.groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
-    return (ngram_counts(df, n, col, label).unionByName(cross)
-            .groupBy(label, "gram").agg(F.sum("n").alias("n")))
+    cross = stream.select(label, F.explode(F.slice(tk.ngrams(F.col("__s"), n), F.lit(1), F.col("__t"))).alias("gram"))
+    # one aggregate over both: the distinct n-grams are shuffled, held and spilled once
+    return ngram_rows(df, n, col, label).unionByName(cross).groupBy(label, "gram").agg(F.count(F.lit(1)).alias("n"))
