@@ -60,16 +60,19 @@ class Plan:
 
 
 def hashed_words(tokens: Column, width: int = WIDTH) -> Column:
-    return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
+    """The words' numbers below ``width``, two bytes each where they fit."""
+    kind = "smallint" if width <= 1 << 15 else "int"
+    return F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast(kind))
 
 
 def arranged(df: DataFrame, tokens: str, label: str, key: str, batch_size: int, seed: int | str, width: int,
-             shard_batches: int) -> DataFrame:
-    """Rows (key, tokens, label index) in M4's order, a shard's together."""
+             shard_batches: int, shards: int) -> DataFrame:
+    """Rows (key, tokens, label index) in M4's order, a shard's together and
+    each shard in a partition of its own: a task reads one, however many there are."""
     rows = split.assign_batches(df.select(key, F.col(label).cast("int").alias("y"), hashed_words(F.col(tokens), width).alias("x")),
                                 batch_size, key, seed)
     return materialize(rows.select(F.floor(F.col("batch") / shard_batches).alias("shard"), "batch", "position", "y", "x")
-                       .repartition("shard").sortWithinPartitions("shard", "position"))
+                       .repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "position"))
 
 
 def _matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,7 +228,8 @@ def train(df: DataFrame, validation: DataFrame, classes: int, folder: str, token
     plan = Plan(epochs, plan_row["batches_per_epoch"], plan_row["rows"], plan_row["warmup_steps"], rate)
     done = max([e for e in range(1, epochs + 1) if _exists(spark, _epoch_dir(folder, e) + "/report/_SUCCESS")], default=0)
     model = load(spark, folder, done, width, classes)
-    rows = arranged(df, tokens, label, key, batch_size, seed, width, shard_batches) if plan.rows and done < epochs else None
+    shards = -(-plan.batches // shard_batches)
+    rows = arranged(df, tokens, label, key, batch_size, seed, width, shard_batches, shards) if plan.rows and done < epochs else None
     for epoch in range(done, epochs):
         loss = None
         if rows is not None:
