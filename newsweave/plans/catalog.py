@@ -419,8 +419,8 @@ def q_trigrams_straddling(spark, sf_dir):
 def split_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenised split rows, checkpointed: the vocabulary's count histogram,
     its top-k and the encoding all read them."""
-    return materialize(splits(spark, sf_dir).select(
-        "row_id", "split", "category", tk.tokenize(F.col("combined_text")).alias("tokens")))
+    s = splits(spark, sf_dir).select("row_id", "split", "category", tk.tokenize(F.col("combined_text")).alias("tokens"))
+    return text.materialize_tokens(s, "tokens")
 
 
 @register("build_vocab")
