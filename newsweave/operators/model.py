@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -43,18 +43,18 @@ def train_text_classifier(train: DataFrame, label: str = "category", max_iter: i
                           reg: float = 1e-3, num_features: int = NUM_FEATURES) -> PipelineModel:
     """M6: fit tokens -> TF -> IDF -> softmax regression; labels indexed alphabetically.
 
-    The featurised training set is checkpointed once in the shared folder:
-    the label index, IDF and every optimiser pass then read it instead of
-    re-running the upstream plan (and a lost executor does not either).
+    The hashed term frequencies of the training set are checkpointed once in
+    the shared folder: the label index, IDF and every optimiser pass then read
+    these few numbers a row instead of its tokens (and neither they nor a lost
+    executor run the upstream plan again).
     """
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error"),
-        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="features"),
-        LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, tol=1e-4,
-                           featuresCol="features", labelCol="label", aggregationDepth=3),
-    ])
-    return pipe.fit(materialize(featurize(train).select(label, "tokens")))
+    tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
+    rows = materialize(tf.transform(featurize(train).select(label, "tokens")).select(label, "tf"))
+    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error").fit(rows)
+    idf = IDF(inputCol="tf", outputCol="features").fit(rows)
+    lr = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=reg, tol=1e-4,
+                            featuresCol="features", labelCol="label", aggregationDepth=3)
+    return PipelineModel([index, tf, idf, lr.fit(idf.transform(index.transform(rows)))])
 
 
 def model_classes(model: PipelineModel) -> list[str]:
